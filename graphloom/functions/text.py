@@ -46,11 +46,14 @@ def any_fragment(fragments: list[str]) -> str:
 
 
 def human_size(size: Column) -> Column:
-    """1536 -> '1.5 KB'."""
-    ladder = F.when(size < 1024, F.format_string("%.1f B", size.cast("double")))
+    """1536 -> '1.5 KB'; one decimal, halves to even."""
+    def shown(unit: str, divisor: int) -> Column:
+        return F.format_string(f"%.1f {unit}", F.bround(size / F.lit(float(divisor)), 1))
+
+    ladder = F.when(size < 1024, shown("B", 1))
     for power, unit in enumerate(["KB", "MB", "GB"], start=1):
-        ladder = ladder.when(size < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", size / float(1024 ** power)))
-    return ladder.otherwise(F.format_string("%.1f TB", size / float(1024 ** 4)))
+        ladder = ladder.when(size < 1024 ** (power + 1), shown(unit, 1024 ** power))
+    return ladder.otherwise(shown("TB", 1024 ** 4))
 
 
 def truncate(c: Column, limit: int = 500) -> Column:

@@ -35,10 +35,16 @@ def scan_tree(spark: SparkSession, root: str, extensions: list[str] | None = Non
     listed = found.withColumn("__rel", F.url_decode(F.replace(relative, F.lit("+"), F.lit("%2B")))).withColumn(
         "folder", paths.parent(F.col("__rel"))).withColumn("ext", paths.suffix(name))
     kept = filters.exclude_dirs(filters.ext_filter(listed, extensions), excluded)
-    return kept.select(
-        F.lit(repo or prefix.rstrip("/").rsplit("/", 1)[-1]).alias("repo"), F.col("__rel").alias("path"), "folder", name.alias("name"),
-        paths.stem(name).alias("stem"), "ext", F.col("path").alias("url"), F.col("length").alias("size"),
-        decode_capped(F.col("content"), F.col("length")).alias("raw"))
+
+    def rows(part: DataFrame, raw: Column) -> DataFrame:
+        return part.select(
+            F.lit(repo or prefix.rstrip("/").rsplit("/", 1)[-1]).alias("repo"), F.col("__rel").alias("path"), "folder",
+            name.alias("name"), paths.stem(name).alias("stem"), "ext", F.col("path").alias("url"), F.col("length").alias("size"),
+            raw.alias("raw"))
+
+    # The length test is pushed into the listing: bytes of oversized files are not read at all.
+    return rows(kept.where(F.col("length") <= MAX_RAW_BYTES), decode_capped(F.col("content"), F.col("length"))).unionByName(
+        rows(kept.where(F.col("length") > MAX_RAW_BYTES), F.lit("")))
 
 
 def files_from_paths(rows: DataFrame) -> DataFrame:

@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions import text
 from graphloom.operators import auth, filters
-from graphloom.operators.ranking import tail_lines
+from graphloom.operators.ranking import ranked, tail_lines
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, file, line_no) of one or many log files; unreadable files give no rows."""
+    """(value, file, line_no) of one or many log files; unreadable files give no rows.
+
+    Files are read in splits, so their size does not matter. A line's place is its split's
+    offset and its position there; the number is counted from those.
+    """
     reader = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-    whole = reader.text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
-    lines = whole.select("file", F.posexplode(text.split_lines(F.col("value"))).alias("pos", "value"))
-    return lines.select("value", "file", (F.col("pos") + 1).cast("long").alias("line_no"))
+    rows = reader.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"))
+    return ranked(rows, ["file"], ["block", "at"], rn="line_no").select("value", "file", "line_no")
 
 
 def read_log_history(spark: SparkSession, path: str, year: int, max_lines: int = 5000, zone: str = "UTC",
