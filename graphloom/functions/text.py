@@ -8,20 +8,22 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What counts as white space and as a line end in source text.
-SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# White space, and what ends a line of source text.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 LINE_END = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+_ENDERS = ["\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
 
 
 def strip(c: Column) -> Column:
-    """Both-ends strip of any white space; `trim` would only remove blanks."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    """Both-ends strip of any white space; plain `trim` would only remove blanks."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def split_lines(c: Column) -> Column:
     """Lines of a text; a final line end does not open another line."""
-    parts = F.split(c, LINE_END)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    body = F.when(c.endswith("\r\n"), F.left(c, F.length(c) - 2)).when(
+        F.right(c, F.lit(1)).isin(_ENDERS), F.left(c, F.length(c) - 1)).otherwise(c)
+    return F.split(body, LINE_END)
 
 
 def or_else(first: Column, *others: Column) -> Column:

@@ -72,11 +72,10 @@ def register_language(name: str, extensions: list[str], rules_or_function) -> No
 def explode_lines(files: DataFrame) -> DataFrame:
     """One row per line with its 1-based number and stripped text; other columns but `raw` stay."""
     rest = [c for c in files.columns if c != "raw"]
-    return (
-        files.where(F.coalesce(F.col("raw"), F.lit("")) != "")
-        .select(*rest, F.posexplode(text.split_lines(F.col("raw"))).alias("pos", "__line"))
-        .select(*rest, (F.col("pos") + 1).alias("line"), text.strip(F.col("__line")).alias("text"))
-    )
+    # Stripped before the explode, so that filters on the text do not strip it again.
+    stripped = F.transform(text.split_lines(F.col("raw")), text.strip)
+    return files.where(F.coalesce(F.col("raw"), F.lit("")) != "").select(*rest, F.posexplode(stripped).alias("line", "text")).withColumn(
+        "line", F.col("line") + 1)
 
 
 def rule_match(line: Column, rules: list[tuple[str, str]]) -> Column:

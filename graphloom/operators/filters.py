@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -71,7 +72,7 @@ def code_lines(lines: DataFrame, legacy_comments: bool = True) -> DataFrame:
     and CSS ids are skipped); otherwise each language has its own list.
     """
     def opened_by(openers: list[str]) -> Column:
-        return F.col("text").rlike("^(" + text.any_fragment(openers) + ")") if openers else F.lit(False)
+        return functools.reduce(lambda a, b: a | b, [F.col("text").startswith(o) for o in openers], F.lit(False))
 
     if legacy_comments:
         comment = opened_by(L.COMMENT_OPENERS)

@@ -225,13 +225,14 @@ def c1_symbols_own_comments(spark, sf):
 
 
 _HTML = L.SYMBOL_RULES["html"][1]
-_PAGE_LINES = _lines_sql(r"(SELECT page_id, replace(html, '><', '>' || chr(10) || '<') AS raw FROM pages)", "page_id")
+_PAGE_LINES = _lines_sql(r"(SELECT page_id, replace(replace(html, '><', '>' || chr(10) || '<'), 'class=', 'id=') AS raw FROM pages)", "page_id")
 
 
 @query(f"""SELECT page_id, CAST(line AS BIGINT) AS line, kind, label FROM
     (SELECT *, {_match_sql(_HTML, "kind")} AS kind, {_match_sql(_HTML, "label")} AS label FROM {_PAGE_LINES} WHERE {_CODE_SQL}) WHERE kind IS NOT NULL""")
 def c1_symbols_html(spark, sf):
-    pages = table(spark, sf, "pages").select("page_id", F.lit("html").alias("language"), F.replace("html", F.lit("><"), F.lit(">\n<")).alias("raw"))
+    pages = table(spark, sf, "pages").select("page_id", F.lit("html").alias("language"), 
+                                             F.replace(F.replace("html", F.lit("><"), F.lit(">\n<")), F.lit("class="), F.lit("id=")).alias("raw"))
     found = extract.match_symbols(filters.code_lines(extract.explode_lines(pages)))
     return found.select("page_id", F.col("line").cast("long").alias("line"), "kind", "label")
 
