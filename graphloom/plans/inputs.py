@@ -301,7 +301,7 @@ def import_files(spark: SparkSession, sf: str) -> DataFrame:
 
 CTE["c_decls"] = ([], """
     SELECT 'supplier::' || s_suppkey AS id, CASE WHEN s_acctbal < 3000 THEN 'enum' WHEN s_acctbal < 8000 THEN 'struct' ELSE 'union' END AS kind,
-           'T' || s_suppkey AS name, 's' || s_nationkey AS file, CAST(s_suppkey AS INTEGER) AS line, '' AS type_str, NULL AS parent_id,
+           'T' || s_suppkey AS name, 's' || s_nationkey AS file, CAST(s_suppkey AS INTEGER) AS line, '' AS type_str, CAST(NULL AS VARCHAR) AS parent_id,
            CAST(s_nationkey AS INTEGER) AS field_count FROM supplier
     UNION ALL
     SELECT 'part::' || p_partkey, CASE WHEN p_size < 20 THEN 'field' WHEN p_size < 30 THEN 'variable' WHEN p_size < 40 THEN 'typedef'
