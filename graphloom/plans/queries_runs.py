@@ -8,6 +8,8 @@ from graphloom.functions import keys, times
 from graphloom.operators import catalogue, feed, filters
 from graphloom.plans import inputs as I
 from graphloom.plans.registry import query, table
+from graphloom.session import run_dir
+from graphloom.sources import files as tree
 
 W = I.with_inputs
 NOW_SQL = f"TIMESTAMP '{I.NOW}'"
@@ -32,7 +34,7 @@ def k7_event_feed(spark, sf):
     return events.select("seq", "event", key.alias("key"))
 
 
-# Every tenth-of-value frame is broken or has no id; the last frame of an id wins.
+# Frames of low value are broken or have no id; the last frame of an id wins.
 @query("""
     SELECT 'u' || user_id AS id, arg_max(event_type, event_id) AS kind FROM events WHERE value >= 5 GROUP BY 1""")
 def a12_k8_fold_feed(spark, sf):
@@ -103,6 +105,18 @@ def m2_payload_size(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.octet_length(row).cast("long").alias("size_bytes"))
 
 
+@query(W("tree_nodes", "tree_edges") + "SELECT 'node' AS part, kind, count(*) AS n FROM tree_nodes GROUP BY kind UNION ALL SELECT 'edge', kind, count(*) FROM tree_edges GROUP BY kind")
+def m2_m3_put_and_get_run(spark, sf):
+    """A graph stored twice under one key and read back: the newest version is served."""
+    store = catalogue.RunStore(spark, run_dir(spark, "runs"))
+    nodes, edges = I.tree_nodes(spark, sf), I.tree_edges(spark, sf)
+    store.put(nodes.where("depth = 0"), edges.where("false"), "owner-repo::a1", F.lit("2001-12-30 00:00:00+00:00").cast("timestamp"), "old")
+    store.put(nodes, edges, "owner-repo::a1", F.lit("2001-12-31 23:00:00+00:00").cast("timestamp"), "new")
+    got_nodes, got_edges = store.get("owner-repo::a1", I.now())
+    return got_nodes.groupBy(F.lit("node").alias("part"), "kind").agg(F.count(F.lit(1)).alias("n")).unionByName(
+        got_edges.groupBy(F.lit("edge").alias("part"), "kind").agg(F.count(F.lit(1)).alias("n")))
+
+
 I.CTE["newest_runs"] = (["run_rows"], "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC) AS r FROM run_rows) WHERE r = 1")
 
 
@@ -129,12 +143,15 @@ def m5_evict(spark, sf):
     return catalogue.live_runs(I.run_rows(spark, sf), single.unionByName(repo)).select("key")
 
 
-@query(W("page_files") + """, h AS (SELECT min(repo) AS h FROM page_files)
-    SELECT page_id, name FROM page_files, h WHERE repo = h AND starts_with(path, h || '/')""")
-def m6_serve_sub_path(spark, sf):
-    files = I.page_files(spark, sf)
-    host = files.agg(F.min("repo")).first()[0]
-    return files.where((F.col("repo") == host) & F.col("path").startswith(host + "/")).select("page_id", "name")
+@query(W("page_folders") + """, h AS (SELECT min(repo) AS h FROM page_files)
+    SELECT name, path, FALSE AS is_file FROM page_folders, h WHERE parent_path = h UNION ALL SELECT name, path, TRUE FROM page_files, h WHERE folder = h""")
+def m6_tree_cache(spark, sf):
+    """A stored listing, served one level below a path."""
+    store = catalogue.RunStore(spark, run_dir(spark, "trees"))
+    files = I.page_files(spark, sf).drop("raw")
+    store.put_tree(files, I.page_folders(spark, sf), "web", I.now())
+    stored_files, stored_folders = store.get_tree("web", I.now())
+    return tree.list_level(stored_folders, stored_files, stored_files.agg(F.min("repo")).first()[0])
 
 
 # Orders are changes of their customer's bookmark; status 'F' deletes it.
@@ -152,11 +169,14 @@ def m7_bookmarks(spark, sf):
     return catalogue.live_changes(_changes(spark, sf), ["name"]).select("name", "url")
 
 
-@query("SELECT 'NATION_' || c_nationkey AS name, count(*) AS node_count FROM customer GROUP BY 1")
+@query("""SELECT 'snap ' || c_mktsegment AS name, count(*) AS node_count FROM customer WHERE c_mktsegment <> 'MACHINERY' GROUP BY 1""")
 def m8_snapshots(spark, sf):
-    """Listing of named snapshots with their node counts, no payload read."""
-    rows = table(spark, sf, "customer").select(F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string")).alias("name"))
-    return rows.groupBy("name").agg(F.count(F.lit(1)).alias("node_count"))
+    """Snapshots logged by name, one of them deleted later; the listing reads no payload column."""
+    store = catalogue.RunStore(spark, run_dir(spark, "snapshots"))
+    snaps = table(spark, sf, "customer").groupBy(F.concat(F.lit("snap "), F.col("c_mktsegment")).alias("name")).agg(F.count(F.lit(1)).alias("node_count"))
+    store.log_change("snapshots", snaps, F.lit("2001-01-01 00:00:00+00:00").cast("timestamp"))
+    store.log_change("snapshots", snaps.where("name = 'snap MACHINERY'"), F.lit("2001-01-02 00:00:00+00:00").cast("timestamp"), deleted=True)
+    return store.current("snapshots", "name string, node_count bigint", ["name"]).select("name", "node_count")
 
 
 @query(W("run_rows") + "SELECT substr(sha256(url), 1, 16) AS url_hash, count(*) AS captures, epoch(max(ts)) AS latest FROM run_rows GROUP BY 1")
@@ -166,11 +186,11 @@ def m9_history(spark, sf):
 
 
 @query("""
-    SELECT o_orderkey AS key, (o_orderkey * 7) % 8 AS node_count, coalesce(n, 0) AS nodes_found FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
-    WHERE (o_orderkey * 7) % 8 <> coalesce(n, 0)""")
+    SELECT o_orderkey AS key, CAST(floor(o_totalprice / 70000) AS BIGINT) AS node_count, coalesce(n, 0) AS nodes_found FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
+    WHERE CAST(floor(o_totalprice / 70000) AS BIGINT) <> coalesce(n, 0)""")
 def m10_count_mismatches(spark, sf):
     """Declared against stored counts: every order declares a count, its lines are what was stored."""
-    runs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_orderkey") * 7 % 8).alias("node_count"), F.lit(0).alias("edge_count"))
+    runs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.floor(F.col("o_totalprice") / 70000).cast("long").alias("node_count"), F.lit(0).alias("edge_count"))
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"))
     found = catalogue.count_mismatches(runs, lines, lines.where(F.col("key").isNull()))
     return found.select("key", "node_count", "nodes_found")
