@@ -9,27 +9,29 @@ JOURNAL_HEADER = (
     r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[.\d]*[Z+\-\d:]*)\s+(\S+)\s+(\w[\w/-]*)\[(\d+)\]:\s+(.+)$"
 )
 MODULE = r"(?i)pam_(\w+)\.so"
-START = r"(?i)pam_start\(\)"
-END = r"(?i)pam_end\(\)"
 USER = r"(?i)\buser[=\s](\S+)"
 RHOST = r"(?i)\brhost[=\s](\S+)"
 TTY = r"(?i)\btty[=\s](\S+)"
-SUCCESS = r"(?i)PAM_SUCCESS|Accepted|succeeded|success"
-FAILURE = (
-    r"(?i)PAM_(AUTH_ERR|ACCT_EXPIRED|CRED_ERR|USER_UNKNOWN|MAXTRIES|PERM_DENIED)"
-    r"|Failed|failure|authentication fail|Invalid user"
-)
-SESSION_OPENED = r"(?i)session opened|pam_open_session"
-SESSION_CLOSED = r"(?i)session closed|pam_close_session"
-CACHE = r"(?i)cache\s*(hit|miss)"
-KERBEROS = r"(?i)kerberos|krb5|TGT|AS-REQ|kinit"
+CACHE = r"cache\s*(hit|miss)"
+
+# sign -> wordings, any of which shows it; matched against the lower-cased body
+WORDINGS = {
+    "started": ["pam_start()"],
+    "ended": ["pam_end()"],
+    "opened": ["session opened", "pam_open_session"],
+    "closed": ["session closed", "pam_close_session"],
+    "ok": ["pam_success", "accepted", "succeeded", "success"],
+    "bad": ["pam_auth_err", "pam_acct_expired", "pam_cred_err", "pam_user_unknown", "pam_maxtries", "pam_perm_denied",
+            "failed", "failure", "authentication fail", "invalid user"],
+    "kerberos": ["kerberos", "krb5", "tgt", "as-req", "kinit"],
+}
 
-# in order of precedence
+# in order of precedence; matched against the lower-cased body
 PHASE_WORDS = [
-    ("auth", r"(?i)\bauth(entication)?\b"),
-    ("account", r"(?i)\baccount\b"),
-    ("session", r"(?i)\bsession\b"),
-    ("password", r"(?i)\bpassword\b"),
+    ("auth", r"\bauth(entication)?\b"),
+    ("account", r"\baccount\b"),
+    ("session", r"\bsession\b"),
+    ("password", r"\bpassword\b"),
 ]
 
 ALWAYS_KEPT_SERVICES = ["sshd", "login", "su", "sudo", "gdm", "lightdm", "polkit"]

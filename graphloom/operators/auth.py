@@ -24,7 +24,7 @@ def _groups(line: Column, pattern: str, wanted: list[int]) -> Column:
 
 
 def with_headers(lines: DataFrame, year: int, zone: str = "UTC", now: Column | None = None, keep_all: bool = False) -> DataFrame:
-    """Lines with ts, service, pid and body of their syslog or journal header.
+    """Lines with ts, service, pid, body and lower-cased body (`low`) of their syslog or journal header.
 
     Lines without a header are dropped, or kept with NULLs by `keep_all`. `year` completes
     syslog stamps; impossible stamps become `now` if given, else NULL. The fields come out of a
@@ -40,42 +40,47 @@ def with_headers(lines: DataFrame, year: int, zone: str = "UTC", now: Column | N
     s, j = [F.get(F.col("__s"), F.lit(i)) for i in range(6)], [F.get(F.col("__j"), F.lit(i)) for i in range(4)]
 
     def fields(ts: Column, service: Column, pid: Column, body: Column) -> Column:
-        return F.array(F.struct(F.coalesce(ts, missing).alias("ts"), service.alias("service"),
-                                pid.try_cast("int").alias("pid"), body.alias("body")))
+        return F.array(F.struct(F.coalesce(ts, missing).alias("ts"), service.alias("service"), pid.try_cast("int").alias("pid"),
+                                body.alias("body"), F.lower(body).alias("low")))
 
     head = F.when(F.col("__s").isNotNull(), fields(times.syslog_time(s[0], s[1], s[2], year, zone), s[3], s[4], s[5])).when(
         F.col("__j").isNotNull(), fields(times.iso_time(j[0], zone), j[1], j[2], j[3]))
     return marked.select(*rest, "raw", (F.inline_outer if keep_all else F.inline)(head))
 
 
-# name of a sign -> pattern looked for in the body
-SIGNS = {"started": A.START, "ended": A.END, "opened": A.SESSION_OPENED, "closed": A.SESSION_CLOSED, "ok": A.SUCCESS,
-         "bad": A.FAILURE, "cache": A.CACHE, "kerberos": A.KERBEROS}
+SIGNS = [*A.WORDINGS, "cache"]
 
 
-def signs(body: Column) -> dict[str, Column]:
-    return {name: body.rlike(pattern) for name, pattern in SIGNS.items()}
+def signs(low: Column) -> dict[str, Column]:
+    """What the lower-cased body says: plain substring tests, a regex only behind one."""
+    def says(wordings: list[str]) -> Column:
+        return functools.reduce(lambda a, b: a | b, [low.contains(w) for w in wordings])
 
+    found = {name: says(wordings) for name, wordings in A.WORDINGS.items()}
+    return {**found, "cache": low.contains("cache") & low.rlike(A.CACHE)}
 
-def is_relevant(service: Column, body: Column, sign: dict[str, Column] | None = None) -> Column:
-    sign, low = sign or signs(body), F.lower(body)
+
+def _extract(body: Column, low: Column, must_hold: str, pattern: str) -> Column:
+    """First group of a pattern, '' without a match; the regex only runs where its keyword occurs."""
+    return F.when(low.contains(must_hold), F.regexp_extract(body, pattern, 1)).otherwise("")
+
+
+def is_relevant(service: Column, low: Column, sign: dict[str, Column]) -> Column:
     return (
         low.contains("pam") | low.contains("sssd") | F.lower(service).contains("sssd") | service.isin(A.ALWAYS_KEPT_SERVICES)
         | sign["ok"] | sign["bad"] | sign["opened"] | sign["closed"]
     )
 
 
-def phase(body: Column, sign: dict[str, Column] | None = None) -> Column:
-    sign = sign or signs(body)
+def phase(low: Column, sign: dict[str, Column]) -> Column:
     chain = F.when((sign["opened"] | sign["closed"]) & ~(sign["started"] | sign["ended"]), F.lit("session"))
     for name, pattern in A.PHASE_WORDS:
-        chain = chain.when(body.rlike(pattern), name)
+        chain = chain.when(low.contains(name) & low.rlike(pattern), name)
     return chain
 
 
-def event_type(service: Column, body: Column, module: Column, sign: dict[str, Column] | None = None) -> Column:
+def event_type(service: Column, body: Column, low: Column, module: Column, sign: dict[str, Column]) -> Column:
     """First rule that applies; a success or failure wording may then override it."""
-    sign, low = sign or signs(body), F.lower(body)
     of_sssd = low.contains("sssd") | F.lower(service).contains("sssd")
     asks = low.contains("request") | body.contains("AS-REQ")
     base = (
@@ -91,11 +96,10 @@ def event_type(service: Column, body: Column, module: Column, sign: dict[str, Co
     return F.when(granted, "access_granted").when(denied, "access_denied").otherwise(base)
 
 
-def success(body: Column, sign: dict[str, Column] | None = None) -> Column:
+def success(low: Column, sign: dict[str, Column]) -> Column:
     """True, False or NULL; a success wording is looked for before a failure wording."""
-    sign = sign or signs(body)
     cached = sign["cache"] & ~(sign["started"] | sign["ended"] | sign["opened"] | sign["closed"])
-    return F.when(sign["ok"], True).when(sign["bad"], False).when(cached, F.lower(body).contains("hit"))
+    return F.when(sign["ok"], True).when(sign["bad"], False).when(cached, low.contains("hit"))
 
 
 def parse_auth_lines(lines: DataFrame, year: int, zone: str = "UTC", now: Column | None = None) -> DataFrame:
@@ -106,28 +110,28 @@ def parse_auth_lines(lines: DataFrame, year: int, zone: str = "UTC", now: Column
 def rejected_lines(lines: DataFrame, year: int = 1970) -> DataFrame:
     """The lines `parse_auth_lines` drops, blank ones aside."""
     headed = with_headers(lines, year, keep_all=True)
-    bad = F.col("body").isNull() | ~is_relevant(F.col("service"), F.col("body"))
-    return headed.where((F.col("raw") != "") & bad).drop("ts", "service", "pid", "body")
+    bad = F.col("body").isNull() | ~is_relevant(F.col("service"), F.col("low"), signs(F.col("low")))
+    return headed.where((F.col("raw") != "") & bad).drop("ts", "service", "pid", "body", "low")
 
 
 def type_events(headed: DataFrame) -> DataFrame:
     """Relevant events with all their columns, from service, pid and body."""
-    body, service = F.col("body"), F.col("service")
-    rest = [c for c in headed.columns if c not in ("raw", "ts", "service", "pid", "body")]
-    module = F.regexp_extract(body, A.MODULE, 1)
+    body, low, service = F.col("body"), F.col("low"), F.col("service")
+    rest = [c for c in headed.columns if c not in ("raw", "ts", "service", "pid", "body", "low")]
+    module = _extract(body, low, "pam_", A.MODULE)
     found = F.struct(
         F.when(module != "", F.concat(F.lit("pam_"), module, F.lit(".so"))).otherwise("").alias("module"),
-        *[sign.alias(f"__{name}") for name, sign in signs(body).items()])
+        *[sign.alias(f"__{name}") for name, sign in signs(low).items()])
     signed = headed.select("*", F.inline(F.array(found)))
     sign = {name: F.col(f"__{name}") for name in SIGNS}
-    return signed.where(is_relevant(service, body, sign)).select(
-        *rest, "ts", "raw", event_type(service, body, F.col("module"), sign).alias("event_type"), "service",
-        F.rtrim(F.regexp_extract(body, A.USER, 1), F.lit(")")).alias("user"),
-        F.regexp_extract(body, A.RHOST, 1).alias("rhost"),
-        F.regexp_extract(body, A.TTY, 1).alias("tty"),
-        "pid", phase(body, sign).alias("phase"), "module", F.lit("").alias("control"),
+    return signed.where(is_relevant(service, low, sign)).select(
+        *rest, "ts", "raw", event_type(service, body, low, F.col("module"), sign).alias("event_type"), "service",
+        F.rtrim(_extract(body, low, "user", A.USER), F.lit(")")).alias("user"),
+        _extract(body, low, "rhost", A.RHOST).alias("rhost"),
+        _extract(body, low, "tty", A.TTY).alias("tty"),
+        "pid", phase(low, sign).alias("phase"), "module", F.lit("").alias("control"),
         F.when(sign["ok"], "PAM_SUCCESS").when(sign["bad"], "PAM_AUTH_ERR").otherwise("").alias("result"),
-        success(body, sign).alias("success"), body.alias("detail"),
+        success(low, sign).alias("success"), body.alias("detail"),
         F.concat_ws(":", service, F.col("pid").cast("string")).alias("session_id"),
     )
 

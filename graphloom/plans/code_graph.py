@@ -22,8 +22,10 @@ def build_graph(files: DataFrame, root_name: str, depth: int = 2, extensions: li
     if depth < 2:
         nodes = graph.union_nodes(graph.dir_nodes(folders), graph.file_nodes(kept)).drop("legacy_id")
         return nodes, graph.union_edges(graph.dir_edges(folders), graph.file_edges(kept))
-    parsed = cut_lineage(pyast.parse_python(kept))  # one parse feeds nodes, edges and imports
-    nodes, edges = whole_graph(kept, extract.extract_symbols(kept).drop("meta"), parsed, root_name)
+    # One parse and one extraction feed nodes, edges and imports; both are far smaller than the text.
+    parsed = cut_lineage(pyast.parse_python(kept))
+    symbols = cut_lineage(extract.extract_symbols(kept).drop("meta"))
+    nodes, edges = whole_graph(kept.drop("raw"), symbols, parsed, root_name)
     all_dirs = graph.dir_nodes(folders).select(nodes.columns)
     return graph.merge_nodes(all_dirs, nodes), graph.dedupe_edges(graph.union_edges(graph.dir_edges(folders), edges))
 

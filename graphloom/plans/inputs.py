@@ -32,6 +32,12 @@ def with_inputs(*names: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTE[n][1]})" for n in ordered) + "\n"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a table of few splits one task per core before its rows fan out; larger ones stay as read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 # ---- listing of web pages -----------------------------------------------------------------
 
 CTE["page_files"] = ([], r"""
@@ -107,7 +113,7 @@ CTE["py_files"] = (["parts"], "SELECT 'src/' || b || '/' || n || '.py' AS path,
 
 
 def _parts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select(
+    return spread(table(spark, sf, "part").select("p_partkey", "p_name", "p_brand"), "p_partkey").select(
         "p_partkey", F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_partkey").cast("string")).alias("n"),
         F.concat(F.lit("b"), F.regexp_extract("p_brand", "[0-9]+", 0)).alias("b"))
 
@@ -215,7 +221,8 @@ def render_lines(events: DataFrame) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return render_lines(table(spark, sf, "events"))
+    events = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return render_lines(spread(events, "event_id"))
 
 
 def auth_events(spark: SparkSession, sf: str) -> DataFrame:
