@@ -36,11 +36,16 @@ def c5a_parse_header(spark, sf):
 # The same events as journal lines with an offset of two hours.
 @query("""SELECT event_id AS line_no, round(epoch(ts) - 7200, 6) AS ts, CAST(user_id AS BIGINT) AS pid FROM events""")
 def c5a_parse_journal_header(spark, sf):
-    events = table(spark, sf, "events")
-    stamp = F.replace(F.rpad(F.concat(F.col("ts").cast("string"), F.when(F.col("ts").cast("string").contains("."), "").otherwise(".")), 26, "0"), F.lit(" "), F.lit("T"))
+    return auth.with_headers(journal_lines(spark, sf), 2024).select(
+        "line_no", F.round(_epoch("ts"), 6).alias("ts"), F.col("pid").cast("long").alias("pid"))
+
+
+def journal_lines(spark, sf):
+    """The events as journal lines with microseconds and an offset."""
+    text = F.col("ts").cast("string")
+    stamp = F.replace(F.rpad(F.concat(text, F.when(text.contains("."), "").otherwise(".")), 26, "0"), F.lit(" "), F.lit("T"))
     line = F.concat(stamp, F.lit("+02:00 host sshd["), F.col("user_id").cast("string"), F.lit("]: Accepted"))
-    lines = events.select(line.alias("value"), F.lit("journal").alias("file"), F.col("event_id").alias("line_no"))
-    return auth.with_headers(lines, 2024).select("line_no", F.round(_epoch("ts"), 6).alias("ts"), F.col("pid").cast("long").alias("pid"))
+    return table(spark, sf, "events").select(line.alias("value"), F.lit("journal").alias("file"), F.col("event_id").alias("line_no"))
 
 
 # Months and days out of the events' hours: many are no calendar day and give NULL.

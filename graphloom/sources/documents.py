@@ -24,9 +24,16 @@ def load_lexicon(spark: SparkSession, language: str, folder: str = LEXICONS) ->
 
 
 def read_compile_commands(spark: SparkSession, path: str) -> DataFrame:
-    """(file, args): compiler, -o... and -c left out of the arguments."""
-    entries = spark.read.schema(COMPILE_COMMANDS).option("multiLine", "true").json(path)
-    words = F.when(F.col("command").isNotNull(), F.split(F.trim("command"), r"\s+")).otherwise(
+    """(file, args) of build databases, each a JSON array."""
+    return compile_arguments(spark.read.schema(COMPILE_COMMANDS).option("multiLine", "true").json(path))
+
+
+def compile_arguments(entries: DataFrame) -> DataFrame:
+    """Arguments without the compiler, -o... and -c; quotes around an argument are dropped."""
+    # Words are runs of quoted and unquoted text, as a shell would split them.
+    shell_words = F.transform(F.regexp_extract_all("command", F.lit(r"((?:\"[^\"]*\"|'[^']*'|[^\s\"'])+)"), F.lit(1)),
+                              lambda w: F.regexp_replace(w, "[\"']", ""))
+    words = F.when(F.col("command").isNotNull(), shell_words).otherwise(
         F.slice("arguments", F.lit(2), F.greatest(F.size("arguments"), F.lit(1))))
     args = F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1)))
     return entries.select("file", F.filter(args, lambda a: ~a.startswith("-o") & (a != "-c")).alias("args"))

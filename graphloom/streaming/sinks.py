@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 
 def write_batches(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", available_now: bool = True,
@@ -29,3 +29,21 @@ def read_batches(spark: SparkSession, out: str, schema) -> DataFrame:
     """All written batches with their number in `batch`."""
     return spark.read.schema(schema).option("basePath", out).parquet(out).withColumn(
         "batch", F.regexp_extract(F.col("_metadata.file_path"), r"batch=(\d+)", 1).cast("long"))
+
+
+def on_progress(spark: SparkSession, callback: Callable[[str, int, int], None]) -> StreamingQueryListener:
+    """Call back with (query name or id, batch, input rows) after every micro-batch; returns the listener to remove."""
+    class Report(StreamingQueryListener):
+        def onQueryStarted(self, event) -> None: ...
+
+        def onQueryIdle(self, event) -> None: ...
+
+        def onQueryTerminated(self, event) -> None: ...
+
+        def onQueryProgress(self, event) -> None:
+            p = event.progress
+            callback(p.name or str(p.id), p.batchId, p.numInputRows)
+
+    listener = Report()
+    spark.streams.addListener(listener)
+    return listener
