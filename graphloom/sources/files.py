@@ -21,7 +21,7 @@ def decode_capped(content: Column, length: Column) -> Column:
 def scan_tree(spark: SparkSession, root: str, extensions: list[str] | None = None,
               excluded: list[str] | None = None, repo: str | None = None) -> DataFrame:
     """`files` below a folder. Extension and directory filters see paths only, so skipped files are never read."""
-    # A marker's absolute form gives the same prefix Spark reports for the files below it.
+    # The folder's qualified form is the prefix of the paths Spark reports for the files below it.
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(hadoop):
@@ -32,8 +32,7 @@ def scan_tree(spark: SparkSession, root: str, extensions: list[str] | None = Non
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     relative = F.substring(F.col("path"), len(prefix) + 1, 1 << 30)
     name = paths.base_name(F.col("__rel"))
-    listed = found.withColumn("__rel", F.url_decode(F.replace(relative, F.lit("+"), F.lit("%2B")))).withColumn(
-        "folder", paths.parent(F.col("__rel"))).withColumn("ext", paths.suffix(name))
+    listed = found.withColumn("__rel", relative).withColumn("folder", paths.parent(F.col("__rel"))).withColumn("ext", paths.suffix(name))
     kept = filters.exclude_dirs(filters.ext_filter(listed, extensions), excluded)
 
     def rows(part: DataFrame, raw: Column) -> DataFrame:
