@@ -144,7 +144,7 @@ def d7_field_of(spark, sf):
 
 
 @query(W("call_sites", "call_nodes") + """
-    SELECT src, dst, round(least(3.0, 0.5 + 0.4 * count(*)), 6) AS weight FROM call_sites
+    SELECT src, dst, CAST(round(least(3.0, 0.5 + 0.4 * count(*)), 6) AS DOUBLE) AS weight FROM call_sites
     WHERE src IN (SELECT id FROM call_nodes) AND dst IN (SELECT id FROM call_nodes) GROUP BY src, dst""")
 def d8_calls(spark, sf):
     return graph.calls(I.call_sites(spark, sf), I.call_nodes(spark, sf)).select("src", "dst", F.round("weight", 6).alias("weight"))
@@ -266,7 +266,7 @@ _STYLE = {r[0]: r for r in S.palette_rows()}
 _AS_TYPE = "CASE p_type WHEN 'PROMO' THEN 'ClassDef' WHEN 'ECONOMY' THEN 'Import' WHEN 'SMALL' THEN 'While' WHEN 'MEDIUM' THEN 'BinOp' ELSE 'Other' END"
 
 
-@query(f"SELECT p_partkey, t.base, t.label, t.alpha, CAST(t.size AS BIGINT) AS size, t.shape, t.color FROM (SELECT p_partkey, {_AS_TYPE} AS type FROM part) JOIN (VALUES "
+@query(f"SELECT p_partkey, t.base, t.label, CAST(t.alpha AS DOUBLE) AS alpha, CAST(t.size AS BIGINT) AS size, t.shape, t.color FROM (SELECT p_partkey, {_AS_TYPE} AS type FROM part) JOIN (VALUES "
        + ", ".join(str((a,) + _STYLE[b][1:]) for a, b in (("ClassDef", "ClassDef"), ("Import", "Import"), ("While", "While"), ("BinOp", "BinOp"), ("Other", "Unknown")))
        + ") t(type, base, label, alpha, size, shape, color) USING (type)")
 def d21_style_by_type(spark, sf):
