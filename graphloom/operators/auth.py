@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.fixed import auth as A
@@ -161,9 +161,31 @@ def session_summary(events: DataFrame, keys: list[str] | None = None, seq: str =
 
 
 def windowed_sessions(events: DataFrame, gap: str, seq: str = "seq") -> DataFrame:
-    """Sessions that also end after a silence of `gap`, so a reused pid starts a new one."""
-    keyed = events.withColumn("at", F.col("ts"))
-    return session_summary(keyed, ["session_id", F.session_window("at", gap)], seq).drop("session_window")
+    """Sessions that also end after a silence of `gap`, so a reused pid starts a new one.
+
+    Events of one key in one time cell of width `gap` always share a session. They are folded
+    into one row per cell first, map-side, so that only cells, and never a hot key's events,
+    meet in the window that looks for silences.
+    """
+    zero = F.timestamp_seconds(F.lit(0))
+    width = F.unix_micros(zero + F.expr(f"INTERVAL '{gap}'"))
+    at, kind = F.struct("ts", seq), F.col("event_type")
+    who = F.struct("service", "user", "rhost")
+    cells = events.groupBy("session_id", F.floor(F.unix_micros("ts") / width).alias("cell")).agg(
+        F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.min_by(who, at).alias("first"), F.max_by(who, at).alias("last"),
+        F.count(F.lit(1)).alias("n"), F.bool_or(kind == "access_granted").alias("granted"), F.bool_or(kind == "access_denied").alias("denied"))
+    by_time = Window.partitionBy("session_id").orderBy("cell")
+    silence = F.unix_micros("first_at.ts") - F.unix_micros(F.lag("last_at.ts").over(by_time))
+    numbered = cells.withColumn("starts", F.when(silence < width, 0).otherwise(1)).withColumn("part", F.sum("starts").over(by_time))
+
+    def first_or_last(c: str) -> Column:
+        return text.or_else(F.min_by(f"first.{c}", "first_at"), F.max_by(f"last.{c}", "last_at"))
+
+    return numbered.groupBy("session_id", "part").agg(
+        F.min_by("first.service", "first_at").alias("service"), first_or_last("user").alias("user"), first_or_last("rhost").alias("rhost"),
+        F.sum("n").alias("event_count"), F.min("first_at.ts").alias("start_ts"), F.max("last_at.ts").alias("end_ts"),
+        F.when(F.bool_or("granted"), "granted").when(F.bool_or("denied"), "denied").otherwise("unknown").alias("result"),
+    ).drop("part")
 
 
 def replay_schedule(events: DataFrame, seq: str = "seq", longest: float = 30.0, speed: float = 3.0) -> DataFrame:

@@ -175,9 +175,9 @@ def i1_shell_by_kind(spark, sf):
 
 
 @query(W("numbered") + f""", p AS (SELECT id, i * cos(0.35 * i) AS x, i * sin(0.35 * i) AS y FROM numbered), c AS (SELECT avg(x) AS ax, avg(y) AS ay FROM p),
-    m AS (SELECT max(greatest(abs(x - ax), abs(y - ay))) AS lim FROM p, c) SELECT id, {_xy("(x - ax) / lim", "(y - ay) / lim")} FROM p, c, m""")
+    m AS (SELECT max(greatest(abs(x - ax), abs(y - ay))) AS lim FROM p, c) SELECT id, round((x - ax) / lim, 4) + 0.0 AS x, round((y - ay) / lim, 4) + 0.0 AS y FROM p, c, m""")
 def i2_spiral(spark, sf):
-    return _rounded(layout.spiral(I.tree_nodes(spark, sf)))
+    return _rounded(layout.spiral(I.tree_nodes(spark, sf)), 4)
 
 
 @query()

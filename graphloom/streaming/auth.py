@@ -30,7 +30,8 @@ def current_sessions(versions: DataFrame) -> DataFrame:
 
 def stream_windowed_sessions(events: DataFrame, gap: str, late: str, seq: str = "seq") -> DataFrame:
     """Sessions finished by a silence of `gap`, for append mode; state is dropped once they are out."""
-    return auth.windowed_sessions(events.withWatermark("ts", late), gap, seq)
+    timed = events.withWatermark("ts", late)
+    return auth.session_summary(timed, ["session_id", F.session_window("ts", gap)], seq).drop("session_window")
 
 
 def recent(written: DataFrame, limit: int = 2000, seq: str = "seq") -> DataFrame:

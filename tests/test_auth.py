@@ -130,3 +130,13 @@ def test_component_states(spark):
                    "sssd_nss": "active"}
     ended = df.withColumn("event_type", F.when(F.col("seq") == 5, "pam_end").otherwise(F.col("event_type")))
     assert {r["state"] for r in auth.latest_component_states(ended).collect()} == {"idle"}
+
+
+def test_silence_ends_a_session(spark):
+    seconds = [0, 50, 149, 249, 250, 351, 1000]
+    rows = [("a", t, i, f"u{i}") for i, t in enumerate(seconds)] + [("b", 20, 90, "")]
+    df = spark.createDataFrame(rows, "session_id string, t long, seq long, user string").select(
+        "*", F.timestamp_seconds("t").alias("ts"), F.lit("sshd").alias("service"), F.lit("").alias("rhost"), F.lit("unknown").alias("event_type"))
+    got = auth.windowed_sessions(df, "100 seconds").withColumns({c: F.unix_seconds(c) for c in ("start_ts", "end_ts")})
+    assert sorted((r["session_id"], r["start_ts"], r["end_ts"], r["event_count"], r["user"]) for r in got.collect()) == [
+        ("a", 0, 149, 3, "u0"), ("a", 249, 250, 2, "u3"), ("a", 351, 351, 1, "u5"), ("a", 1000, 1000, 1, "u6"), ("b", 20, 20, 1, "")]
