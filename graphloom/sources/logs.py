@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import auth, filters
 from graphloom.operators.ranking import ranked, tail_lines
+from graphloom.schemas import LOG_LINES
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, file, line_no) of one or many log files; unreadable files give no rows.
+    """(value, file, line_no) of one or many log files; missing or unreadable files give no rows.
 
     Files are read in splits, so their size does not matter. A line's place is its split's
     offset and its position there; the number is counted from those.
     """
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place):
+        return spark.createDataFrame([], LOG_LINES)
     reader = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     rows = reader.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),

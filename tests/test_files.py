@@ -154,3 +154,16 @@ def test_line_numbers_across_splits(spark, tmp_path):
         assert got.where(F.col("value") != F.concat(F.lit("line "), F.col("line_no"))).count() == 0 and got.count() == 2000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_missing_log_gives_no_events(spark, tmp_path):
+    assert logs.read_log_history(spark, str(tmp_path / "none.log"), 2025).count() == 0
+    assert logs.read_log_history(spark, str(tmp_path / "*.log"), 2025).count() == 0
+
+
+def test_journal_export_cutoff_and_units(spark, tmp_path):
+    rows = [f"2025-02-27T14:{m:02}:01+0100 h {s}[7]: Accepted x" for m, s in ((0, "sshd"), (40, "sshd"), (41, "sudo"))]
+    (tmp_path / "j.log").write_text("\n".join(rows) + "\nnoise\n")
+    now = F.lit("2025-02-27 13:45:00+00:00").cast("timestamp")
+    assert logs.read_journal_export(spark, str(tmp_path / "j.log"), now, 30).count() == 2
+    assert logs.read_journal_export(spark, str(tmp_path / "j.log"), now, 30, ["sudo"]).count() == 1
