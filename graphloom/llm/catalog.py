@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import language_id, quality
+from graphloom.llm import html_text, language_id, quality, top_k
 from graphloom.llm.common import crc_mod, table
 from graphloom.llm.registry import ORACLES, QUERIES, query
 
@@ -25,3 +25,25 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = quality.train(docs.filter(crc_mod("doc_id", 3) != 1), table(spark, sf_dir, "labels"))
     scored = quality.score(docs.withColumn("held_out", crc_mod("doc_id", 3) == 1), net, ("doc_id", "held_out"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op9_html_text")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+#: The same answer from all pairs of a query and a candidate.
+TOP_K_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+"""
+
+
+@query("op10_top_k", TOP_K_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = top_k.whole_vectors(table(spark, sf_dir, "embeddings"))
+    return top_k.search(vectors.filter(F.col("vec_id") % 20 == 0), vectors)
