@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import html_text, language_id, pii, quality, top_k
+from graphloom.llm import decontaminate, html_text, language_id, pii, quality, top_k
 from graphloom.llm.common import crc_mod, table
 from graphloom.llm.registry import ORACLES, QUERIES, query
 
@@ -26,6 +26,33 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.withColumn("held_out", crc_mod("doc_id", 4) == 2), model, ("doc_id", "held_out"))
 
 
+#: Windows of an item's size around shared shingles, weighted Jaccard by multisets of shingle texts.
+DECONTAMINATION_SQL = """
+WITH d AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, w, len(w) AS n, least(len(w), 5) AS k FROM
+  (SELECT DISTINCT item_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) > 0),
+bs AS (SELECT item_id, n, k, unnest(range(0, n - k + 1)) AS off, w FROM b),
+bh AS (SELECT item_id, n, k, off, list_aggregate(w[off + 1:off + k], 'string_agg', ' ') AS s FROM bs),
+ds AS (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS pos FROM d, (SELECT DISTINCT k FROM b) WHERE len(w) >= k),
+dh AS (SELECT doc_id, len(w) AS size, k, pos, list_aggregate(w[pos + 1:pos + k], 'string_agg', ' ') AS s FROM ds),
+seeds AS (SELECT DISTINCT dh.doc_id, bh.n, bh.k, greatest(0, least(pos - off, size - n)) AS start FROM dh JOIN bh ON dh.s = bh.s AND dh.k = bh.k),
+win AS (SELECT seeds.doc_id, n, k, start, w[start + 1:start + n] AS w FROM seeds JOIN d ON d.doc_id = seeds.doc_id),
+sh AS (SELECT *, list_transform(range(0, greatest(len(w) - k, 0) + 1), lambda i: list_aggregate(w[i + 1:i + k], 'string_agg', ' ')) AS a FROM win),
+ib AS (SELECT *, list_transform(range(0, n - k + 1), lambda i: list_aggregate(w[i + 1:i + k], 'string_agg', ' ')) AS a FROM b),
+num AS (SELECT doc_id, n, start, len(w) AS n_words, list_transform(a, lambda s, i: s || '#' || len(list_filter(a[1:i], lambda x: x = s))) AS a FROM sh),
+nib AS (SELECT item_id, n, list_transform(a, lambda s, i: s || '#' || len(list_filter(a[1:i], lambda x: x = s))) AS a FROM ib),
+pairs AS (SELECT doc_id, item_id, start, n_words, len(list_intersect(num.a, nib.a)) AS shared, len(num.a) + len(nib.a) AS total FROM num JOIN nib ON num.n = nib.n),
+good AS (SELECT *, CAST(shared AS DOUBLE) / (total - shared) AS similarity FROM pairs WHERE CAST(shared AS DOUBLE) / (total - shared) >= 0.8)
+SELECT doc_id, item_id, similarity, CAST(start AS INTEGER) AS start_word, CAST(n_words AS INTEGER) AS n_words
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS r FROM good) WHERE r = 1
+"""
+
+
+@query("op4_decontamination", DECONTAMINATION_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op6_quality")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -41,9 +68,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same answer from all pairs of a query and a candidate.
 TOP_K_SQL = """
-WITH e AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM e q JOIN e c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20

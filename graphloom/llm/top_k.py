@@ -93,7 +93,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 20, shard_rows: i
     n_blocks = max(1, -(-queries.count() // query_block))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     q = queries.groupBy("vec_id").agg(F.min("vec").alias("vec")).withColumn("dim", F.size("vec")).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(n_blocks)))
-    c = candidates.withColumn("dim", F.size("vec")).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(n_shards))).withColumn("block", every(n_blocks))
+    c = candidates.select(F.col("vec_id").alias("cand_id"), F.col("vec").alias("cand_vec")).withColumn("dim", F.size("cand_vec")).withColumn("shard", F.pmod(F.xxhash64("cand_id"), F.lit(n_shards))).withColumn("block", every(n_blocks))
 
     def searched(kth: DataFrame | None, most_leaves: int | None) -> DataFrame:
         known = q.withColumn("kth", F.lit(float("-inf"))) if kth is None else q.join(kth, "vec_id", "left").fillna(float("-inf"), ["kth"])
@@ -102,7 +102,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 20, shard_rows: i
         def run(_, asked, there):
             if not len(asked) or not len(there):
                 return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-            tree = BallTree(there["vec_id"].to_numpy(), np.array(there["vec"].tolist()))
+            tree = BallTree(there["cand_id"].to_numpy(), np.array(there["cand_vec"].tolist()))
             own = asked["vec_id"].to_numpy()
             score, ids = tree.search(own, np.array(asked["vec"].tolist()), k, asked["kth"].to_numpy(), most_leaves)
             row, at = np.nonzero(np.isfinite(score))
