@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, html_text, language_id, pii, quality, top_k
+from graphloom.llm import decontaminate, html_text, language_id, near_copies, pii, quality, top_k
 from graphloom.llm.common import crc_mod, table
 from graphloom.llm.registry import ORACLES, QUERIES, query
 
@@ -19,6 +19,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)], F.sha2(pii.digest("base"), 256).alias("base_sha256"), pii.digest("all").alias("spans"))
 
 
+@query("op2_near_copies")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.join(table(spark, sf_dir, "documents"))
+
+
 @query("op3_language_id")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

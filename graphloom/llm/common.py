@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.session import run_dir
+
 #: Bytes that separate words, as in `[^\x20\x09-\x0D]+`.
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -93,3 +95,43 @@ def shingles(hashes: np.ndarray, k: int, base: int = BASES[1]) -> np.ndarray:
         return np.zeros(0, np.uint64)
     at = np.arange(n)
     return runs(hashes, at, at + k, base)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as Parquet in the shared folder and read again: it survives lost executors and
+    carries no partitioning, so that both sides of a later join are shuffled and skewed keys split."""
+    path = run_dir(df.sparkSession, f"llm-{name}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
+    """Marked for broadcast if its counted rows (of well under 100 bytes) are at most `most`; else joined by shuffle."""
+    return F.broadcast(df) if rows <= most else df
+
+
+def by_group(batches, keys: list[str]):
+    """Frames that hold whole groups of an input sorted by `keys`; a group may span batches."""
+    import pandas as pd
+
+    held = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        last = pdf[keys].iloc[-1]
+        same = np.ones(len(pdf), bool)
+        for k in keys:
+            same &= (pdf[k] == last[k]).to_numpy()
+        cut = len(pdf) - int(np.argmin(same[::-1])) if not same.all() else 0
+        if cut == 0 and held and all(held[-1][k].iloc[-1] == last[k] for k in keys):
+            held.append(pdf)
+            continue
+        if cut == 0:
+            if held:
+                yield pd.concat(held, ignore_index=True)
+            held = [pdf]
+            continue
+        yield pd.concat([*held, pdf.iloc[:cut]], ignore_index=True)
+        held = [pdf.iloc[cut:]]
+    if held:
+        yield pd.concat(held, ignore_index=True)
