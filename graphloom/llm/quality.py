@@ -102,13 +102,14 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = 20, rate: float = 4
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, longest: int = LONGEST) -> Net:
-    """A network learnt from a bounded sample: at most `per_label` texts of at most `longest` characters of either quality.
+    """A network learnt from a bounded sample: at most `per_label` labelled ids of either quality, with texts of at most `longest` characters.
 
     A document with several label rows counts by its largest label; null labels and texts are skipped.
     """
     told = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("_quality"))
+    chosen = bounded_sample(told, "_quality", "doc_id", per_label)  # of ids first, so that no text is shuffled
     texts = docs.filter(F.col("text").isNotNull() & (F.length("text") <= longest)).select("doc_id", "text")
-    rows = bounded_sample(texts.join(told, "doc_id"), "_quality", "doc_id", per_label).select("text", "_quality").orderBy(F.xxhash64("text")).toLocalIterator()
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "_quality").orderBy(F.xxhash64("text")).toLocalIterator()
     pairs = [(r[0].encode(), r[1]) for r in rows]
     return fit([t for t, _ in pairs], [q for _, q in pairs])
 
