@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, html_text, language_id, near_copies, pii, quality, top_k
+from graphloom.llm import decontaminate, html_text, language_id, near_copies, pii, quality, repeats, top_k
 from graphloom.llm.common import crc_mod, table
 from graphloom.llm.registry import ORACLES, QUERIES, query
 
@@ -61,11 +61,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_quality")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    net = quality.train(docs.filter(crc_mod("doc_id", 3) != 1), table(spark, sf_dir, "labels"))
+    learnt = crc_mod("doc_id", 3) != 1
+    net = quality.train(docs.filter(learnt), table(spark, sf_dir, "labels").filter(learnt))
     scored = quality.score(docs.withColumn("held_out", crc_mod("doc_id", 3) == 1), net, ("doc_id", "held_out"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+@query("op7_repeats")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(table(spark, sf_dir, "documents"), digest=True)
+
+
 @query("op9_html_text")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))

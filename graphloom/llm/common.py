@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -105,6 +107,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete written tables that no later plan reads, and let Spark drop the shuffle files of finished plans."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for t in tables:
+        folders = {f.rpartition("/")[0] for f in t.inputFiles()}
+        for folder in folders:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def bounded(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
     """Marked for broadcast if its counted rows (of well under 100 bytes) are at most `most`; else joined by shuffle."""
     return F.broadcast(df) if rows <= most else df
