@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from graphloom.llm import decontaminate, html_text, language_id, mixing, near_copies, pii, quality, repeats, top_k
 from graphloom.llm.common import crc_mod, table
 from graphloom.llm.registry import ORACLES, QUERIES, query
@@ -72,19 +73,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove(table(spark, sf_dir, "documents"), digest=True)
 
 
-#: Token shares asked for by op8 and the pipeline.
-TARGETS = {"clean": 0.94, "toxic": 0.01, "low": 0.05}
-
-
-def domains_of(labels: DataFrame) -> DataFrame:
-    """doc_id and domain: low quality, else toxic, else clean; rows without quality or toxicity have none."""
-    domain = F.when(F.col("quality") == 0, "low").when((F.col("quality") == 1) & (F.col("toxic") == 1), "toxic").when((F.col("quality") == 1) & (F.col("toxic") == 0), "clean")
-    return labels.select("doc_id", domain.alias("domain"))
-
-
 @query("op8_mixing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), domains_of(table(spark, sf_dir, "labels")), TARGETS)
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.domains_of(table(spark, sf_dir, "labels")), mixing.TARGETS)
 
 
 @query("op9_html_text")
@@ -107,3 +98,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = top_k.whole_vectors(table(spark, sf_dir, "embeddings"))
     return top_k.search(vectors.filter(F.col("vec_id") % 20 == 0), vectors)
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

@@ -1,8 +1,9 @@
 """Soft-membership mixing: document rates whose expected domain tokens match targets, in DataFrame functions.
 
-1. A classifier is learnt from a labelled table: for every hash bucket of words the documents of each
-   domain that hold it are counted, and buckets that a domain holds significantly more often than
-   the rest (z score of Z or more, RATIO times as often) give it their log ratio of shares, as in naive Bayes.
+1. A classifier is learnt from a labelled table: for every word, by its hash, the documents of each
+   domain that hold it are counted; words that some domain holds significantly more often than the
+   rest (z score of Z or more, RATIO times as often), both as a share of its documents and of all
+   words they hold, give every domain the log ratio of its share to that of all, as in naive Bayes.
 2. Every document gets its posteriors p over the domains from the words it holds.
 3. Rates r >= 0 minimise (A r - T)' W (A r - T) by projected gradient, A holding the expected tokens
    n * p of each domain and T the target totals. W is the inverse of sum(n p p'), so a step of
@@ -18,12 +19,21 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import bounded_sample, stored
 
-BUCKETS = 1 << 16  # of hashed words; bounds the table of weights
+FEATURES = 1 << 16  # words with the highest z scores that count; bounds the table of weights
 PER_DOMAIN = 2_000  # labelled documents of a domain that are learnt from
-Z, RATIO = 4.0, 2.0  # least z score and least ratio of shares of a bucket that counts
+Z, RATIO = 6.0, 3.0  # least z score and least ratio of shares of a word that counts
 ROUNDS = 60
 TOLERANCE = 1e-9  # of the largest miss, as a share of all tokens
 
+#: Token shares asked for by the registered query and the pipeline.
+TARGETS = {"clean": 0.94, "toxic": 0.01, "low": 0.05}
+
+
+def domains_of(labels: DataFrame) -> DataFrame:
+    """doc_id and domain: low quality, else toxic, else clean; rows without quality or toxicity have none."""
+    domain = F.when(F.col("quality") == 0, "low").when((F.col("quality") == 1) & (F.col("toxic") == 1), "toxic").when((F.col("quality") == 1) & (F.col("toxic") == 0), "clean")
+    return labels.select("doc_id", domain.alias("domain"))
+
 
 def _words(text: Column | str = "text") -> Column:
     text = F.col(text) if isinstance(text, str) else text
@@ -31,52 +41,66 @@ def _words(text: Column | str = "text") -> Column:
 
 
 def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+    return F.xxhash64(word)
 
 
-def learn(docs: DataFrame, labelled: DataFrame, per_domain: int = PER_DOMAIN) -> tuple[list[str], list[float], DataFrame]:
-    """Domains in alphabetical order, their log priors, and the weights of the significant buckets.
+def learn(docs: DataFrame, labelled: DataFrame, per_domain: int = PER_DOMAIN) -> tuple[list[str], list[tuple[float, float]], DataFrame]:
+    """Domains in alphabetical order, log priors of a text without and with significant words, and those words' weights.
 
     `labelled` has doc_id and domain; an id with several domains counts by the smallest. At most
-    `per_domain` ids of each domain are learnt from; the priors come from all labelled ids.
+    `per_domain` ids of each domain are learnt from; the priors come from all labelled documents.
     """
     told = labelled.filter(F.col("domain").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
+    told = told.join(docs.select("doc_id"), "doc_id", "left_semi")
     counts = {r[0]: r[1] for r in told.groupBy("domain").count().collect()}
     domains = sorted(counts)
     every = sum(counts.values())
     priors = [float(np.log(counts[d] / every)) for d in domains]
     chosen = bounded_sample(told, "domain", "doc_id", per_domain)
-    held = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("domain", F.array_distinct(F.transform(_words(), _bucket)).alias("held"))
-    size = {r[0]: r[1] for r in held.groupBy("domain").count().collect()}
-    n = [float(size.get(d, 0)) for d in domains]
-    total = sum(n)
+    held = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "domain", F.array_distinct(F.transform(_words(), _bucket)).alias("held"))
+    size = {r[0]: (float(r[1]), float(r[2] or 0)) for r in held.groupBy("domain").agg(F.count(F.lit(1)), F.sum(F.size("held"))).collect()}
     counted = held.select("domain", F.explode("held").alias("bucket")).groupBy("bucket").agg(*[F.sum((F.col("domain") == d).cast("double")).alias(f"c{i}") for i, d in enumerate(domains)]) if domains else held.select(F.lit(0).alias("bucket")).limit(0)
-    weights = []
-    for i in range(len(domains)):
-        mine, rest = F.col(f"c{i}"), sum((F.col(f"c{j}") for j in range(len(domains)) if j != i), F.lit(0.0))
-        p1, p0 = (mine + 0.5) / (n[i] + 1), (rest + 0.5) / (total - n[i] + 1)
-        p = (mine + rest + 1) / (total + 2)
-        z = (p1 - p0) / F.sqrt(p * (1 - p) * (1 / (n[i] + 1) + 1 / (total - n[i] + 1)))
-        weights.append(F.when((z >= Z) & (p1 >= RATIO * p0), F.log(p1 / p0)).otherwise(0.0))
-    table = counted.select("bucket", F.array(*weights).cast("array<double>").alias("w"))
-    return domains, priors, stored(table.filter(F.exists("w", lambda x: x != 0)), "weights")
 
+    def shares(i: int, of: int) -> tuple[Column, Column, Column]:
+        """Log ratio to all, z score and ratio to the rest of the bucket's share of domain i's documents (of 0) or held words (of 1)."""
+        n = [size.get(d, (0.0, 0.0))[of] for d in domains]
+        total = sum(n)
+        mine, rest = F.col(f"c{i}"), sum((F.col(f"c{j}") for j in range(len(domains)) if j != i), F.lit(0.0))
+        p1, p0, p = (mine + 0.5) / (n[i] + 1), (rest + 0.5) / (total - n[i] + 1), (mine + rest + 1) / (total + 2)
+        return F.log(p1 / p), (p1 - p0) / F.sqrt(p * (1 - p) * (1 / (n[i] + 1) + 1 / (total - n[i] + 1))), p1 / p0
 
-def posteriors(docs: DataFrame, domains: list[str], priors: list[float], weights: DataFrame) -> DataFrame:
+    marks, weights, scores = [], [], []
+    for i in range(len(domains)):
+        (_, z0, r0), (weight, z1, r1) = shares(i, 0), shares(i, 1)
+        marks.append((F.least(z0, z1) >= Z) & (F.least(r0, r1) >= RATIO))
+        weights.append(weight)
+        scores.append(F.least(z0, z1))
+    marked = F.exists(F.array(*marks).cast("array<boolean>"), lambda x: x)
+    table = counted.select("bucket", F.array(*weights).cast("array<double>").alias("w"), marked.alias("marked"), F.array_max(F.array(*scores).cast("array<double>")).alias("z"))
+    table = table.filter("marked").orderBy(F.desc("z"), "bucket").limit(FEATURES).select("bucket", "w")
+    table = stored(table, "weights")
+    any_held = held.select("doc_id", "domain", F.explode_outer("held").alias("bucket")).join(F.broadcast(table), "bucket", "left").groupBy("doc_id", "domain").agg(F.max(F.col("w").isNotNull().cast("double")).alias("some"))
+    some = {r[0]: (r[1], r[2]) for r in any_held.groupBy("domain").agg(F.sum("some"), F.count(F.lit(1))).collect()}
+    share = [(some.get(d, (0.0, 0))[0] + 0.5) / (some.get(d, (0.0, 0))[1] + 1) for d in domains]
+    return domains, [(a + float(np.log(1 - x)), a + float(np.log(x))) for a, x in zip(priors, share, strict=True)], table
+
+
+def posteriors(docs: DataFrame, domains: list[str], priors: list[tuple[float, float]], weights: DataFrame) -> DataFrame:
     """doc_id, n_tokens and p (array of the domains' posteriors) of every document.
 
     Rows that repeat an id are one document with the tokens of all of them; a null text has no
-    tokens and the priors as posteriors.
+    tokens and no significant words, which leaves the priors.
     """
     words = docs.select("doc_id", _words().alias("_w")).select("doc_id", F.size("_w").alias("_n"), F.array_distinct(F.transform("_w", _bucket)).alias("_b"))
     each = words.select("doc_id", "_n", F.posexplode_outer("_b").alias("_at", "bucket"))
-    met = each.join(F.broadcast(weights), "bucket", "left")  # at most BUCKETS rows
+    met = each.join(F.broadcast(weights), "bucket", "left")  # at most FEATURES rows
     sums = [F.sum(F.coalesce(F.get("w", F.lit(i)), F.lit(0.0))).alias(f"s{i}") for i in range(len(domains))]
     tokens = F.sum(F.when(F.coalesce(F.col("_at"), F.lit(0)) == 0, F.col("_n")).otherwise(0)).cast("long").alias("n_tokens")
-    logits = [F.col(f"s{i}") + p for i, p in enumerate(priors)]
+    met_any = F.max(F.col("w").isNotNull()).alias("some")
+    logits = [F.col(f"s{i}") + F.when(F.col("some"), b).otherwise(a) for i, (a, b) in enumerate(priors)]
     top = F.greatest(*logits) if len(logits) > 1 else (logits[0] if logits else F.lit(0.0))
     raw = F.array(*[F.exp(x - top) for x in logits]).cast("array<double>")
-    out = met.groupBy("doc_id").agg(tokens, *sums).select("doc_id", "n_tokens", raw.alias("_raw"))
+    out = met.groupBy("doc_id").agg(tokens, met_any, *sums).select("doc_id", "n_tokens", raw.alias("_raw"))
     return out.select("doc_id", "n_tokens", F.transform("_raw", lambda x: x / F.aggregate("_raw", F.lit(0.0), lambda a, y: a + y)).alias("p"))
 
 
@@ -95,12 +119,13 @@ def solve(told: DataFrame, shares: list[float], rounds: int = ROUNDS, tolerance:
     if not total or not d:
         return rate, got.tolist()
     inverse = np.linalg.pinv(m + 1e-12 * total * np.eye(d), hermitian=True)
-    best, best_miss = rate, np.inf
+    best, least, best_got = rate, np.inf, got
     for _ in range(rounds):
         got = np.array([float(x or 0.0) for x in told.agg(*[F.sum(rate * n * p[i]) for i in range(d)]).first()])
         miss = float(np.abs(got - target).max()) / total
-        if miss < best_miss:
-            best, best_miss, best_got = rate, miss, got
+        loss = float((got - target) @ inverse @ (got - target))
+        if loss < least:
+            best, least, best_got = rate, loss, got
         if miss <= tolerance:
             break
         step = inverse @ (got - target)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,11 +122,9 @@ def score(docs: DataFrame, net: Net, keep: tuple[str, ...] = ("doc_id",)) -> Dat
     columns are not carried.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    kept = docs.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "_text"), "score double"])
 
-    def run(batches):
-        for pdf in batches:
-            yield pdf.drop(columns="_text").assign(score=[shared.value.probability(t.encode() if isinstance(t, str) else b"") for t in pdf["_text"]])
+    @F.pandas_udf("double")
+    def probability(texts: pd.Series) -> pd.Series:
+        return pd.Series([shared.value.probability(t.encode() if isinstance(t, str) else b"") for t in texts], dtype="float64")
 
-    return kept.mapInPandas(run, schema)
+    return docs.select(*keep, probability(F.col("text")).alias("score"))
