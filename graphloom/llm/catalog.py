@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphloom.llm import decontaminate, html_text, language_id, mixing, near_copies, pii, quality, repeats, top_k
+from graphloom.llm import decontaminate, html_text, language_id, mixing, near_copies, pii, pitman_yor, quality, repeats, top_k
 from graphloom.llm.common import crc_mod, table
 from graphloom.llm.registry import ORACLES, QUERIES, query
 
@@ -59,6 +59,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op5_pitman_yor")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2)
+
+
 @query("op6_quality")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
