@@ -59,7 +59,7 @@ class Net:
         return 1 / (1 + np.exp(-max(-60.0, min(60.0, z))))
 
 
-def fit(texts: list[bytes], labels: list[int], epochs: int = 20, rate: float = 4e-3, batch: int = 24, seed: int = 7) -> Net:
+def fit(texts: list[bytes], labels: list[int], epochs: int | None = None, rate: float = 4e-3, batch: int = 24, seed: int = 7) -> Net:
     """Adam on the mean log loss, good texts weighing twice as much as bad ones, as a wrongly dropped text is the greater loss; without both labels the prior alone is learnt."""
     net = Net.fresh(seed)
     y = np.array(labels, np.float32)
@@ -67,6 +67,7 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = 20, rate: float = 4
         net.weights[:] = 0
         net.base[:] = 0 if len(y) == 0 else (4 if y[0] else -4)
         return net
+    epochs = epochs or max(20, 1500 * batch // len(y))  # few texts are seen more often
     balance = np.where(y > 0, 2 / 3 / y.mean(), 1 / 3 / (1 - y.mean())).astype(np.float32)
     arrays = [np.frombuffer(t, np.uint8) for t in texts]
     names = ["embed", "filters", "bias", "weights", "base"]
