@@ -32,11 +32,6 @@ def or_else(first: Column, *others: Column) -> Column:
     return F.coalesce(*[F.nullif(o, F.lit("")) for o in options[:-1]], options[-1])
 
 
-def first_match(c: Column, pattern: str, group: int = 1) -> Column:
-    """Group of the first match, NULL when nothing matches (plain regexp_extract gives '')."""
-    return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
-
-
 def glob_pattern(globs: list[str]) -> str:
     """One anchored regex for a list of shell globs; runs once on the driver."""
     return "^(" + "|".join(re.sub(r"^\(\?s:|\)\\[Zz]$", "", fnmatch.translate(g)) for g in globs) + ")$"
@@ -58,5 +53,5 @@ def human_size(size: Column) -> Column:
     return ladder.otherwise(shown("TB", 1024 ** 4))
 
 
-def truncate(c: Column, limit: int = 500) -> Column:
+def truncate(c: Column, limit: int) -> Column:
     return F.substring(c, 1, limit)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.fixed import auth as A
 from graphloom.functions import text, times
 from graphloom.operators.ranking import recent_sessions
+from graphloom.operators.skew import own_shuffle
 
 
 _MARK = "\u0001"
@@ -192,7 +193,7 @@ def replay_schedule(events: DataFrame, seq: str = "seq", longest: float = 30.0,
     """Offset in seconds of each event from its session's first, capped and sped up."""
     first = events.groupBy("session_id").agg(F.min(F.struct("ts", seq)).alias("f"))
     offset = times.epoch(F.col("ts")) - times.epoch(F.col("f.ts"))
-    return events.join(first, "session_id").withColumn("offset", F.least(offset, F.lit(longest)) / F.lit(speed)).drop("f")
+    return events.join(own_shuffle(first), "session_id").withColumn("offset", F.least(offset, F.lit(longest)) / F.lit(speed)).drop("f")
 
 
 def log_status(events: DataFrame, seq: str = "seq", last: int = 20) -> DataFrame:

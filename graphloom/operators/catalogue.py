@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import keys, times
 from graphloom.operators.ranking import last_wins
+from graphloom.operators.skew import own_shuffle
 from graphloom.schemas import GRAPH_RUNS
 
 TTL_SECONDS = 86_400   # fixed value: how long a stored run is served
@@ -31,7 +32,7 @@ def live_runs(runs: DataFrame, tombstones: DataFrame | None = None) -> DataFrame
     if tombstones is not None:
         gone = tombstones.groupBy("scope").agg(F.max("ts").alias("gone_ts"))
         for column in ("key", "repo_key"):
-            newest = newest.join(gone.withColumnRenamed("scope", column), column, "left").where(
+            newest = newest.join(own_shuffle(gone.withColumnRenamed("scope", column)), column, "left").where(
                 F.col("gone_ts").isNull() | (F.col("ts") > F.col("gone_ts"))).drop("gone_ts")
     return newest
 
@@ -137,8 +138,14 @@ class RunStore:
                 "tree_key", "at").parquet(f"{self.root}/{table}")
 
     def get_tree(self, repo_key: str, now: Column, ttl: int = TTL_SECONDS) -> tuple[DataFrame, DataFrame] | None:
-        """Files and folders of the newest stored listing, None when stale; partitions are pruned by key and time."""
-        folders = self.spark.read.parquet(f"{self.root}/tree_folders").where(F.col("tree_key") == repo_key)
+        """Files and folders of the newest stored whole listing, None when there is none, it is stale or partial.
+
+        Partitions are pruned by key and time.
+        """
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/tree_folders")
+        if not place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place):
+            return None
+        folders = self.spark.read.parquet(f"{self.root}/tree_folders").where((F.col("tree_key") == repo_key) & ~F.col("is_partial"))
         latest = folders.agg(F.max("at").alias("at")).where((F.unix_micros(now) - F.col("at")) / F.lit(1e6) <= ttl).first()
         if latest is None or latest["at"] is None:
             return None

@@ -101,18 +101,22 @@ def match_symbols(lines: DataFrame) -> DataFrame:
 
 
 def extract_symbols(files: DataFrame, max_depth: int = 2, legacy_comments: bool = True) -> DataFrame:
-    """Depth-2 symbol nodes of all pattern languages, at most one per line."""
+    """Depth-2 symbol nodes of all pattern languages, at most one per line.
+
+    `legacy_id` is the id by bare file name, under which equal files merge.
+    """
     with_language = files.withColumn("language", filters.ext_to_language(F.col("ext")))
     wanted = [lang.name for lang in REGISTRY.rule_languages()]
     lines = explode_lines(with_language.where(F.col("language").isin(wanted)))
     symbols = match_symbols(filters.code_lines(lines, legacy_comments))
     nodes = symbols.select(
-        F.concat_ws("::", "language", "name", "kind", "label", F.col("line").cast("string")).alias("id"),
+        F.concat_ws("::", "language", "path", "kind", "label", F.col("line").cast("string")).alias("id"),
         F.lit(2).alias("depth"), "language", "kind", "label",
         text.or_else(F.col("url"), F.col("name")).alias("file"), "line",
         F.create_map().cast("map<string,string>").alias("meta"),
         F.lit(None).cast("string").alias("shape"), F.lit(None).cast("string").alias("color"),
         F.concat(F.lit("file::"), F.col("path")).alias("file_id"),
+        F.concat_ws("::", "language", "name", "kind", "label", F.col("line").cast("string")).alias("legacy_id"),
     )
     return nodes.where(F.col("depth") <= max_depth)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.fixed import languages as L
 from graphloom.functions import paths, text
+from graphloom.operators.skew import own_shuffle
 
 
 def extension_map() -> dict[str, str]:
@@ -113,15 +114,11 @@ def connected_only(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def drop_nodes(nodes: DataFrame, edges: DataFrame, dropped: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Remove nodes and the edges that touch them."""
     gone = dropped.select("id").distinct()
-    kept_edges = edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(
-        gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select(edges.columns)
+    kept_edges = edges.join(own_shuffle(gone.withColumnRenamed("id", "src")), "src", "left_anti").join(
+        own_shuffle(gone.withColumnRenamed("id", "dst")), "dst", "left_anti").select(edges.columns)
     return nodes.join(gone, "id", "left_anti"), kept_edges
 
 
-def hide_nodes(nodes: DataFrame, hidden: DataFrame) -> DataFrame:
-    return nodes.join(hidden.select("id").distinct(), "id", "left_anti")
-
-
 def select_all(nodes: DataFrame) -> DataFrame:
     return nodes.select("id")
 
@@ -161,7 +158,7 @@ def parseable_files(files: DataFrame, extensions: list[str] | None = None) -> Da
 
 def in_target(decls: DataFrame, files: DataFrame) -> DataFrame:
     """Declarations located in one of the scanned files, by stem."""
-    return decls.join(files.select(F.col("stem").alias("file")).distinct(), "file", "left_semi").select(decls.columns)
+    return decls.join(own_shuffle(files.select(F.col("stem").alias("file")).distinct()), "file", "left_semi").select(decls.columns)
 
 
 def box_select(nodes: DataFrame, x1: float, y1: float, x2: float, y2: float) -> DataFrame:
@@ -186,7 +183,7 @@ def lasso_select(nodes: DataFrame, polygon: list[tuple[float, float]]) -> DataFr
 def is_saved(entries: DataFrame, bookmarks: DataFrame) -> DataFrame:
     """Mark entries whose url is bookmarked."""
     marks = bookmarks.select("url").distinct().withColumn("__m", F.lit(True))
-    return entries.join(marks, "url", "left").withColumn("is_saved", F.col("__m").isNotNull()).drop("__m")
+    return entries.join(own_shuffle(marks), "url", "left").withColumn("is_saved", F.col("__m").isNotNull()).drop("__m")
 
 
 def except_ids(nodes: DataFrame, others: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from graphloom.fixed import styles as S
 from graphloom.functions import numbers, paths, text
 from graphloom.operators import filters
 from graphloom.operators.ranking import last_wins
+from graphloom.operators.skew import own_shuffle
 
 
 def _literal_map(table: dict) -> Column:
@@ -85,7 +86,7 @@ def file_by_stem(files: DataFrame, seq: str = "seq") -> DataFrame:
 
 def attach_by_stem(symbols: DataFrame, stems: DataFrame) -> DataFrame:
     """File -> depth-2 symbol whose `file` attribute is the file's stem."""
-    return symbols.where(F.col("depth") == 2).join(stems.withColumnRenamed("stem", "file"), "file").select(
+    return symbols.where(F.col("depth") == 2).join(own_shuffle(stems.withColumnRenamed("stem", "file")), "file").select(
         *edge(F.col("file_id"), F.col("id"), "contains"))
 
 
@@ -94,7 +95,7 @@ def _resolved(imports: DataFrame, stems: DataFrame) -> DataFrame:
     # Repeats of one statement collapse map-side before the join meets a popular module.
     pairs = imports.select("file_id", "module").distinct()
     return pairs.withColumn("stem", F.substring_index("module", ".", -1)).join(
-        stems.withColumnRenamed("file_id", "target"), "stem", "left")
+        own_shuffle(stems.withColumnRenamed("file_id", "target")), "stem", "left")
 
 
 def resolve_imports(imports: DataFrame, stems: DataFrame) -> DataFrame:
@@ -212,7 +213,7 @@ def map_python_edge_kinds(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def flag_parse_warnings(nodes: DataFrame, diagnostics: DataFrame) -> DataFrame:
     """Mark nodes whose file (by stem) produced an error."""
     bad = diagnostics.select("file").distinct().withColumn("__w", F.lit(True))
-    return nodes.join(bad, "file", "left").withColumn("has_parse_warning", F.col("__w").isNotNull()).drop("__w")
+    return nodes.join(own_shuffle(bad), "file", "left").withColumn("has_parse_warning", F.col("__w").isNotNull()).drop("__w")
 
 
 # ---- lexicon ------------------------------------------------------------------------------
@@ -280,10 +281,15 @@ union_edges = union_nodes
 
 
 def merge_nodes(*parts: DataFrame) -> DataFrame:
-    """Union by id; per attribute the last part that has a value wins."""
+    """Union by id; per attribute the last part that has a value wins.
+
+    Within a part the row with the least (file, line, label), as text, wins, whatever the order of the input.
+    """
     stacked = union_nodes(*[p.withColumn("__part", F.lit(i)) for i, p in enumerate(parts)])
     rest = [c for c in stacked.columns if c not in ("id", "__part")]
-    latest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__part"))).alias(c) for c in rest]
+    tie = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("file", "line", "label") if c in rest]
+    place = F.struct((-F.col("__part")).alias("part"), *tie)
+    latest = [F.min_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in rest]
     return stacked.groupBy("id").agg(*latest)
 
 
@@ -294,7 +300,13 @@ def replace_subtree(files: DataFrame, replacement: DataFrame, folder: str) -> Da
 
 
 def dedupe_edges(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    return edges.dropDuplicates(keys or ["src", "dst", "kind"])
+    """One edge per key; of several the heaviest, then the first kind in alphabetical order, is kept."""
+    keys = keys or ["src", "dst", "kind"]
+    rest = [c for c in edges.columns if c not in keys]
+    if not rest:
+        return edges.distinct()
+    order = [(-F.col(c)).alias(f"k{i}") if c == "weight" else F.col(c).alias(f"k{i}") for i, c in enumerate(rest)]
+    return edges.groupBy(*keys).agg(*[F.min_by(c, F.struct(*order)).alias(c) for c in rest]).select(edges.columns)
 
 
 def resolve_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -316,7 +328,7 @@ def attach_by_label(symbols: DataFrame, files: DataFrame, known: DataFrame | Non
         "__stem", F.regexp_replace(paths.base_name(F.col("file")), r"\.[^.]*$", ""))
     by_stem = labels.select(F.col("label").alias("__stem"), F.col("parent").alias("p1"))
     by_attr = labels.select(F.col("label").alias("file"), F.col("parent").alias("p2"))
-    found = todo.join(by_stem, "__stem", "left").join(by_attr, "file", "left")
+    found = todo.join(own_shuffle(by_stem), "__stem", "left").join(own_shuffle(by_attr), "file", "left")
     syms = found.where((F.col("depth") == 2) & (F.col("p1").isNotNull() | F.col("p2").isNotNull())).select(
         "id", F.coalesce("p1", "p2").alias("parent"))
     placed = syms if known is None else syms.unionByName(known.select("id", "parent").join(

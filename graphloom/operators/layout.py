@@ -61,9 +61,10 @@ def spiral(nodes: DataFrame, edges: DataFrame | None = None, resolution: float =
 
 
 def random(nodes: DataFrame, edges: DataFrame | None = None, seed: int = 0) -> DataFrame:
-    """Uniform in [0, 1) from a hash of id and seed: stable whatever the partitioning."""
+    """Uniform in [0, 1) from the SHA-256 of id, seed and axis: stable whatever the partitioning."""
     def unit(axis: str) -> Column:
-        return F.pmod(F.xxhash64("id", F.lit(seed), F.lit(axis)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+        digits = F.left(F.sha2(F.concat_ws("|", "id", F.lit(str(seed)), F.lit(axis)), 256), F.lit(13))
+        return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
 
     return nodes.select("id", unit("x").alias("x"), unit("y").alias("y"))
 

@@ -116,32 +116,48 @@ def _modules(tree: ast.Module) -> list[str]:
     return found
 
 
-def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+PIECE_ROWS = 20_000  # rows a task holds before it hands them on
+
+
+def _parse_file(file_id: str, stem: str, raw: str, max_depth: int) -> Iterator[tuple]:
+    try:
+        tree = ast.parse(raw)
+        walk = _Walk(stem, tree)
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
+        yield (file_id, "reject", None, None, None, str(error), 0, stem)
+        return
+    kept = {n for n, (t, _, _) in walk.nodes.items() if KIND_OF.get(t, ("symbol", 3))[1] <= max_depth}
+    yield from ((file_id, "node", n, None, *walk.nodes[n], stem) for n in walk.nodes if n in kept)
+    yield from ((file_id, "edge", s, d, None, None, 0, stem) for s, d in walk.edges if s in kept and d in kept)
+    yield from ((file_id, "import", None, None, None, m, 0, stem) for m in _modules(tree))
+
+
+def _parser(max_depth: int):
     columns = ["file_id", "tag", "id", "dst", "type", "label", "line", "module"]
-    for batch in batches:
-        rows = []
-        for file_id, stem, raw in zip(batch["file_id"], batch["stem"], batch["raw"]):
-            try:
-                tree = ast.parse(raw)
-                walk = _Walk(stem, tree)
-            except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
-                rows.append((file_id, "reject", None, None, None, str(error), 0, stem))
-                continue
-            rows += [(file_id, "node", n, None, t, label, line, stem) for n, (t, label, line) in walk.nodes.items()]
-            rows += [(file_id, "edge", s, d, None, None, 0, stem) for s, d in walk.edges]
-            rows += [(file_id, "import", None, None, None, m, 0, stem) for m in _modules(tree)]
-        yield pd.DataFrame(rows, columns=columns)
-
-
-def parse_python(files: DataFrame) -> DataFrame:
-    """Tagged rows (node, edge, import, reject) of all Python files; cut lineage to reuse them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for file_id, stem, raw in zip(batch["file_id"], batch["stem"], batch["raw"]):
+                for row in _parse_file(file_id, stem, raw, max_depth):
+                    rows.append(row)
+                    if len(rows) >= PIECE_ROWS:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+            yield pd.DataFrame(rows, columns=columns)
+
+    return run
+
+
+def parse_python(files: DataFrame, max_depth: int = 3) -> DataFrame:
+    """Tagged rows (node, edge, import, reject) of all Python files down to a depth; cut lineage to reuse them."""
     source = files.where((F.lower("ext") == ".py") & (F.coalesce(F.col("raw"), F.lit("")) != ""))
     slim = source.select(F.concat(F.lit("file::"), F.col("path")).alias("file_id"), "stem", "raw")
-    return slim.mapInPandas(_parse_batches, _OUT)
+    return slim.mapInPandas(_parser(max_depth), _OUT)
 
 
 def python_nodes(parsed: DataFrame, max_depth: int = 2) -> DataFrame:
-    """Nodes of the unified schema plus `file_id`."""
+    """Nodes of the unified schema plus `file_id` and `legacy_id`, the id without its file, under which equal modules merge."""
     def lookup(table: dict, key, default):
         pairs = [x for k, v in table.items() for x in (F.lit(k), F.lit(v))]
         return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(default))
@@ -153,12 +169,12 @@ def python_nodes(parsed: DataFrame, max_depth: int = 2) -> DataFrame:
         parsed.where(F.col("tag") == "node").withColumn("kind", kind).withColumn("depth", depth)
         .where(F.col("depth") <= max_depth)
         .select(
-            "id", "depth", F.lit("python").alias("language"), "kind", "label",
+            F.concat_ws("::", F.substring("file_id", 7, 1 << 30), "id").alias("id"), "depth", F.lit("python").alias("language"), "kind", "label",
             F.when(known, F.concat("module", F.lit(".py"))).otherwise("").alias("file"), "line",
             F.create_map(F.lit("module"), F.when(known, F.col("module")).otherwise(""), F.lit("ast_type"), F.col("type")).alias("meta"),
             F.try_element_at(F.create_map(*[F.lit(x) for kv in PYTHON_SHAPE.items() for x in kv]), F.col("kind")).alias("shape"),
             F.try_element_at(F.create_map(*[F.lit(x) for kv in PYTHON_COLOR.items() for x in kv]), F.col("kind")).alias("color"),
-            "file_id",
+            "file_id", F.col("id").alias("legacy_id"),
         )
     )
 
@@ -166,11 +182,13 @@ def python_nodes(parsed: DataFrame, max_depth: int = 2) -> DataFrame:
 def python_edges(parsed: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges inside each file between kept nodes: `imports` into import nodes, else `contains`."""
     raw = parsed.where(F.col("tag") == "edge").select("file_id", F.col("id").alias("src"), "dst")
-    kept = nodes.select("file_id", "id", "kind")
+    # A node's id is its file and its legacy id, so one look-up of the target is enough for both.
+    path = F.substring("file_id", 7, 1 << 30)
+    kept = nodes.select("file_id", F.col("legacy_id"), "kind")
     return (
-        raw.join(kept.select("file_id", F.col("id").alias("src")), ["file_id", "src"], "left_semi")
-        .join(kept.select("file_id", F.col("id").alias("dst"), F.col("kind").alias("dst_kind")), ["file_id", "dst"])
-        .select("file_id", "src", "dst",
+        raw.join(kept.select("file_id", F.col("legacy_id").alias("src")), ["file_id", "src"], "left_semi")
+        .join(kept.select("file_id", F.col("legacy_id").alias("dst"), F.col("kind").alias("dst_kind")), ["file_id", "dst"])
+        .select("file_id", F.concat_ws("::", path, "src").alias("src"), F.concat_ws("::", path, "dst").alias("dst"),
                 F.when(F.col("dst_kind") == "import", "imports").otherwise("contains").alias("kind"),
                 F.lit(1.0).alias("weight"))
     )

@@ -13,6 +13,8 @@ from math import ceil, sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.skew import own_shuffle
+
 TASK_ROWS = 1_000_000
 _SAMPLES_PER_RANGE = 16
 
@@ -127,7 +129,7 @@ def source_order(symbols: DataFrame) -> DataFrame:
 def tail_lines(lines: DataFrame, limit: int) -> DataFrame:
     """Last `limit` lines of each file; line numbers are dense, so the maximum is enough."""
     top = lines.groupBy("file").agg(F.max("line_no").alias("__top"))
-    return lines.join(top, "file").where(F.col("line_no") > F.col("__top") - limit).drop("__top")
+    return lines.join(own_shuffle(top), "file").where(F.col("line_no") > F.col("__top") - limit).drop("__top")
 
 
 def recent_n(events: DataFrame, limit: int, seq: str = "seq") -> DataFrame:
@@ -160,11 +162,6 @@ def listing_order(entries: DataFrame) -> DataFrame:
     return entries.orderBy(F.col("is_file"), F.lower("name"), "path")
 
 
-def tree_order(entries: DataFrame) -> DataFrame:
-    """Shallow paths first, trees before blobs, then path."""
-    return entries.orderBy(F.size(F.split("path", "/")), F.col("type") != "tree", "path")
-
-
 def chunked_lists(df: DataFrame, group: list[str], item: str, chunk: int = 10_000) -> DataFrame:
     """Lists of a group's items in bounded chunks: (group, chunk, items); nothing is dropped."""
     numbered = ranked(df, group, [item], rn="__rn")

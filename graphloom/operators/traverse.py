@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import filters, stats
 from graphloom.operators.ranking import ranked
+from graphloom.operators.skew import own_shuffle
 from graphloom.session import cut_lineage
 
 BROADCAST_ROWS = 200_000
@@ -65,8 +66,8 @@ def neighbors(edges: DataFrame, node_id: str) -> DataFrame:
 def grow_selection(edges: DataFrame, selection: DataFrame) -> DataFrame:
     """The selection and everything one step away from it."""
     ids = selection.select("id").distinct()
-    out = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"))
-    into = edges.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id"))
+    out = edges.join(own_shuffle(ids.withColumnRenamed("id", "src")), "src", "left_semi").select(F.col("dst").alias("id"))
+    into = edges.join(own_shuffle(ids.withColumnRenamed("id", "dst")), "dst", "left_semi").select(F.col("src").alias("id"))
     return ids.union(out).union(into).distinct()
 
 
@@ -108,7 +109,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) with the least id of each weak component.
 
     Alternating large-star and small-star contraction (Kiveris et al. 2014): a round only
-    needs the least neighbour of each node, an aggregate, so hubs are not gathered anywhere.
+    needs the least neighbour of each node, an aggregate, and a join back to the pairs in which
+    adaptive execution can split a hub.
     """
     pairs = cut_lineage(edges.where(F.col("src") != F.col("dst")).select(
         F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
@@ -130,12 +132,12 @@ def _fingerprint(pairs: DataFrame) -> tuple:
 def _large_star(pairs: DataFrame) -> DataFrame:
     both = pairs.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where(F.col("v") > F.col("u")).join(own_shuffle(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:
     least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    moved = pairs.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = pairs.join(own_shuffle(least), "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 

@@ -11,7 +11,7 @@ from graphloom.streaming.graph import whole_graph
 
 
 def build_graph(files: DataFrame, root_name: str, depth: int = 2, extensions: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges): directories at depth 0, files at 1, symbols and dependencies from 2 on.
+    """(nodes, edges): directories at depth 0, files at 1, symbols and dependencies at 2, parts of functions (calls, arguments, names) at 3.
 
     Branches beyond `depth` are simply not planned, so a directory graph never reads text.
     """
@@ -23,11 +23,9 @@ def build_graph(files: DataFrame, root_name: str, depth: int = 2, extensions: li
         nodes = graph.union_nodes(graph.dir_nodes(folders), graph.file_nodes(kept)).drop("legacy_id")
         return nodes, graph.union_edges(graph.dir_edges(folders), graph.file_edges(kept))
     # One parse and one extraction feed nodes, edges and imports; both are far smaller than the text.
-    parsed = cut_lineage(pyast.parse_python(kept))
+    parsed = cut_lineage(pyast.parse_python(kept, depth))
     symbols = cut_lineage(extract.extract_symbols(kept).drop("meta"))
-    nodes, edges = whole_graph(kept.drop("raw"), symbols, parsed, root_name)
-    all_dirs = graph.dir_nodes(folders).select(nodes.columns)
-    return graph.merge_nodes(all_dirs, nodes), graph.dedupe_edges(graph.union_edges(graph.dir_edges(folders), edges))
+    return whole_graph(kept.drop("raw"), symbols, parsed, root_name, depth, folders)
 
 
 def graph_of_folder(spark: SparkSession, path: str, mode: str = "ast", depth: int = 2, **scan) -> tuple[DataFrame, DataFrame]:

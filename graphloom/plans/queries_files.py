@@ -17,7 +17,7 @@ W = I.with_inputs
 
 @query(W("page_files") + """
     SELECT DISTINCT 'page' || page_id AS url, octet_length(encode(raw)) AS size,
-           CASE WHEN octet_length(encode(raw)) > 1000000 THEN 0 ELSE length(raw) END AS chars FROM page_files""")
+           length(raw) AS chars FROM page_files""")
 def a2_decode_capped(spark, sf):
     content = F.encode("raw", "UTF-8")
     return I.page_files(spark, sf).select(
@@ -149,10 +149,10 @@ def j_url_keys(spark, sf):
 
 @query("""
     SELECT doc_id, CASE WHEN b < 1024 THEN printf('%.1f B', b) WHEN b < 1048576 THEN printf('%.1f KB', b / 1024) ELSE printf('%.1f MB', b / 1048576) END AS size,
-           substr(text, 1, 500) AS head FROM (SELECT doc_id, text, CAST(strlen(text) * 37 AS DOUBLE) AS b FROM documents)""")
+           substr(text, 1, 500) AS head, length(text) AS whole FROM (SELECT doc_id, text, CAST(strlen(text) * 37 AS DOUBLE) AS b FROM documents)""")
 def j_human_size_and_truncate(spark, sf):
     docs = table(spark, sf, "documents")
-    return docs.select("doc_id", text.human_size(F.octet_length("text") * 37).alias("size"), text.truncate(F.col("text")).alias("head"))
+    return docs.select("doc_id", text.human_size(F.octet_length("text") * 37).alias("size"), text.truncate(F.col("text"), 500).alias("head"), F.length("text").cast("long").alias("whole"))
 
 
 # ---- lines and symbols --------------------------------------------------------------------
@@ -201,7 +201,7 @@ def b7_code_lines(spark, sf):
 @query(W("code_files") + f"""
     SELECT id, kind, label, CAST(line AS BIGINT) AS line FROM
       (SELECT *, CASE ext {" ".join(f"WHEN '{e}' THEN '{lang}'" for lang, (exts, _) in L.SYMBOL_RULES.items() for e in exts)} END
-                 || '::' || name || '::' || kind || '::' || label || '::' || line AS id
+                 || '::' || path || '::' || kind || '::' || label || '::' || line AS id
        FROM (SELECT *, {_by_language("kind")} AS kind, {_by_language("label")} AS label FROM {_lines_sql("code_files", "ext, name, path")} WHERE {_CODE_SQL}))
     WHERE kind IS NOT NULL""")
 def c1_symbols_code(spark, sf):
@@ -220,7 +220,7 @@ def c1_symbols_code(spark, sf):
 def c1_symbols_own_comments(spark, sf):
     """With comment openers by language: Markdown headings and CSS ids are found too."""
     symbols = extract.extract_symbols(I.code_files(spark, sf), legacy_comments=False)
-    ext = paths.suffix(F.split("id", "::")[1])
+    ext = paths.suffix(paths.base_name(F.split("id", "::")[1]))
     return symbols.groupBy(ext.alias("ext"), "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -247,7 +247,7 @@ def f1_first_rule_wins(spark, sf):
 @query(W("py_files") + """, found AS (
     SELECT path, unnest([n || '.' || n, n || '.' || b || '.helper', n || '.' || b || '.Other', n || '.None.sibling', n || '.C_' || n, n || '.run', n || '.f_' || n, n || '.Other']) AS id,
            unnest(['module', 'import', 'import', 'import', 'class', 'function', 'function', 'import']) AS kind FROM py_files)
-    SELECT path, id, kind FROM found""")
+    SELECT path, path || '::' || id AS id, kind FROM found""")
 def c2_python_symbols(spark, sf):
     parsed = pyast.parse_python(I.py_files(spark, sf))
     return pyast.python_nodes(parsed).select(F.substring("file_id", 7, 1 << 20).alias("path"), "id", "kind")
@@ -269,7 +269,7 @@ def c3_python_imports(spark, sf):
 
 
 @query(W("py_files") + """
-    SELECT path, path AS src, CASE WHEN FALSE THEN '' ELSE n || '.' || n END AS root FROM py_files""")
+    SELECT path, path AS src, path || '::' || n || '.' || n AS root FROM py_files""")
 def d3_attach_roots(spark, sf):
     parsed = cut_lineage(pyast.parse_python(I.py_files(spark, sf)))
     nodes = pyast.python_nodes(parsed)

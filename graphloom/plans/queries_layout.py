@@ -180,9 +180,11 @@ def i2_spiral(spark, sf):
     return _rounded(layout.spiral(I.tree_nodes(spark, sf)), 4)
 
 
-@query()
+@query(W("tree_nodes") + """
+    SELECT id, CAST(('0x' || substr(sha256(id || '|7|x'), 1, 13)) AS BIGINT) / 4503599627370496.0 AS x,
+           CAST(('0x' || substr(sha256(id || '|7|y'), 1, 13)) AS BIGINT) / 4503599627370496.0 AS y FROM tree_nodes""")
 def i3_random(spark, sf):
-    """Positions from a hash of the id; the hash is Spark's own, so there is no SQL twin."""
+    """Positions from a hash of the id and a seed."""
     return layout.random(I.tree_nodes(spark, sf), seed=7)
 
 

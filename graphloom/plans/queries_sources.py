@@ -30,7 +30,7 @@ def a1_scan_tree(spark, sf):
 def a7_read_log_history(spark, sf):
     path = run_dir(spark, "log")
     I.log_lines(spark, sf).select("value").write.text(path)
-    events = logs.read_log_history(spark, path, 2024, max_lines=1 << 40)
+    events = logs.read_log_history(spark, path, 2024)
     return events.select(times.epoch(F.col("ts")).alias("ts"), "event_type", "session_id", "detail")
 
 

@@ -7,20 +7,30 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import paths
 from graphloom.operators import filters
+from graphloom.operators.skew import own_shuffle
 
-MAX_RAW_BYTES = 1_000_000                        # fixed value: larger files keep no text
 CONTENT_LIMIT_KB, STRUCTURE_LIMIT_KB = 5_000, 50_000   # fixed values: size tiers
 
 
-def decode_capped(content: Column, length: Column) -> Column:
-    """UTF-8 text; '' when too large or not decodable."""
-    ok = (length <= MAX_RAW_BYTES) & F.is_valid_utf8(content.cast("string"))
+def decode_capped(content: Column, length: Column, max_bytes: int | None = None) -> Column:
+    """UTF-8 text; '' when not decodable, or larger than `max_bytes` if that is given."""
+    ok = F.is_valid_utf8(content.cast("string"))
+    if max_bytes is not None:
+        ok = (length <= max_bytes) & ok
     return F.when(ok, content.cast("string")).otherwise("")
 
 
+def textless_files(files: DataFrame) -> DataFrame:
+    """(repo, path, size) of scanned files that have bytes but no text: not decodable, or above the limit asked for."""
+    return files.where((F.col("size") > 0) & (F.col("raw") == "")).select("repo", "path", "size")
+
+
 def scan_tree(spark: SparkSession, root: str, extensions: list[str] | None = None,
-              excluded: list[str] | None = None, repo: str | None = None) -> DataFrame:
-    """`files` below a folder. Extension and directory filters see paths only, so skipped files are never read."""
+              excluded: list[str] | None = None, repo: str | None = None, max_bytes: int | None = None) -> DataFrame:
+    """`files` below a folder. Extension and directory filters see paths only, so skipped files are never read.
+
+    With `max_bytes`, larger files keep no text; `textless_files` lists them.
+    """
     # The folder's qualified form is the prefix of the paths Spark reports for the files below it.
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -41,9 +51,11 @@ def scan_tree(spark: SparkSession, root: str, extensions: list[str] | None = Non
             name.alias("name"), paths.stem(name).alias("stem"), "ext", F.col("path").alias("url"), F.col("length").alias("size"),
             raw.alias("raw"))
 
+    text = decode_capped(F.col("content"), F.col("length"), max_bytes)
+    if max_bytes is None:
+        return rows(kept, text)
     # The length test is pushed into the listing: bytes of oversized files are not read at all.
-    return rows(kept.where(F.col("length") <= MAX_RAW_BYTES), decode_capped(F.col("content"), F.col("length"))).unionByName(
-        rows(kept.where(F.col("length") > MAX_RAW_BYTES), F.lit("")))
+    return rows(kept.where(F.col("length") <= max_bytes), text).unionByName(rows(kept.where(F.col("length") > max_bytes), F.lit("")))
 
 
 def files_from_paths(rows: DataFrame) -> DataFrame:
@@ -97,7 +109,8 @@ def list_to_depth(folders: DataFrame, files: DataFrame, max_depth: int = 3) -> t
     return shown, files.where(paths.tree_depth(F.col("folder")) < max_depth)
 
 
-def size_tiers(files: DataFrame, truncated: DataFrame | None = None) -> DataFrame:
+def size_tiers(files: DataFrame, truncated: DataFrame | None = None, content_kb: int = CONTENT_LIMIT_KB,
+               structure_kb: int = STRUCTURE_LIMIT_KB) -> DataFrame:
     """Per repository: size in KB, tier (content, structure, shallow) and whether it stays partial."""
     sizes = files.groupBy("repo").agg((F.sum("size") / 1000).alias("size_kb"))
     if truncated is not None:
@@ -105,13 +118,16 @@ def size_tiers(files: DataFrame, truncated: DataFrame | None = None) -> DataFram
         sizes = sizes.join(cut, "repo", "left")
     else:
         sizes = sizes.withColumn("__cut", F.lit(None).cast("boolean"))
-    shallow = (F.col("size_kb") >= STRUCTURE_LIMIT_KB) | F.coalesce("__cut", F.lit(False))
-    tier = F.when(shallow, "shallow").when(F.col("size_kb") < CONTENT_LIMIT_KB, "content").otherwise("structure")
+    shallow = (F.col("size_kb") >= structure_kb) | F.coalesce("__cut", F.lit(False))
+    tier = F.when(shallow, "shallow").when(F.col("size_kb") < content_kb, "content").otherwise("structure")
     return sizes.select("repo", "size_kb", tier.alias("tier"), shallow.alias("is_partial"))
 
 
 def apply_tiers(files: DataFrame, tiers: DataFrame) -> DataFrame:
-    """Files as their repository's tier allows: with text, without, or only those at the root."""
-    joined = files.join(tiers.select("repo", "tier"), "repo")
+    """Files as their repository's tier allows: with text, without, or only those at the root.
+
+    This drops content and is a choice of the caller; no other operator applies it.
+    """
+    joined = files.join(own_shuffle(tiers.select("repo", "tier")), "repo")
     kept = joined.where((F.col("tier") != "shallow") | (F.col("folder") == ""))
     return kept.withColumn("raw", F.when(F.col("tier") == "content", F.col("raw")).otherwise("")).drop("tier")

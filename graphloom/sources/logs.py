@@ -26,10 +26,11 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     return ranked(rows, ["file"], ["block", "at"], rn="line_no").select("value", "file", "line_no")
 
 
-def read_log_history(spark: SparkSession, path: str, year: int, max_lines: int = 5000, zone: str = "UTC",
+def read_log_history(spark: SparkSession, path: str, year: int, max_lines: int | None = None, zone: str = "UTC",
                      now: Column | None = None) -> DataFrame:
-    """Events of the last lines of each log."""
-    return auth.parse_auth_lines(tail_lines(read_log_lines(spark, path), max_lines), year, zone, now)
+    """Events of all lines of each log, or of its last `max_lines`."""
+    lines = read_log_lines(spark, path)
+    return auth.parse_auth_lines(lines if max_lines is None else tail_lines(lines, max_lines), year, zone, now)
 
 
 def tail_log(spark: SparkSession, folder: str, per_trigger: int | None = None) -> DataFrame:

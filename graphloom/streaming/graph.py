@@ -13,14 +13,16 @@ from graphloom.streaming import sinks
 def start_graph_stream(files: DataFrame, out: str, checkpoint: str, available_now: bool = True):
     """Per micro-batch: folders, files, pattern symbols and Python parse rows, each under `out`."""
     def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()  # read once for all parts
         parts = {
-            "files": batch,
+            "files": batch.withColumn("raw", F.lit(None).cast("string")),  # the text is not needed again
             "symbols": extract.extract_symbols(batch).drop("meta"),
             "parsed": pyast.parse_python(batch),
             "progress": batch.groupBy("path").agg(F.count(F.lit(1)).alias("seen")),
         }
         for name, rows in parts.items():
             rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        batch.unpersist()
 
     writer = files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -41,9 +43,11 @@ def assemble(spark: SparkSession, out: str, files_schema, root_name: str) -> tup
     return whole_graph(files, symbols, parsed, root_name)
 
 
-def whole_graph(files: DataFrame, symbols: DataFrame, parsed: DataFrame, root_name: str) -> tuple[DataFrame, DataFrame]:
-    folders = tree.folders_of(files, root_name)
-    py_nodes = pyast.python_nodes(parsed)
+def whole_graph(files: DataFrame, symbols: DataFrame, parsed: DataFrame, root_name: str, depth: int = 2,
+                folders: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges down to `depth`; `folders` may hold more than those of the files."""
+    folders = tree.folders_of(files, root_name) if folders is None else folders
+    py_nodes = pyast.python_nodes(parsed, depth)
     py_edges = pyast.python_edges(parsed, py_nodes)
     stems = graph.file_by_stem(files.where(F.lower("ext") == ".py"), seq="path")
     imports = pyast.python_imports(parsed)

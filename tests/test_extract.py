@@ -29,14 +29,25 @@ def test_python_sub_symbols(files):
     raw = "from c import D\nclass Foo(D):\n    def bar(self): pass\nprint(x)\nq.w(1)\nfor i in z:\n    y = f'{i}'\n"
     parsed = pyast.parse_python(files({"a.py": raw}))
     nodes = pyast.python_nodes(parsed, 3)
-    kinds = {r["id"]: r["kind"] for r in nodes.collect()}
+    kinds = {r["legacy_id"]: r["kind"] for r in nodes.collect()}
     assert kinds["a.c.D"] == "import" and kinds["c.D"] == "symbol" and kinds["a.q.w"] == "call" and kinds["a."] == "call"
     assert kinds["a.ForLoop"] == "loop" and kinds["a.JoinedStr"] == "string" and kinds["a.Const: 1"] == "constant" and kinds["a.self"] == "argument"
-    edges = {(r["src"], r["dst"], r["kind"]) for r in pyast.python_edges(parsed, nodes).collect()}
+    assert all(r["id"] == "a.py::" + r["legacy_id"] for r in nodes.collect())
+    edges = {(r["src"].removeprefix("a.py::"), r["dst"].removeprefix("a.py::"), r["kind"]) for r in pyast.python_edges(parsed, nodes).collect()}
     assert {("a.a", "a.c.D", "imports"), ("a.Foo", "c.D", "contains"), ("a.Foo", "a.bar", "contains"), ("a.ForLoop", "a.i", "contains"),
             ("a.q.w", "a.Const: 1", "contains"), ("a.a", "a.D", "imports")} <= edges
 
 
+def test_parse_depth_limits_rows_and_pieces_lose_none(files, monkeypatch):
+    tree = {f"f{i}.py": "import os\ndef g(x):\n    print(x)\n" for i in range(30)}
+    deep, flat = pyast.parse_python(files(tree)), pyast.parse_python(files(tree), 2)
+    shown = lambda p: sorted(map(str, pyast.python_nodes(p).collect()))
+    assert shown(deep) == shown(flat) and flat.count() < deep.count()
+    monkeypatch.setattr(pyast, "PIECE_ROWS", 2)
+    one = list(pyast._parser(3)(iter([files(tree).selectExpr("path AS file_id", "stem", "raw").toPandas()])))
+    assert sum(map(len, one)) == deep.count() and max(map(len, one)) <= 2
+
+
 def test_broken_python_is_rejected_not_lost(files):
     parsed = pyast.parse_python(files({"bad.py": "def (:\n", "ok.py": "x = 1\n"}))
     assert [r["file_id"] for r in pyast.python_rejects(parsed).collect()] == ["file::bad.py"]

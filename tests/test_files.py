@@ -38,7 +38,13 @@ def test_excluded_directories(spark, root):
 
 
 def test_size_cap_and_bad_utf8(spark, root):
-    rows = {r["name"]: r for r in tree.scan_tree(spark, root({"big.py": "a" * 1_000_001, "edge.py": "b" * 1_000_000, "bad.py": b"\xff\xfe\x00\x01", "ok.py": "é"})).collect()}
+    top = root({"big.py": "a" * 1_000_001, "edge.py": "b" * 1_000_000, "bad.py": b"\xff\xfe\x00\x01", "ok.py": "é"})
+    whole = tree.scan_tree(spark, top)
+    assert {r["name"]: len(r["raw"]) for r in whole.collect()} == {"big.py": 1_000_001, "edge.py": 1_000_000, "bad.py": 0, "ok.py": 1}
+    assert [r["path"] for r in tree.textless_files(whole).collect()] == ["bad.py"]
+    capped = tree.scan_tree(spark, top, max_bytes=1_000_000)
+    assert sorted(r["path"] for r in tree.textless_files(capped).collect()) == ["bad.py", "big.py"]
+    rows = {r["name"]: r for r in capped.collect()}
     assert rows["big.py"]["raw"] == "" and rows["big.py"]["size"] == 1_000_001
     assert len(rows["edge.py"]["raw"]) == 1_000_000 and rows["bad.py"]["raw"] == "" and rows["ok.py"]["raw"] == "é"
 

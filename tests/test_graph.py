@@ -42,11 +42,36 @@ def test_last_file_of_a_stem_wins(files):
     assert depends(edges) == {("file::a.py", "file::q/u.py")}
 
 
+def test_files_of_one_name_keep_their_symbols(files):
+    nodes, edges = build(files, {"a/index.js": "function f() {\n", "b/index.js": "function f() {\n", "a/m.py": "class C: pass\n", "b/m.py": "class C: pass\n"})
+    found = [n for n in nodes if "index.js::function" in n or n.endswith("m.C")]
+    assert len(found) == 4 and {n["file"] for k, n in nodes.items() if "index.js::function" in k} != {""}
+    assert all(s in nodes and d in nodes for s, d, _ in edges)
+
+
+def test_depth_three_is_reached(spark, files):
+    from graphloom.plans.code_graph import build_graph
+
+    tree = files({"a.py": "def g(x):\n    print(x)\n"})
+    deep, shallow = ({r["depth"] for r in build_graph(tree, "r", d)[0].collect()} for d in (3, 2))
+    assert deep == {0, 1, 2, 3} and shallow == {0, 1, 2}
+
+
+def test_merge_does_not_depend_on_row_order(spark):
+    rows = [("x", "f1", 1, "a"), ("x", "f0", 2, "b")]
+    make = lambda r: spark.createDataFrame(r, "id string, file string, line int, label string").coalesce(1)
+    got = [graph.merge_nodes(make(r)).first() for r in (rows, rows[::-1])]
+    assert got[0] == got[1] and got[0]["file"] == "f0"
+    edges = [("a", "b", "k", 1.0), ("a", "b", "k", 2.0)]
+    kept = [graph.dedupe_edges(spark.createDataFrame(e, "src string, dst string, kind string, weight double")).collect() for e in (edges, edges[::-1])]
+    assert kept[0] == kept[1] and kept[0][0]["weight"] == 2.0
+
+
 def test_graph_is_whole(files):
     nodes, edges = build(files, {"a.py": "import b\nclass Foo:\n    def bar(self): pass\n", "b.py": "x = 1\n", "s/c.go": "func F(a int) {\n", "bad.py": "def (:\n"})
     assert all(s in nodes and d in nodes for s, d, _ in edges)
-    assert ("file::a.py", "a.a", "contains") in edges and ("a.a", "a.Foo", "contains") in edges
-    assert ("file::s/c.go", "go::c.go::function::F::1", "contains") in edges
+    assert ("file::a.py", "a.py::a.a", "contains") in edges and ("a.py::a.a", "a.py::a.Foo", "contains") in edges
+    assert ("file::s/c.go", "go::s/c.go::function::F::1", "contains") in edges
     assert "file::bad.py" in nodes
     structure = [d for s, d, k in edges if k == "contains" and (s.startswith("dir::"))]
     assert len(structure) == len(set(structure))
