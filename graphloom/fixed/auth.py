@@ -38,12 +38,6 @@ ALWAYS_KEPT_SERVICES = ["sshd", "login", "su", "sudo", "gdm", "lightdm", "polkit
 
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
-EVENT_TYPES = [
-    "pam_start", "pam_end", "module_call", "module_result", "sssd_call", "sssd_cache", "sssd_result",
-    "krb_call", "krb_result", "nss_call", "session_open", "session_close", "access_granted",
-    "access_denied", "unknown",
-]
-
 COMPONENTS = [
     "app", "pamconf", "libpam", "mod_env", "mod_unix_a", "mod_sss_a", "mod_ga", "mod_deny", "mod_sss_ac",
     "mod_unix_ac", "mod_nologin", "mod_access", "mod_limits", "mod_mkhome", "sssd", "sssd_nss", "krb", "ldap",

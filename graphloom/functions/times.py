@@ -13,11 +13,6 @@ def epoch(ts: Column) -> Column:
     return F.unix_micros(ts) / F.lit(1e6)
 
 
-def epoch_ntz(ts: Column) -> Column:
-    """The same for a zone-less timestamp, read as UTC."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts) / F.lit(1e6)
-
-
 def as_utc(ts: Column) -> Column:
     """A zone-less timestamp read as UTC, whatever the session zone."""
     return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts))

@@ -72,24 +72,27 @@ def grow_selection(edges: DataFrame, selection: DataFrame) -> DataFrame:
 
 
 def shortest_path(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(step, id) of a shortest undirected path, the least one by its ids; no path, no rows."""
+    """(step, id) of a shortest undirected path, the least one by its ids; no path or unknown ends, no rows.
+
+    Distances spread from `b`; the path then follows the least neighbour that is one step nearer.
+    A row holds an id and its distance only, whatever the length of the path.
+    """
     spark = edges.sparkSession
     links = cut_lineage(undirected(edges))
-    frontier = spark.createDataFrame([(a, [a])], "id string, path array<string>")
-    seen, rows, rounds = frontier.select("id"), 1, 0
-    while rows:
-        if frontier.where(F.col("id") == b).limit(1).count():
-            break
-        step = links.join(_small(frontier.withColumnRenamed("id", "src"), rows), "src").groupBy(F.col("dst").alias("id")).agg(
-            F.min("path").alias("path"))
-        fresh = step.join(seen, "id", "left_anti")
-        frontier = cut_lineage(fresh.select("id", F.concat("path", F.array("id")).alias("path")))
-        rows, rounds = frontier.count(), rounds + 1
-        seen = seen.unionByName(frontier.select("id"))
-        if rounds % MERGE_EVERY == 0:
+    frontier = links.where(F.col("src") == b).select(F.col("src").alias("id")).limit(1)
+    seen, rows, far = frontier.withColumn("far", F.lit(0)), frontier.count(), 0
+    while rows and frontier.where(F.col("id") == a).isEmpty():
+        reached = links.join(_small(frontier.withColumnRenamed("id", "src"), rows), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        frontier = cut_lineage(reached.join(seen, "id", "left_anti"))
+        rows, far = frontier.count(), far + 1
+        seen = seen.unionByName(frontier.withColumn("far", F.lit(far)))
+        if far % MERGE_EVERY == 0:
             seen = cut_lineage(seen)
-    hit = frontier.where(F.col("id") == b)
-    return hit.select(F.posexplode("path").alias("step", "id"))
+    path = [a] if rows else []
+    for left in range(far - 1, -1, -1) if rows else []:
+        near = links.where(F.col("src") == path[-1]).select(F.col("dst").alias("id")).join(seen.where(F.col("far") == left), "id", "left_semi")
+        path.append(near.agg(F.min("id")).first()[0])
+    return spark.createDataFrame(list(enumerate(path)), "step int, id string")
 
 
 def path_edges(edges: DataFrame, path: DataFrame) -> DataFrame:
