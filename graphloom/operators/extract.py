@@ -50,6 +50,9 @@ class Registry:
             out.setdefault(name, []).append(ext)
         return {name: sorted(exts) for name, exts in sorted(out.items())}
 
+    def callable_languages(self) -> list[Language]:
+        return [lang for lang in self._languages.values() if lang.nodes]
+
     def rule_languages(self) -> list[Language]:
         return [lang for lang in self._languages.values() if lang.rules]
 
@@ -62,7 +65,11 @@ for _name, _extensions in L.OTHER_EXTENSIONS.items():
 
 
 def register_language(name: str, extensions: list[str], rules_or_function) -> None:
-    """Add a language by its rules (native columns) or by a DataFrame function of the files."""
+    """Add a language by its rules (native columns) or by a DataFrame function of the files.
+
+    The function gets all files of the language at once, so it may look across the tree, and returns
+    node rows with at least id, kind, label, line and file_id.
+    """
     if callable(rules_or_function):
         REGISTRY.register(Language(name, extensions, nodes=rules_or_function))
     else:
@@ -118,7 +125,15 @@ def extract_symbols(files: DataFrame, max_depth: int = 2, legacy_comments: bool
         F.concat(F.lit("file::"), F.col("path")).alias("file_id"),
         F.concat_ws("::", "language", "name", "kind", "label", F.col("line").cast("string")).alias("legacy_id"),
     )
-    return nodes.where(F.col("depth") <= max_depth)
+    parts = [nodes] + [_filled(lang.nodes(with_language.where(F.col("language") == lang.name)), lang.name, nodes) for lang in REGISTRY.callable_languages()]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts).where(F.col("depth") <= max_depth)
+
+
+def _filled(found: DataFrame, language: str, like: DataFrame) -> DataFrame:
+    """Rows of a language function with the columns and types of `like`; what it leaves out takes a default."""
+    default = {"depth": F.lit(2), "language": F.lit(language), "file": F.lit(""), "meta": F.create_map(), "legacy_id": F.col("id")}
+    return found.select(*[
+        (F.col(f.name) if f.name in found.columns else default.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in like.schema.fields])
 
 
 def languages_table(spark) -> DataFrame:

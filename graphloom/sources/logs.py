@@ -26,6 +26,15 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     return ranked(rows, ["file"], ["block", "at"], rn="line_no").select("value", "file", "line_no")
 
 
+def read_log_text(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file) of one or many log files, in no order and without numbers: nothing is shuffled."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place):
+        return spark.createDataFrame([], LOG_LINES).drop("line_no")
+    reader = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    return reader.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+
+
 def read_log_history(spark: SparkSession, path: str, year: int, max_lines: int | None = None, zone: str = "UTC",
                      now: Column | None = None) -> DataFrame:
     """Events of all lines of each log, or of its last `max_lines`."""
@@ -44,5 +53,5 @@ def tail_log(spark: SparkSession, folder: str, per_trigger: int | None = None) -
 def read_journal_export(spark: SparkSession, path: str, now: Column, minutes: int = 30, units: list[str] | None = None,
                         zone: str = "UTC") -> DataFrame:
     """Events of exported journal lines of the last minutes, of all or some services."""
-    events = filters.time_cutoff(auth.parse_auth_lines(read_log_lines(spark, path), 1970, zone, now), now, minutes)
+    events = filters.time_cutoff(auth.parse_auth_lines(read_log_text(spark, path), 1970, zone, now), now, minutes)
     return events.where(F.col("service").isin(units)) if units else events
