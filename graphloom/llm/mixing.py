@@ -6,9 +6,11 @@
    words they hold, give every domain the log ratio of its share to that of all, as in naive Bayes.
 2. Every document gets its posteriors p over the domains from the words it holds.
 3. Rates r >= 0 minimise (A r - T)' W (A r - T) by projected gradient, A holding the expected tokens
-   n * p of each domain and T the target totals. W is the inverse of sum(n p p'), so a step of
-   length one on r is exact as long as no rate is clipped at zero. A round is one aggregation to
-   as many sums as there are domains; nothing else reaches the driver.
+   n * p of each domain, T the target totals and W the inverse of sum(n p p'). The gradient is scaled
+   by the same moments of the documents whose rate is above zero, so that a step of length one is
+   exact as long as no further rate is clipped; a step that does not better the squares is cut to a
+   quarter. A round is one aggregation to sums over domains and pairs of domains; nothing else
+   reaches the driver.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from graphloom.llm.common import bounded_sample, stored
 FEATURES = 1 << 16  # words with the highest z scores that count; bounds the table of weights
 PER_DOMAIN = 2_000  # labelled documents of a domain that are learnt from
 Z, RATIO = 6.0, 3.0  # least z score and least ratio of shares of a word that counts
-ROUNDS = 60
+ROUNDS, HELD = 60, 6
 TOLERANCE = 1e-9  # of the largest miss, as a share of all tokens
 
 #: Token shares asked for by the registered query and the pipeline.
@@ -104,8 +106,12 @@ def posteriors(docs: DataFrame, domains: list[str], priors: list[tuple[float, fl
     return out.select("doc_id", "n_tokens", F.transform("_raw", lambda x: x / F.aggregate("_raw", F.lit(0.0), lambda a, y: a + y)).alias("p"))
 
 
-def solve(told: DataFrame, shares: list[float], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[Column, list[float]]:
-    """The rate as a column over n_tokens and p, and the domain totals it gives; targets are `shares` of all tokens."""
+def solve(told: DataFrame, shares: list[float], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, list[float]]:
+    """`told` with its column rate, and the domain totals it gives; targets are `shares` of all tokens.
+
+    Ends when the targets are met or, where they can't be, when a round betters the squares by less
+    than one in ten thousand. Steps are expressions over the row; every HELD rounds the rates are written.
+    """
     d = len(shares)
     p = [F.get("p", F.lit(i)) for i in range(d)]
     n = F.col("n_tokens").cast("double")
@@ -115,22 +121,40 @@ def solve(told: DataFrame, shares: list[float], rounds: int = ROUNDS, tolerance:
     for k, (i, j) in enumerate((i, j) for i in range(d) for j in range(i, d)):
         m[i, j] = m[j, i] = float(moments[1 + k] or 0.0)
     target = total * np.array(shares) / (sum(shares) or 1.0)
-    rate, got = F.lit(1.0), np.zeros(d)
+    now, rate = told.withColumn("rate", F.lit(1.0)), F.col("rate")
     if not total or not d:
-        return rate, got.tolist()
-    inverse = np.linalg.pinv(m + 1e-12 * total * np.eye(d), hermitian=True)
-    best, least, best_got = rate, np.inf, got
+        return now, [0.0] * d
+    weigh = np.linalg.pinv(m + 1e-12 * total * np.eye(d), hermitian=True)
+    sums = lambda r: [F.sum(r * n * p[i]) for i in range(d)] + [F.sum(F.when(r > 0, n * p[i] * p[j])) for i in range(d) for j in range(i, d)]
+
+    def look(r: Column) -> tuple[np.ndarray, np.ndarray, float]:
+        """Domain totals, moments of the documents with a rate above zero, and loss."""
+        row = [float(x or 0.0) for x in now.agg(*sums(r)).first()]
+        live = np.zeros((d, d))
+        for k, (i, j) in enumerate((i, j) for i in range(d) for j in range(i, d)):
+            live[i, j] = live[j, i] = row[d + k]
+        miss = np.array(row[:d]) - target
+        return np.array(row[:d]), live, float(miss @ weigh @ miss)
+
+    got, live, loss = look(rate)
+    length, accepted = 1.0, 0
     for _ in range(rounds):
-        got = np.array([float(x or 0.0) for x in told.agg(*[F.sum(rate * n * p[i]) for i in range(d)]).first()])
-        miss = float(np.abs(got - target).max()) / total
-        loss = float((got - target) @ inverse @ (got - target))
-        if loss < least:
-            best, least, best_got = rate, loss, got
-        if miss <= tolerance:
+        miss = got - target
+        if np.abs(miss).max() <= tolerance * total or length < 1e-3:
+            break
+        step = length * np.linalg.solve(live + 1e-6 * (np.trace(live) / d + 1e-9 * total) * np.eye(d), miss)
+        trial = F.greatest(F.lit(0.0), rate - sum((p[i] * float(step[i]) for i in range(d)), F.lit(0.0)))
+        new_got, new_live, new_loss = look(trial)
+        if new_loss >= loss:
+            length /= 4
+            continue
+        small = new_loss > loss * (1 - 1e-4)
+        rate, got, live, loss, length, accepted = trial, new_got, new_live, new_loss, min(1.0, 2 * length), accepted + 1
+        if small:
             break
-        step = inverse @ (got - target)
-        rate = F.greatest(F.lit(0.0), rate - sum((p[i] * float(step[i]) for i in range(d)), F.lit(0.0)))
-    return best, best_got.tolist()
+        if accepted % HELD == 0:
+            now, rate = stored(now.withColumn("rate", rate), "rates"), F.col("rate")
+    return now.withColumn("rate", rate), got.tolist()
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
@@ -141,5 +165,5 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> Data
     """
     domains, priors, weights = learn(docs, labelled)
     told = stored(posteriors(docs, domains, priors, weights), "posteriors")
-    rate, _ = solve(told, [float(targets.get(d, 0.0)) for d in domains])
-    return told.select("doc_id", "n_tokens", *[F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(domains)], rate.alias("rate"))
+    rated, _ = solve(told, [float(targets.get(d, 0.0)) for d in domains])
+    return rated.select("doc_id", "n_tokens", *[F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(domains)], "rate")
