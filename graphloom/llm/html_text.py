@@ -3,10 +3,10 @@
 The standard library's parser streams a page as events. Block elements cut it into lines; each line
 has the number of its characters, of its characters inside links and of the tags met in it. The
 ratio of plain text to tags per line is smoothed with a Gaussian over neighbouring lines, two
-clusters are fitted to the smoothed ratios, and the regions (runs of lines with the same container)
-that lie above the threshold between the clusters are the content. Elements that are never content
-(menus, forms, scripts ...) are left out while streaming, and a page with article elements has its
-content in them alone.
+clusters are fitted to the smoothed ratios, and the regions (lines of the same container; outside
+articles, runs of them) that lie above the threshold between the clusters are the content. Elements
+that are never content (menus, forms, scripts ...) are left out while streaming. Being in an article
+is a prior: it raises the level of plain text, and decides nothing alone.
 """
 
 from __future__ import annotations
@@ -19,12 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIGMA = 1.0  # of the Gaussian, in lines
+PRIOR = 2.0  # the level of plain text in an article counts so many times
+LINKED = 0.9  # lines with this share of link characters are links
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never article text.
 DROPPED = frozenset("script style noscript template nav footer aside form button select textarea option label fieldset menu iframe object svg canvas audio video map dialog head title".split())
 BLOCKS = frozenset("address article blockquote body center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CONTAINERS = frozenset("article main section div body td header table ul ol dl blockquote".split())
+#: Parts of a list or table: in articles they stay in the container of the list or table around them.
+INNER = frozenset("ul ol dl table td".split())
 #: Words of class, id and role values that mark furniture.
 FURNITURE = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget footer masthead comment comments reply replies disqus respond share sharing social related recommended newsletter subscribe signup login search pagination pager toolbar complementary contentinfo".split())
 #: What an open element is closed by: a new p, li ... ends an open one.
@@ -41,9 +45,9 @@ class _Events(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, furniture, container number
+        self.open: list[tuple[str, bool, int, str]] = []  # tag, furniture, number and tag of the container around it
         self.hidden = self.links = self.articles = self.containers = self.tags = self.linked = 0
-        self.container = 0
+        self.container, self.kind = 0, ""
         self.parts: list[str] = []
         self.lines: list[tuple[str, int, int, int, bool]] = []
 
@@ -74,13 +78,13 @@ class _Events(HTMLParser):
         if tag in VOID:
             return
         furniture = tag in DROPPED or (tag == "header" and not self.articles) or self.marked(tag, attrs)
-        self.open.append((tag, furniture, self.container))
+        self.open.append((tag, furniture, self.container, self.kind))
         self.hidden += furniture
         self.links += tag == "a"
         self.articles += tag == "article"
-        if tag in CONTAINERS:
+        if tag in CONTAINERS and not (self.articles and tag in INNER and self.kind in INNER):
             self.containers += 1
-            self.container = self.containers
+            self.container, self.kind = self.containers, tag
 
     @staticmethod
     def marked(tag, attrs) -> bool:
@@ -94,14 +98,14 @@ class _Events(HTMLParser):
         return False
 
     def shut(self) -> None:
-        tag, furniture, container = self.open[-1]
+        tag, furniture, container, kind = self.open[-1]
         if tag in BLOCKS or furniture:
             self.cut()
         self.open.pop()
         self.hidden -= furniture
         self.links -= tag == "a"
         self.articles -= tag == "article"
-        self.container = container
+        self.container, self.kind = container, kind
 
     def handle_endtag(self, tag):
         if not self.hidden:
@@ -154,21 +158,35 @@ def threshold(values: np.ndarray) -> float:
 def main_text(html: str, sigma: float = SIGMA) -> str:
     """The content blocks of a page in order, joined by blank lines."""
     lines = lines_of(html)
-    if any(x[4] for x in lines):
-        lines = [x for x in lines if x[4]]
     if not lines:
         return ""
     ratio = np.array([max(0, len(text) - linked) / max(1, tags) for text, linked, tags, _, _ in lines])
     level = smooth(ratio, sigma)
     least = threshold(level)
+    plain = np.array([max(0, len(text) - linked) / len(text) for text, linked, *_ in lines])
+    inside = np.array([x[4] for x in lines])
+    level = np.where(inside, level * (1 + (PRIOR - 1) * plain), level)
     regions: list[list[int]] = []
+    of: dict[int, list[int]] = {}  # region of a container in an article
     for i, x in enumerate(lines):
-        if regions and (lines[regions[-1][-1]][3] == x[3] or x[4]):
-            regions[-1].append(i)
+        last = of.get(x[3]) if x[4] else regions[-1] if regions and lines[regions[-1][-1]][3] == x[3] else None
+        if last is not None:
+            last.append(i)
         else:
             regions.append([i])
-    kept = [i for r in regions if level[r].max() >= least for i in r if len(r) == 1 or lines[i][1] < 0.9 * len(lines[i][0]) or lines[i][4]]
-    return "\n\n".join(lines[i][0] for i in kept)
+            if x[4]:
+                of[x[3]] = regions[-1]
+    kept = []
+    for r in regions:
+        if level[r].max() < least:
+            continue
+        linked = [lines[i][1] >= LINKED * len(lines[i][0]) for i in r]
+        for at, i in enumerate(r):
+            # in an article a link of its own (a title, a source) is text, links in a row are a list
+            row = linked[at] and (not lines[i][4] or (at > 0 and linked[at - 1]) or (at + 1 < len(r) and linked[at + 1]))
+            if len(r) == 1 or not row:
+                kept.append(i)
+    return "\n\n".join(lines[i][0] for i in sorted(kept))
 
 
 def extract(pages: DataFrame, sigma: float = SIGMA) -> DataFrame:

@@ -28,6 +28,21 @@ def test_long_paragraphs_beat_link_lists():
     assert html_text.main_text(page) == f"{P} {P}\n\n{P} {P}\n\n{P}"
 
 
+def test_ratios_decide_in_articles():
+    links = "".join(f"<li><a href=/{i}>See also item {i}</a></li>" for i in range(8))
+    short = "".join(f"<p>Nice {i}</p>" for i in range(8))
+    page = f"<article><h1><a href=/t>Title</a></h1><p>{P} {P}</p><ul><li>one</li><li>two</li></ul><p>{P} {P}</p><p>Short.</p><ul>{links}</ul><div>{short}</div></article>"
+    assert html_text.main_text(page) == f"Title\n\n{P} {P}\n\none\n\ntwo\n\n{P} {P}\n\nShort."
+    linked = "".join(f"<p><a href=/{i}>See also item {i}</a></p>" for i in range(8))
+    assert html_text.main_text(f"<article><p>{P} {P}</p><p>{P}</p>{linked}</article>") == f"{P} {P}\n\n{P}"
+
+
+def test_text_outside_teaser_articles_is_kept():
+    cards = "".join(f"<article><h3><a href=/{i}>Card {i}</a></h3></article>" for i in range(6))
+    page = f"<body><div id=story><p>{P} {P}</p><p>{P}</p><p>{P} {P}</p></div><div>{cards}</div></body>"
+    assert html_text.main_text(page) == f"{P} {P}\n\n{P}\n\n{P} {P}"
+
+
 def test_smoothing_keeps_constants_and_clusters_part():
     assert np.allclose(html_text.smooth(np.full(7, 3.0)), 3)
     assert 10 < html_text.threshold(np.array([1.0, 2, 1, 90, 100, 95])) < 90
