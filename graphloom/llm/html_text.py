@@ -6,7 +6,8 @@ ratio of plain text to tags per line is smoothed with a Gaussian over neighbouri
 clusters are fitted to the smoothed ratios, and the regions (lines of the same container; outside
 articles, runs of them) that lie above the threshold between the clusters are the content. Elements
 that are never content (menus, forms, scripts ...) are left out while streaming. Being in an article
-is a prior: it raises the level of plain text, and decides nothing alone.
+is a prior: it raises the level of plain text, and decides nothing alone. Containers marked as
+furniture by class, id or role are held back, but come in where the text would be in them alone.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 DROPPED = frozenset("script style noscript template nav footer aside form button select textarea option label fieldset menu iframe object svg canvas audio video map dialog head title".split())
 BLOCKS = frozenset("address article blockquote body center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CONTAINERS = frozenset("article main section div body td header table ul ol dl blockquote".split())
+#: Elements that are never furniture.
+KEPT = frozenset("html body article main".split())
 #: Parts of a list or table: in articles they stay in the container of the list or table around them.
 INNER = frozenset("ul ol dl table td".split())
 #: Words of class, id and role values that mark furniture.
@@ -37,24 +40,28 @@ CLOSED_BY = {
     "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"]), "head": frozenset(["body", *BLOCKS]),
 }
 _SPACE = re.compile(r"\s+")
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 class _Events(HTMLParser):
-    """Cuts a page into lines: (text, link characters, tags, container, inside an article)."""
+    """Cuts a page into lines: (text, link characters, tags, container, inside an article, marked containers around it)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int, str]] = []  # tag, furniture, number and tag of the container around it
-        self.hidden = self.links = self.articles = self.containers = self.tags = self.linked = 0
+        self.open: list[tuple[str, bool, bool, int, str]] = []  # tag, never content, marked, number and tag of the container around it
+        self.hidden = self.marks = self.links = self.articles = self.containers = self.tags = self.linked = 0
         self.container, self.kind = 0, ""
         self.parts: list[str] = []
-        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, int, bool, int]] = []
+        self.mains = 0
+        self.depth_of_main: int | None = None  # fewest marked containers around an article or main element with text
 
     def cut(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.lines.append((text, self.linked, self.tags, self.container, self.articles > 0))
+            self.lines.append((text, self.linked, self.tags, self.container, self.articles > 0, self.marks))
+            if self.articles or self.mains:
+                self.depth_of_main = self.marks if self.depth_of_main is None else min(self.depth_of_main, self.marks)
         self.parts, self.linked, self.tags = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
@@ -77,9 +84,15 @@ class _Events(HTMLParser):
             self.tags += 1
         if tag in VOID:
             return
-        furniture = tag in DROPPED or (tag == "header" and not self.articles) or self.marked(tag, attrs)
-        self.open.append((tag, furniture, self.container, self.kind))
-        self.hidden += furniture
+        shown = dict(attrs)
+        hidden = tag in DROPPED or (tag == "header" and not self.articles) or (tag not in KEPT and ("hidden" in shown or shown.get("aria-hidden") == "true"))
+        marked = not hidden and not self.hidden and self.marked(tag, attrs)
+        if marked and tag not in BLOCKS:
+            self.cut()
+        self.open.append((tag, hidden, marked, self.container, self.kind))
+        self.hidden += hidden
+        self.marks += marked
+        self.mains += tag == "main"
         self.links += tag == "a"
         self.articles += tag == "article"
         if tag in CONTAINERS and not (self.articles and tag in INNER and self.kind in INNER):
@@ -88,21 +101,20 @@ class _Events(HTMLParser):
 
     @staticmethod
     def marked(tag, attrs) -> bool:
-        if tag in ("html", "body", "article", "main"):
+        """Whether a class, id or role names furniture: all words of one name do (ad, ad-banner; not has-sidebar or ad-free)."""
+        if tag in KEPT:
             return False
-        for key, value in attrs:
-            if key in ("class", "id", "role") and value and not FURNITURE.isdisjoint(_WORD.findall(value.lower())):
-                return True
-            if key == "hidden" or (key == "aria-hidden" and value == "true"):
-                return True
-        return False
+        names = (name for key, value in attrs if key in ("class", "id", "role") and value for name in value.lower().split())
+        return any(words and FURNITURE.issuperset(words) for words in map(_WORD.findall, names))
 
     def shut(self) -> None:
-        tag, furniture, container, kind = self.open[-1]
-        if tag in BLOCKS or furniture:
+        tag, hidden, marked, container, kind = self.open[-1]
+        if tag in BLOCKS or hidden or marked:
             self.cut()
         self.open.pop()
-        self.hidden -= furniture
+        self.hidden -= hidden
+        self.marks -= marked
+        self.mains -= tag == "main"
         self.links -= tag == "a"
         self.articles -= tag == "article"
         self.container, self.kind = container, kind
@@ -125,12 +137,13 @@ class _Events(HTMLParser):
                 self.linked += len(data.strip())
 
 
-def lines_of(html: str) -> list[tuple[str, int, int, int, bool]]:
+def lines_of(html: str) -> tuple[list[tuple[str, int, int, int, bool, int]], int | None]:
+    """The lines of a page and the fewest marked containers around an article or main element with text."""
     parser = _Events()
     parser.feed(html)
     parser.close()
     parser.cut()
-    return parser.lines
+    return parser.lines, parser.depth_of_main
 
 
 def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -155,14 +168,23 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def levels(lines: list, sigma: float) -> tuple[np.ndarray, float]:
+    """Smoothed ratio of every line and the threshold."""
+    level = smooth(np.array([max(0, len(text) - linked) / max(1, tags) for text, linked, tags, *_ in lines]), sigma)
+    return level, threshold(level)
+
+
 def main_text(html: str, sigma: float = SIGMA) -> str:
     """The content blocks of a page in order, joined by blank lines."""
-    lines = lines_of(html)
+    lines, depth = lines_of(html)
     if not lines:
         return ""
-    ratio = np.array([max(0, len(text) - linked) / max(1, tags) for text, linked, tags, _, _ in lines])
-    level = smooth(ratio, sigma)
-    least = threshold(level)
+    if any(x[5] for x in lines):
+        if depth is None:  # neither article nor main: as deep as the first text above the threshold
+            level, least = levels(lines, sigma)
+            depth = min(x[5] for x, y in zip(lines, level, strict=True) if y >= least)
+        lines = [x for x in lines if x[5] <= depth]
+    level, least = levels(lines, sigma)
     plain = np.array([max(0, len(text) - linked) / len(text) for text, linked, *_ in lines])
     inside = np.array([x[4] for x in lines])
     level = np.where(inside, level * (1 + (PRIOR - 1) * plain), level)

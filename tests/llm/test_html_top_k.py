@@ -43,6 +43,19 @@ def test_text_outside_teaser_articles_is_kept():
     assert html_text.main_text(page) == f"{P} {P}\n\n{P}\n\n{P} {P}"
 
 
+@pytest.mark.parametrize("mark", ["content has-sidebar", "no-sidebar", "with-comments", "post-share-enabled", "search-results", "ad-free", "social-policy", "sidebar"])
+def test_class_words_do_not_hide_content(mark):
+    assert html_text.main_text(f"<body><div class='{mark}'><p>{P}</p><p>{P} {P}</p></div></body>") == f"{P}\n\n{P} {P}"
+    wrapped = f"<body><div class='{mark}'><h2>Head</h2><article><p>{P}</p><p>{P}</p></article><div class=comments><article>{P} me too</article></div></div></body>"
+    assert html_text.main_text(wrapped) == f"Head\n\n{P}\n\n{P}"
+
+
+@pytest.mark.parametrize("mark", ["ad", "x ad-banner", "sidebar_2", "Cookie-Notice"])
+def test_furniture_stays_out(mark):
+    assert html_text.main_text(f"<body><div class='{mark}'>{P} {P}</div><article><p>Short.</p></article></body>") == "Short."
+    assert html_text.main_text(f"<article><p>{P}</p><p>a <span id='{mark}'>Buy</span> b</p></article>") == f"{P}\n\na\n\nb"
+
+
 def test_smoothing_keeps_constants_and_clusters_part():
     assert np.allclose(html_text.smooth(np.full(7, 3.0)), 3)
     assert 10 < html_text.threshold(np.array([1.0, 2, 1, 90, 100, 95])) < 90
