@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from graphloom.llm.common import bounded, by_group, mix, shingles, stored, word_hashes
 from graphloom.llm.components import components
@@ -191,6 +192,19 @@ def _with_sets(batches):
         yield pdf[keep]
 
 
+def _sets_of(batches):
+    """Key and set of every text that has one."""
+    for pdf in batches:
+        sets = [s for s in (shingle_set(t) for t in pdf["text"] if isinstance(t, str)) if len(s)]
+        yield pd.DataFrame({"cid": [set_key(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
+
+
+@F.pandas_udf(BinaryType())
+def _cid_of(texts: pd.Series) -> pd.Series:
+    sets = (shingle_set(t) if isinstance(t, str) else np.zeros(0, np.uint64) for t in texts)
+    return pd.Series([set_key(s) if len(s) else None for s in sets], dtype=object)
+
+
 def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id, set_id, n_links of every document row.
 
@@ -200,6 +214,11 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     links and are classes of their own. Rows that repeat an id are documents of their own; other
     columns are not carried.
     """
+    return _joined(docs, similarity, recall).drop("cid")
+
+
+def _joined(docs: DataFrame, similarity: float, recall: float) -> DataFrame:
+    """What `join` gives, with the key of the row's shingle set as `cid`."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = stored(docs.select("doc_id", "text").mapInPandas(_signed, f"doc_id {kind}, cid binary, n int, prefixes binary, sig binary"), "signed")
     classes = signed.filter(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("prefixes").alias("prefixes"), F.first("sig").alias("sig"), F.first("n").alias("n"))
@@ -219,8 +238,20 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     sizes = stored(sizes, "sizes")
     placed = about.join(bounded(sizes, sizes.count()), "comp")
     placed = stored(placed, "placed")
-    rows = docs.select("doc_id", "text").join(bounded(placed, placed.count()), F.col("doc_id") == F.col("rep")).select("cid", "comp", "copies", "n_blocks", "text")
+    # texts are found by id, one row a class; where an id repeats or is null, by set
+    repeated = stored(signed.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("doc_id").alias("_twice")), "repeated")
+    n_repeated = repeated.count()
+    single = placed
+    if n_repeated:
+        single = placed.join(bounded(repeated, n_repeated), F.col("rep") == F.col("_twice"), "left_anti")
+    rows = docs.select("doc_id", "text").join(bounded(single, placed.count()), F.col("doc_id") == F.col("rep")).select("cid", "comp", "copies", "n_blocks", "text")
     sets = rows.mapInPandas(_with_sets, "cid binary, comp binary, copies long, n_blocks long, shingles binary")
+    if n_repeated or not placed.filter(F.col("rep").isNull()).isEmpty():
+        own = docs.select("doc_id", "text")
+        again = own.join(bounded(repeated, n_repeated), F.col("doc_id") == F.col("_twice"), "left_semi").union(own.filter(F.col("doc_id").isNull()))
+        several = placed.join(bounded(repeated, n_repeated), F.col("rep") == F.col("_twice"), "left_semi").union(placed.filter(F.col("rep").isNull()))
+        found = again.select("text").mapInPandas(_sets_of, "cid binary, shingles binary").dropDuplicates(["cid"])
+        sets = sets.union(found.join(several, "cid").select("cid", "comp", "copies", "n_blocks", "shingles"))
     sets = _block_pairs(sets, F.col("n_blocks")).select("comp", "pair", "cid", "block", "alone", "copies", "n_blocks", "shingles")
     sets = sets.repartition("comp", "pair").sortWithinPartitions("comp", "pair")
     checked = stored(sets.mapInPandas(_verified(similarity), "cid binary, root binary, links long, one boolean"), "checked")
@@ -237,10 +268,21 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     every = every.filter((F.col("copies") > 1) | F.col("links").isNotNull()).select(F.col("cid").alias("_cid"), F.coalesce("class_id", "rep").alias("_class"), F.col("rep").alias("_set"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links"))
     every = stored(every, "every")
     out = signed.select("doc_id", "cid").join(bounded(every, every.count()), F.col("cid") == F.col("_cid"), "left")
-    return out.select("doc_id", F.coalesce("_class", "doc_id").alias("class_id"), F.coalesce("_set", "doc_id").alias("set_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("cid", "doc_id", F.coalesce("_class", "doc_id").alias("class_id"), F.coalesce("_set", "doc_id").alias("set_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without those whose class has a smaller doc_id, all columns; of rows that repeat a kept id in a class, all stay."""
-    dropped = stored(join(docs, similarity).filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_drop")).distinct(), "dropped")
-    return docs.join(bounded(dropped, dropped.count()), F.col("doc_id") == F.col("_drop"), "left_anti")
+    told = _joined(docs, similarity, RECALL).withColumn("_out", F.coalesce(F.col("doc_id") != F.col("class_id"), F.lit(False)))
+    ids = told.groupBy(F.col("doc_id").alias("_drop")).agg(F.max("_out").alias("_any"), F.min("_out").alias("_all"))
+    dropped = stored(ids.filter("_any").select("_drop", "_all"), "dropped")
+    kept = docs.join(bounded(dropped, dropped.count()), F.col("doc_id") == F.col("_drop"), "left_anti")
+    mixed = dropped.filter(~F.col("_all"))
+    n_mixed = mixed.count()
+    if not n_mixed:
+        return kept
+    # an id with rows of several sets, not all of them dropped
+    mixed = bounded(mixed, n_mixed)
+    sets = stored(told.filter("_out").join(mixed, F.col("doc_id") == F.col("_drop"), "left_semi").select(F.col("doc_id").alias("_id"), F.col("cid").alias("_set")).distinct(), "mixed")
+    rows = docs.join(mixed, F.col("doc_id") == F.col("_drop"), "left_semi").withColumn("_cid", _cid_of("text"))
+    return kept.union(rows.join(bounded(sets, sets.count()), (F.col("doc_id") == F.col("_id")) & (F.col("_cid") == F.col("_set")), "left_anti").drop("_cid"))

@@ -89,6 +89,28 @@ def test_repeated_rows_and_clashing_columns(spark):
     assert got(near_copies.join(df)) == [(1, 1, 2), (1, 1, 2), (2, 1, 2), (3, 3, 0)]
 
 
+def test_repeated_rows_with_a_near_partner(spark):
+    words = [f"x{i}" for i in range(60)]
+    text, near = " ".join(words), " ".join([*words[:-1], "other"])
+    lone, same = " ".join(f"y{i}" for i in range(50)), " ".join([*words[1:], "more"])
+    rows = [(1, text), (1, text), (2, near), (2, lone), (2, lone), (7, None), (None, same), (None, same)]
+    df = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, pair int")
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    out = sorted(((r.doc_id, r.class_id, r.n_links) for r in near_copies.join(df).collect()), key=key)
+    assert out == [(None, 1, 4), (None, 1, 4), (1, 1, 4), (1, 1, 4), (2, 1, 4), (2, 2, 1), (2, 2, 1), (7, 7, 0)]
+    first = [(1, text), (1, text), (2, near)]
+    assert got(near_copies.join(spark.createDataFrame(first, "doc_id long, text string"))) == [(1, 1, 2), (1, 1, 2), (2, 1, 2)]
+    kept = near_copies.one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((i or 0, t or "") for i, t in rows if t != near)
+
+
+def test_near_copies_without_ids(spark):
+    words = [f"x{i}" for i in range(60)]
+    rows = [(None, " ".join(words)), (None, " ".join([*words[:-1], "other"])), (None, "alone here")]
+    assert sorted(r.n_links for r in near_copies.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [0, 1, 1]
+
+
 def test_empty_table(spark, documents):
     assert near_copies.join(documents([])).count() == 0
 
