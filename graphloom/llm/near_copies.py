@@ -1,10 +1,10 @@
-"""N-gram Jaccard join with a MinHash LSH forest.
+"""N-gram Jaccard join with MinHash LSH at one fixed prefix depth.
 
 1. Every text gets the set of its five-word shingles (lower-case words between white space), a
    128-bit hash of the set and TREES x DEPTH MinHash values. Texts of one set form one class.
-2. A tree sorts the classes by its DEPTH values; two classes are candidates when they share a prefix.
-   The prefix is shortened from DEPTH until the chance that two sets at the threshold share one in
-   some tree reaches the target recall.
+2. Two classes are candidates when they share the prefix of a tree's values, met by its hash. The
+   length is the same everywhere: the longest, up to DEPTH, at which the chance that two sets at the
+   threshold share one in some tree reaches the target recall.
 3. In each shared prefix the signatures part what merely collides: classes whose estimate reaches
    ESTIMATE (over four standard deviations below the threshold) are linked to a leader, so a group
    gives one row a member and not all pairs. Groups of more than CHUNK members are cut into blocks
