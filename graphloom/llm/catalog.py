@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphloom.llm import decontaminate, html_text, language_id, mixing, near_copies, pii, pitman_yor, quality, repeats, top_k
+from graphloom.llm import decontaminate, html_text, language_id, mixing, near_copies, pii, pitman_yor, prefix_trie, quality, repeats, top_k
 from graphloom.llm.common import crc_mod, table
 from graphloom.llm.registry import ORACLES, QUERIES, query
 
@@ -105,6 +105,31 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.search(vectors.filter(F.col("vec_id") % 20 == 0), vectors)
 
 
+#: Whole prefixes as running digests; crc32 bit by bit (-1 shifts, other numbers are bytes taken in).
+PREFIX_TRIE_SQL = """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id AS c, conv_id - conv_id % 5 AS b, count(*) AS n, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [ascii(x), -1, -1, -1, -1, -1, -1, -1, -1])) AS steps
+  FROM t GROUP BY conv_id),
+crc AS (SELECT c, b, n, xor(list_reduce(list_concat([4294967295], steps), lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) WHEN s % 2 = 1 THEN xor(s // 2, 3988292384) ELSE s // 2 END), 4294967295) % 9 AS h FROM ids),
+conv AS (SELECT crc.c, crc.b, crc.h, least(crc.h, coalesce(o.n, 0)) AS m FROM crc LEFT JOIN crc o ON o.c = crc.b),
+r AS (SELECT c, pos, role, text FROM conv JOIN t ON conv_id = b AND pos < h UNION ALL SELECT c, pos - h + m, role, text FROM conv JOIN t ON conv_id = c AND pos >= h),
+p AS (SELECT c, pos + 1 AS d, string_agg(md5(md5(role) || md5(text)), '' ORDER BY pos) OVER (PARTITION BY c ORDER BY pos) AS k, octet_length(encode(text)) AS size FROM r UNION ALL SELECT c, 0, '', 0 FROM conv),
+q AS (SELECT c, d, k, size, lag(k) OVER (PARTITION BY c ORDER BY d) AS up, lead(d) OVER (PARTITION BY c ORDER BY d) IS NULL AS ends FROM p),
+node AS (SELECT d, k, any_value(up) AS up, any_value(size) AS size, min(c) AS conv, count(*) AS n, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS sha FROM q GROUP BY d, k),
+kids AS (SELECT up AS k, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY up, d),
+full_node AS (SELECT node.*, coalesce(kids.n, 0) AS children FROM node LEFT JOIN kids USING (d, k)),
+sums AS (SELECT q.d, q.k, sum((f.n - 1) * f.size) AS saved, sum(CASE WHEN f.children = 0 THEN 1 ELSE 0 END) AS leaves FROM full_node f JOIN q ON q.c = f.conv AND q.d <= f.d GROUP BY q.d, q.k)
+SELECT f.conv AS conv_id, f.d AS depth, u.conv AS parent_conv_id, f.n AS n_convs, f.children AS n_children, CAST(sums.leaves AS BIGINT) AS n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens, f.sha AS ends_sha256
+FROM full_node f JOIN sums USING (d, k) LEFT JOIN node u ON u.d = f.d - 1 AND u.k = f.up
+"""
+
+
+@query("op11_prefix_trie", PREFIX_TRIE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
