@@ -115,8 +115,17 @@ def rejected_lines(lines: DataFrame, year: int = 1970) -> DataFrame:
     return headed.where((F.col("raw") != "") & bad).drop("ts", "service", "pid", "body", "low")
 
 
-def type_events(headed: DataFrame) -> DataFrame:
-    """Relevant events with all their columns, from service, pid and body."""
+def events_and_errors(lines: DataFrame, year: int, zone: str = "UTC", now: Column | None = None) -> DataFrame:
+    """The events of `parse_auth_lines`, and a `source_error` event for every row whose `error` says what could not be read."""
+    headed = with_headers(lines, year, zone, now, keep_all=True)
+    failed = F.col("error").isNotNull()
+    events = type_events(headed, failed)
+    return events.withColumns({"event_type": F.when(failed, "source_error").otherwise(F.col("event_type")),
+                               "detail": F.coalesce("error", "detail")}).drop("error")
+
+
+def type_events(headed: DataFrame, also: Column | None = None) -> DataFrame:
+    """Relevant events with all their columns, from service, pid and body; rows that `also` names are kept too."""
     body, low, service = F.col("body"), F.col("low"), F.col("service")
     rest = [c for c in headed.columns if c not in ("raw", "ts", "service", "pid", "body", "low")]
     module = _extract(body, low, "pam_", A.MODULE)
@@ -125,7 +134,8 @@ def type_events(headed: DataFrame) -> DataFrame:
         *[sign.alias(f"__{name}") for name, sign in signs(low).items()])
     signed = headed.select("*", F.inline(F.array(found)))
     sign = {name: F.col(f"__{name}") for name in SIGNS}
-    return signed.where(is_relevant(service, low, sign)).select(
+    relevant = is_relevant(service, low, sign)
+    return signed.where(relevant if also is None else relevant | also).select(
         *rest, "ts", "raw", event_type(service, body, low, F.col("module"), sign).alias("event_type"), "service",
         F.rtrim(_extract(body, low, "user", A.USER), F.lit(")")).alias("user"),
         _extract(body, low, "rhost", A.RHOST).alias("rhost"),

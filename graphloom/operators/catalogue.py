@@ -6,8 +6,12 @@ newest row per key unless it is a tombstone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import functools
+import hashlib
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.functions import keys, times
 from graphloom.operators.ranking import last_wins
@@ -68,6 +72,46 @@ def count_mismatches(runs: DataFrame, nodes: DataFrame, edges: DataFrame) -> Dat
     return found.where((F.col("node_count") != F.col("nodes_found")) | (F.col("edge_count") != F.col("edges_found")))
 
 
+def _plain(name: str, kind: T.DataType) -> Column:
+    """A value as text that does not depend on the order of map entries or the sign of zero."""
+    if isinstance(kind, T.MapType):
+        return F.to_json(F.array_sort(F.map_entries(name)))
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return (F.col(name) + F.lit(0.0)).cast("string")
+    return F.to_json(F.struct(name), {"ignoreNullFields": "false"}) if isinstance(kind, (T.StructType, T.ArrayType)) else F.col(name).cast("string")
+
+
+def fingerprints(rows: DataFrame, by: list[str], columns: list[str] | None = None) -> DataFrame:
+    """Per key the number of rows and a fingerprint of them as a multiset: the order does not matter, repeats do.
+
+    Each row is hashed twice; hashes are added up, so partial results combine and no key is collected.
+    """
+    columns = sorted(columns or [c for c in rows.columns if c not in by])
+    # A null is written unlike any text.
+    fields = [F.coalesce(F.concat(F.lit("v"), _plain(c, rows.schema[c].dataType)), F.lit("n")) for c in columns]
+    row = F.array(*fields)
+    hashed = rows.select(*by, *[F.xxhash64(row, F.lit(i)).cast("decimal(38,0)").alias(f"__h{i}") for i in (0, 1)])
+    return hashed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.struct(F.sum("__h0").alias("a"), F.sum("__h1").alias("b")).alias("print"))
+
+
+def replay_mismatches(stored: dict[str, DataFrame], rebuilt: dict[str, DataFrame], by: list[str]) -> DataFrame:
+    """(part, key..., stored_rows, rebuilt_rows) of every key whose stored and rebuilt rows are not the same multiset.
+
+    Parts are tables by name, say nodes and edges. A single changed attribute or doubled row shows;
+    equal graphs give no rows. Columns that only one side has are not compared.
+    """
+    found = []
+    for part, left in stored.items():
+        right = rebuilt[part]
+        columns = [c for c in left.columns if c in right.columns and c not in by]
+        a, b = (fingerprints(df, by, columns).select(*by, F.col("n").alias(f"{name}_rows"), F.col("print").alias(f"__{name}"))
+                for df, name in ((left, "stored"), (right, "rebuilt")))
+        met = a.join(b, by, "full").where(~F.col("__stored").eqNullSafe(F.col("__rebuilt")))
+        counts = [F.coalesce(f"{name}_rows", F.lit(0)).alias(f"{name}_rows") for name in ("stored", "rebuilt")]
+        found.append(met.select(F.lit(part).alias("part"), *by, *counts))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 class RunStore:
     """Stored graphs below a shared folder: catalogue rows plus nodes and edges per run."""
 
@@ -157,5 +201,34 @@ class RunStore:
     def log_change(self, table: str, rows: DataFrame, at: Column, deleted: bool = False) -> None:
         self._append(rows.withColumns({"at": at, "deleted": F.lit(deleted)}), table)
 
+    def save_snapshot(self, name: str, nodes: DataFrame, edges: DataFrame, at: Column) -> None:
+        """Keep a graph under a name; the listing row is appended last. A later one of the name takes its place."""
+        micros = self.spark.range(1).select(F.unix_micros(at)).first()[0]
+        counts = {}
+        for df, part in ((nodes, "nodes"), (edges, "edges")):
+            seen = Observation()
+            df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(self._snapshot(name, micros, part))
+            counts[part] = seen.get["n"]
+        row = self.spark.range(1).select(F.lit(name).alias("name"), F.lit(counts["nodes"]).cast("long").alias("node_count"),
+                                         F.lit(counts["edges"]).cast("long").alias("edge_count"), F.lit(micros).alias("micros"))
+        self.log_change("saved_snapshots", row, F.timestamp_micros(F.lit(micros)))
+
+    def delete_snapshot(self, name: str, at: Column) -> None:
+        gone = self.spark.range(1).select(F.lit(name).alias("name"), *[F.lit(0).cast("long").alias(c) for c in ("node_count", "edge_count", "micros")])
+        self.log_change("saved_snapshots", gone, at, deleted=True)
+
+    def snapshots(self) -> DataFrame:
+        """(name, node_count, edge_count, micros, at) of the snapshots there are; no payload is read."""
+        return self.current("saved_snapshots", "name string, node_count bigint, edge_count bigint, micros bigint", ["name"])
+
+    def load_snapshot(self, name: str) -> tuple[DataFrame, DataFrame] | None:
+        hit = self.snapshots().where(F.col("name") == name).select("micros").first()
+        if hit is None:
+            return None
+        return tuple(self.spark.read.parquet(self._snapshot(name, hit[0], part)) for part in ("nodes", "edges"))
+
+    def _snapshot(self, name: str, micros: int, part: str) -> str:
+        return f"{self.root}/snapshot_payload/name_hash={hashlib.sha256(name.encode()).hexdigest()[:32]}/at={micros}/{part}"
+
     def current(self, table: str, schema: str, by: list[str]) -> DataFrame:
         return live_changes(self._read(table, f"{schema}, at timestamp, deleted boolean"), by)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -85,26 +86,52 @@ def explode_lines(files: DataFrame) -> DataFrame:
         "line", F.col("line") + 1)
 
 
-def rule_match(line: Column, rules: list[tuple[str, str]]) -> Column:
-    """struct(kind, label) of the first rule that matches from the start of the line, or NULL."""
-    hits = []
-    for kind, pattern in rules:
-        wide = "(?U)" + pattern  # \w over all letters, not only ASCII
-        hits.append(F.when(line.rlike(wide), F.struct(F.lit(kind).alias("kind"), F.regexp_extract(line, wide, 1).alias("label"))))
-    return F.coalesce(*hits)
+_MARK = "\u0001"
+
+
+def _one_pass(rules: list[tuple[str, str]]) -> tuple[str, str]:
+    """All rules of a language as one alternation, and a replacement that writes down what each branch found.
+
+    The first branch that matches wins, as the first rule does. (?U) is \\w over all letters.
+    """
+    branches, group, kept = [], 1, []
+    for _, pattern in rules:
+        branches.append(pattern)
+        kept.append(group)
+        group += re.compile(pattern).groups
+    return "(?sU)^(?:" + "|".join(f"(?:{b})" for b in branches) + ").*", "".join(f"{_MARK}${g}" for g in kept)
+
+
+def _marked(line: Column, rules: list[tuple[str, str]]) -> Column:
+    """The label of the first rule that matches from the start of the line, behind one mark for each rule up to it; the line is read once."""
+    pattern, marks = _one_pass(rules)
+    # A line that itself starts with the mark is no symbol.
+    return F.when(~line.startswith(_MARK), F.regexp_replace(line, pattern, marks))
+
+
+def _hit(marked: Column, kinds: Column) -> tuple[Column, Column]:
+    """(kind, label) that a marked line tells."""
+    rest = F.ltrim(marked, F.lit(_MARK))
+    return F.get(kinds, F.length(marked) - F.length(rest) - 1), F.rtrim(rest, F.lit(_MARK))
+
+
+def _kinds(rules: list[tuple[str, str]]) -> Column:
+    return F.array(*[F.lit(kind) for kind, _ in rules])
+
+
+def _by_language(languages: list[Language], of) -> Column:
+    chain = F.when(F.col("language") == languages[0].name, of(languages[0]))
+    return functools.reduce(lambda acc, lang: acc.when(F.col("language") == lang.name, of(lang)), languages[1:], chain)
 
 
 def match_symbols(lines: DataFrame) -> DataFrame:
     """Add kind and label to lines of pattern languages; lines without a symbol are dropped."""
     languages = REGISTRY.rule_languages()
-    found = functools.reduce(
-        lambda acc, lang: acc.when(F.col("language") == lang.name, rule_match(F.col("text"), lang.rules)),
-        languages[1:],
-        F.when(F.col("language") == languages[0].name, rule_match(F.col("text"), languages[0].rules)),
-    )
-    # The array keeps the match from being computed again for each use of it.
-    return lines.select("*", F.explode(F.array_compact(F.array(found))).alias("__hit")).select(
-        *lines.columns, "__hit.kind", "__hit.label")
+    marked = _by_language(languages, lambda lang: _marked(F.col("text"), lang.rules))
+    # The generator keeps the match from being computed again for each use of it.
+    found = lines.select("*", F.explode(F.array(marked)).alias("__m")).where(F.col("__m").startswith(_MARK))
+    kind, label = _hit(F.col("__m"), _by_language(languages, lambda lang: _kinds(lang.rules)))
+    return found.select(*lines.columns, kind.alias("kind"), label.alias("label"))
 
 
 def extract_symbols(files: DataFrame, max_depth: int = 2, legacy_comments: bool = True) -> DataFrame:
@@ -141,31 +168,33 @@ def languages_table(spark) -> DataFrame:
     return spark.createDataFrame(list(REGISTRY.languages().items()), "language string, extensions array<string>")
 
 
-def extract_symbols_udtf():
-    """A table function for SQL users: SELECT ... FROM files, LATERAL extract_symbols(ext, raw).
-
-    The DataFrame operator above is the fast path; this one runs in Python, row by row.
-    """
-    import re
+def _quoted(text_: str) -> str:
+    """A SQL string literal, whatever escapes it holds."""
+    return "r'" + text_.replace("'", "\\x{27}") + "'"
 
-    from pyspark.sql.functions import udtf
-
-    rules = {ext: [(kind, pattern) for kind, pattern in lang.rules]
-             for lang in REGISTRY.rule_languages() for ext in lang.extensions}
-    openers = tuple(L.COMMENT_OPENERS)
-
-    class ExtractSymbols:
-        def eval(self, ext: str, raw: str):
-            compiled = [(kind, re.compile(pattern)) for kind, pattern in rules.get((ext or "").lower(), [])]
-            for number, line in enumerate((raw or "").splitlines(), start=1):
-                stripped = line.strip()
-                if not compiled or not stripped or stripped.startswith(openers):
-                    continue
-                hits = ((kind, rx.match(stripped)) for kind, rx in compiled)
-                first = next(((kind, m.group(1)) for kind, m in hits if m), None)
-                if first:
-                    yield (*first, number)
-
-    return udtf(ExtractSymbols, returnType="kind string, label string, line int")
 
+def register_sql_function(spark, name: str = "extract_symbols") -> None:
+    """A table function for SQL users: SELECT s.* FROM files f, LATERAL extract_symbols(f.ext, f.raw) s.
 
+    Its body is SQL over the same rules, lines and comment openers as the operator, so it is planned
+    and compiled like any other expression. Returns (kind, label, line).
+    """
+    branches, kinds = [], []
+    for lang in REGISTRY.rule_languages():
+        pattern, marks = _one_pass(lang.rules)
+        listed = ", ".join(_quoted(e) for e in lang.extensions)
+        marks = marks.replace(_MARK, "\\u0001")
+        branches.append(f"WHEN lower(ext) IN ({listed}) THEN regexp_replace(line, {_quoted(pattern)}, '{marks}')")
+        kinds.append(f"WHEN lower(ext) IN ({listed}) THEN array({', '.join(_quoted(kind) for kind, _ in lang.rules)})")
+    spaces = "".join(f"\\u{ord(c):04x}" for c in text.SPACES)
+    enders = ", ".join(f"'\\u{ord(c):04x}'" for c in text.ENDERS)
+    comment = " OR ".join(f"startswith(line, {_quoted(o)})" for o in L.COMMENT_OPENERS)
+    body = f"CASE WHEN endswith(raw, '\\r\\n') THEN left(raw, length(raw) - 2) WHEN right(raw, 1) IN ({enders}) THEN left(raw, length(raw) - 1) ELSE raw END"
+    spark.sql(f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION {name}(ext STRING, raw STRING) RETURNS TABLE (kind STRING, label STRING, line INT) RETURN
+        SELECT get(CASE {' '.join(kinds)} END, length(marked) - length(trim(LEADING '\\u0001' FROM marked)) - 1), btrim(marked, '\\u0001'), CAST(number + 1 AS INT) FROM (
+          SELECT ext, number, CASE {' '.join(branches)} END AS marked FROM (
+            SELECT ext, number, btrim(piece, '{spaces}') AS line FROM (
+              SELECT extract_symbols.ext AS ext, t.number, t.piece FROM posexplode(split({body}, {_quoted(text.LINE_END)})) AS t(number, piece))
+          ) WHERE line <> '' AND NOT startswith(line, '\\u0001') AND NOT ({comment})
+        ) WHERE startswith(marked, '\\u0001')""".replace("extract_symbols.ext", f"{name}.ext"))

@@ -74,14 +74,17 @@ def _attribute(row: Column, name: str) -> list[Column]:
     return [F.try_variant_get(row, f"$.{name}", "string"), F.try_variant_get(row, f"$.metadata.{name}", "string")]
 
 
-def read_graph_nodes(documents: DataFrame, column: str = "document") -> DataFrame:
-    """Nodes of JSON documents: a map by id or an array; top-level attributes before metadata ones."""
+def read_graph_nodes(documents: DataFrame, column: str = "document", position: str | None = None) -> DataFrame:
+    """Nodes of JSON documents: a map by id or an array; top-level attributes before metadata ones.
+
+    A listed node without id is known by its place, which `position` holds if a document is only a part.
+    """
     nodes = F.try_variant_get(F.try_parse_json(column), "$.nodes", "variant")
     rest = [c for c in documents.columns if c != column]
     by_id = F.transform(F.map_entries(F.try_variant_get(nodes, "$", "map<string,variant>")), lambda e: F.struct(
         e["key"].alias("id"), e["value"].alias("v")))
     listed = F.transform(F.try_variant_get(nodes, "$", "array<variant>"), lambda v, i: F.struct(
-        F.coalesce(F.try_variant_get(v, "$.id", "string"), i.cast("string")).alias("id"), v.alias("v")))
+        F.coalesce(F.try_variant_get(v, "$.id", "string"), (F.col(position) if position else i).cast("string")).alias("id"), v.alias("v")))
     rows = documents.select(*rest, F.inline(F.coalesce(by_id, listed)))
     rows = rows.where(F.schema_of_variant("v").startswith("OBJECT"))
     return rows.select(

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from graphloom.operators import filters, stats
 from graphloom.operators.ranking import ranked
 from graphloom.operators.skew import own_shuffle
-from graphloom.session import cut_lineage
+from graphloom.session import cut_and_observe, cut_lineage
 
 BROADCAST_ROWS = 200_000
+HOPS = 16  # layers of a path walked in one job
 MERGE_EVERY = 8
 
 
@@ -25,6 +26,11 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _cut_and_count(df: DataFrame) -> tuple[DataFrame, int]:
+    out, seen = cut_and_observe(df, n=F.count(F.lit(1)))
+    return out, seen["n"]
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """Both directions of every edge as (src, dst), once each."""
     both = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
@@ -34,13 +40,13 @@ def undirected(edges: DataFrame) -> DataFrame:
 def descendants(edges: DataFrame, start: DataFrame) -> DataFrame:
     """Ids reachable along out-edges from any start id, the start ids themselves left out."""
     links = cut_lineage(edges.select("src", "dst"))
-    frontier = cut_lineage(start.select("id").distinct())
-    seen, rows, rounds = frontier, frontier.count(), 0
+    frontier, rows = _cut_and_count(start.select("id").distinct())
+    seen, rounds = frontier, 0
     while rows:
         reached = links.join(_small(frontier.withColumnRenamed("id", "src"), rows), "src", "left_semi").select(
             F.col("dst").alias("id")).distinct()
-        frontier = cut_lineage(reached.join(seen, "id", "left_anti"))
-        rows, rounds = frontier.count(), rounds + 1
+        frontier, rows = _cut_and_count(reached.join(seen, "id", "left_anti"))
+        rounds += 1
         seen = seen.unionByName(frontier)
         if rounds % MERGE_EVERY == 0:
             seen = cut_lineage(seen)
@@ -74,25 +80,43 @@ def grow_selection(edges: DataFrame, selection: DataFrame) -> DataFrame:
 def shortest_path(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(step, id) of a shortest undirected path, the least one by its ids; no path or unknown ends, no rows.
 
-    Distances spread from `b`; the path then follows the least neighbour that is one step nearer.
-    A row holds an id and its distance only, whatever the length of the path.
+    Distances spread from `b`; every node keeps the least of its neighbours that are one step nearer,
+    and the path follows these from `a`, HOPS layers in one job. A row holds an id and the next one
+    only, whatever the length of the path, and the driver one id.
     """
     spark = edges.sparkSession
     links = cut_lineage(undirected(edges))
-    frontier = links.where(F.col("src") == b).select(F.col("src").alias("id")).limit(1)
-    seen, rows, far = frontier.withColumn("far", F.lit(0)), frontier.count(), 0
-    while rows and frontier.where(F.col("id") == a).isEmpty():
-        reached = links.join(_small(frontier.withColumnRenamed("id", "src"), rows), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        frontier = cut_lineage(reached.join(seen, "id", "left_anti"))
-        rows, far = frontier.count(), far + 1
-        seen = seen.unionByName(frontier.withColumn("far", F.lit(far)))
-        if far % MERGE_EVERY == 0:
+    first = links.where(F.col("src") == b).select(F.col("src").alias("id"), F.lit(None).cast("string").alias("next")).limit(1)
+    here = (F.col("id") == a).cast("int")
+
+    def layer(df: DataFrame) -> tuple[DataFrame, int, bool]:
+        out, seen = cut_and_observe(df, n=F.count(F.lit(1)), there=F.max(here))
+        return out, seen["n"], bool(seen["there"])
+
+    frontier, rows, there = layer(first)
+    layers, seen = [frontier], frontier.select("id")
+    while rows and not there:
+        from_ = _small(frontier.select(F.col("id").alias("src")), rows)
+        reached = links.join(from_, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("next"))
+        frontier, rows, there = layer(reached.join(seen, "id", "left_anti"))
+        layers.append(frontier)
+        seen = seen.unionByName(frontier.select("id"))
+        if len(layers) % MERGE_EVERY == 0:
             seen = cut_lineage(seen)
-    path = [a] if rows else []
-    for left in range(far - 1, -1, -1) if rows else []:
-        near = links.where(F.col("src") == path[-1]).select(F.col("dst").alias("id")).join(seen.where(F.col("far") == left), "id", "left_semi")
-        path.append(near.agg(F.min("id")).first()[0])
-    return spark.createDataFrame(list(enumerate(path)), "step int, id string")
+    path = spark.createDataFrame([], "step int, id string")
+    if not rows:
+        return path
+    at, step = a, 0
+    while layers:
+        some = [layers.pop() for _ in range(min(HOPS, len(layers)))]
+        row = some[0].where(F.col("id") == at).select(F.col("id").alias("h0"), F.col("next").alias("h1"))
+        for i, more in enumerate(some[1:], start=1):
+            row = more.join(F.broadcast(row), F.col("id") == F.col(f"h{i}")).select(*row.columns, F.col("next").alias(f"h{i + 1}"))
+        row = cut_lineage(row)
+        n = len(some)
+        path = path.unionByName(row.select(F.explode(F.array(*[F.struct(F.lit(step + i).alias("step"), F.col(f"h{i}").alias("id")) for i in range(n)])).alias("p")).select("p.*"))
+        at, step = row.select(f"h{n}").first()[0], step + n
+    return path
 
 
 def path_edges(edges: DataFrame, path: DataFrame) -> DataFrame:
@@ -117,10 +141,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     pairs = cut_lineage(edges.where(F.col("src") != F.col("dst")).select(
         F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
-    mark = _fingerprint(pairs)
+    mark = None
     while True:
-        pairs = cut_lineage(_small_star(_large_star(pairs)))
-        new_mark = _fingerprint(pairs)
+        pairs, new_mark = cut_and_observe(_small_star(_large_star(pairs)), n=F.count(F.lit(1)), sum=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
         if new_mark == mark:
             break
         mark = new_mark
@@ -128,10 +151,6 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def _fingerprint(pairs: DataFrame) -> tuple:
-    return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-
 def _large_star(pairs: DataFrame) -> DataFrame:
     both = pairs.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -9,7 +9,7 @@ from graphloom.operators import catalogue, feed, filters
 from graphloom.plans import inputs as I
 from graphloom.plans.registry import query, table
 from graphloom.session import run_dir
-from graphloom.sources import files as tree
+from graphloom.sources import documents, files as tree
 
 W = I.with_inputs
 NOW_SQL = f"TIMESTAMP '{I.NOW}'"
@@ -72,6 +72,21 @@ def _documents(spark, sf):
         "p_partkey", "document")
 
 
+@query(W("tree_nodes") + "SELECT id, coalesce(nullif(label, ''), id) AS label FROM tree_nodes")
+def a14_read_pieces_nodes(spark, sf):
+    """A document written in pieces and read back from them, of any size."""
+    path = run_dir(spark, "document")
+    documents.write_graph_json(I.tree_nodes(spark, sf).select("id", "label", "depth"), I.tree_edges(spark, sf), path, "gjgf")
+    return documents.read_graph_json(spark, path)[0].select("id", "label")
+
+
+@query(W("tree_edges") + "SELECT src, dst FROM tree_edges")
+def a14_read_pieces_edges(spark, sf):
+    path = run_dir(spark, "document")
+    documents.write_graph_json(I.tree_nodes(spark, sf).select("id", "label", "depth"), I.tree_edges(spark, sf), path, "listing")
+    return documents.read_graph_json(spark, path)[1].select("src", "dst")
+
+
 @query("SELECT p_partkey, p_brand AS src, 'plain' AS dst, 'uses' AS label FROM part")
 def a14_read_graph_edges(spark, sf):
     return feed.read_graph_edges(_documents(spark, sf)).select("p_partkey", "src", "dst", "label")
@@ -196,6 +211,40 @@ def m10_count_mismatches(spark, sf):
     return found.select("key", "node_count", "nodes_found")
 
 
+# What the feed carries, folded back; one label is changed and one edge comes twice, which is all that may show.
+@query(W("tree_nodes", "tree_edges") + """
+    SELECT 'nodes' AS part, split_part(id, '::', 1) AS key, count(*) AS stored_rows, count(*) AS rebuilt_rows FROM tree_nodes
+    WHERE split_part(id, '::', 1) = (SELECT split_part(max(id), '::', 1) FROM tree_nodes) GROUP BY 2
+    UNION ALL SELECT 'edges', split_part(src, '::', 1), count(*), count(*) + 1 FROM tree_edges
+    WHERE split_part(src, '::', 1) = (SELECT split_part(min(src), '::', 1) FROM tree_edges) GROUP BY 2""")
+def m10_replay_mismatches(spark, sf):
+    nodes, edges = _small_nodes(spark, sf), I.tree_edges(spark, sf)
+    back_nodes, back_edges = feed.fold_feed(feed.encode_events(feed.event_feed(nodes, edges, "Spiral")))
+    changed = back_nodes.withColumn("label", F.when(F.col("id") == back_nodes.agg(F.max("id")).scalar(), "other").otherwise(F.col("label")))
+    first = back_edges.agg(F.min(F.struct("src", "dst"))).scalar()
+    doubled = back_edges.unionByName(back_edges.where(F.struct("src", "dst") == first))
+    key = lambda df, c: df.withColumn("key", F.split(c, "::")[0])
+    stored = {"nodes": key(nodes, "id"), "edges": key(edges, "src")}
+    return catalogue.replay_mismatches(stored, {"nodes": key(changed, "id"), "edges": key(doubled, "src")}, ["key"])
+
+
+@query(W("tree_nodes", "tree_edges") + """SELECT 'node' AS part, id, label AS other FROM tree_nodes UNION ALL SELECT 'edge', src, dst FROM tree_edges
+    UNION ALL SELECT 'listed', 'tree', (SELECT count(*) FROM tree_nodes) || '/' || (SELECT count(*) FROM tree_edges)""")
+def m8_snapshot_payload(spark, sf):
+    """A snapshot saved twice and another deleted: the listing, and what loading gives back."""
+    store = catalogue.RunStore(spark, run_dir(spark, "snapshots"))
+    nodes, edges = _small_nodes(spark, sf), I.tree_edges(spark, sf)
+    day = lambda d: F.lit(f"2001-01-0{d} 00:00:00+00:00").cast("timestamp")
+    store.save_snapshot("tree", nodes.where("depth < 2"), edges, day(1))
+    store.save_snapshot("folders", nodes.where("depth = 0"), edges.where("false"), day(2))
+    store.save_snapshot("tree", nodes, edges, day(3))
+    store.delete_snapshot("folders", day(4))
+    back_nodes, back_edges = store.load_snapshot("tree")
+    listed = store.snapshots().select(F.lit("listed").alias("part"), F.col("name").alias("id"), F.concat_ws("/", "node_count", "edge_count").alias("other"))
+    return back_nodes.select(F.lit("node").alias("part"), "id", F.col("label").alias("other")).unionByName(
+        back_edges.select(F.lit("edge").alias("part"), F.col("src").alias("id"), F.col("dst").alias("other"))).unionByName(listed)
+
+
 @query(W("run_rows") + "SELECT key, count(*) AS n, max(CASE WHEN CAST(string_split(url, '/')[4] AS INTEGER) IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) THEN 1 ELSE 0 END) = 1 AS is_saved FROM run_rows GROUP BY key")
 def b24_is_saved(spark, sf):
     marks = table(spark, sf, "nation").where("n_regionkey = 1").select(F.concat(F.lit("https://example.org/"), F.col("n_nationkey").cast("string")).alias("url"))

@@ -13,7 +13,7 @@ from graphloom.plans.queries_streams import _arrived
 from graphloom.plans.registry import query, table
 from graphloom.session import run_dir
 from graphloom.sources import documents, files as tree, logs
-from graphloom.streaming import auth as live
+from graphloom.streaming import auth as live, sinks
 
 W = I.with_inputs
 
@@ -42,6 +42,38 @@ def a8_tail_log(spark, sf):
     return _arrived(spark, events, "tail").select(times.epoch(F.col("ts")).alias("ts"), "event_type", "session_id", "detail")
 
 
+def _followed(spark, sf, start):
+    """A folder followed twice, half of the lines being there at the first start and the rest at the restart."""
+    base = run_dir(spark, "followed")
+    lines = I.log_lines(spark, sf)
+    for half in (0, 1):
+        lines.where(F.col("line_no") % 2 == half).select("value").write.text(f"{base}/in/{half}")
+        stream = logs.follow_log(spark, f"{base}/in", start)
+        sinks.drain(sinks.write_batches(stream, f"{base}/out", f"{base}/checkpoint"))
+    return sinks.read_batches(spark, f"{base}/out", stream.schema)
+
+
+@query(W("log_lines") + "SELECT value FROM log_lines")
+def a8_follow_from_begin(spark, sf):
+    return _followed(spark, sf, "begin").select("value")
+
+
+@query(W("log_lines") + "SELECT value FROM log_lines WHERE line_no % 2 = 1")
+def a8_follow_from_end(spark, sf):
+    return _followed(spark, sf, "end").select("value")
+
+
+# Bytes that are no text are an event of their own and spoil no other line.
+@query(W("auth_events") + """SELECT event_type, count(*) AS n FROM auth_events GROUP BY event_type
+    UNION ALL SELECT 'source_error', count(*) FROM log_lines WHERE line_no % 97 = 0""")
+def k1_source_errors(spark, sf):
+    base = run_dir(spark, "damaged")
+    bad = F.when(F.col("line_no") % 97 == 0, F.concat("value", F.unhex(F.lit("20FFFE")).cast("string"))).otherwise(F.col("value"))
+    I.log_lines(spark, sf).select(bad.alias("value")).write.text(f"{base}/in")
+    events = live.stream_source_events(logs.follow_log(spark, f"{base}/in"), 2024)
+    return _arrived(spark, events, "errors").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""SELECT round(epoch(ts) - 7200, 6) AS ts, 'sshd:' || user_id AS session_id FROM events
     WHERE ts - INTERVAL 2 HOUR >= TIMESTAMP '2024-01-12 12:00:00' - INTERVAL 1440 MINUTE""")
 def a9_read_journal_export(spark, sf):
@@ -62,9 +94,23 @@ def a13_compile_arguments(spark, sf):
     return found.select("file", F.array_join(rest, "|").alias("args"))
 
 
-@query(W("code_files") + f"SELECT kind, count(*) AS n FROM (SELECT {_by_language('kind')} AS kind FROM {_lines_sql('code_files', 'ext, name')} WHERE {_CODE_SQL}) WHERE kind IS NOT NULL GROUP BY kind")
+@query(W("code_files") + f"""SELECT path, kind, label, CAST(line AS BIGINT) AS line FROM
+    (SELECT path, line, {_by_language('kind')} AS kind, {_by_language('label')} AS label FROM {_lines_sql('code_files', 'ext, name, path')} WHERE {_CODE_SQL}) WHERE kind IS NOT NULL""")
 def l1_extract_symbols_in_sql(spark, sf):
     """The table function for SQL users, joined laterally to the files."""
-    spark.udtf.register("extract_symbols", extract.extract_symbols_udtf())
+    extract.register_sql_function(spark)
     I.code_files(spark, sf).createOrReplaceTempView("rendered_code_files")
-    return spark.sql("SELECT s.kind, count(*) AS n FROM rendered_code_files f, LATERAL extract_symbols(f.ext, f.raw) s GROUP BY s.kind")
+    return spark.sql("SELECT f.path, s.kind, s.label, CAST(s.line AS BIGINT) AS line FROM rendered_code_files f, LATERAL extract_symbols(f.ext, f.raw) s")
+
+
+@query(W("code_files") + f""", hits AS (SELECT {_by_language('kind')} AS kind FROM {_lines_sql('code_files', 'ext, name')} WHERE {_CODE_SQL})
+    SELECT 'files' AS stage, count(*) AS n FROM code_files UNION ALL SELECT 'symbols', count(*) FROM hits WHERE kind IS NOT NULL""")
+def l4_observed_progress(spark, sf):
+    """How many files were read and symbols found, told by the writing itself: nothing is read twice."""
+    told = {}
+    files = sinks.reported(I.code_files(spark, sf), "files", told.__setitem__)
+    symbols = sinks.reported(extract.extract_symbols(files.table), "symbols", told.__setitem__)
+    symbols.table.select("id", "kind", "label").write.parquet(run_dir(spark, "observed"))
+    for stage in (files, symbols):
+        stage.tell()
+    return spark.createDataFrame(list(told.items()), "stage string, n long")

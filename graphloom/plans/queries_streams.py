@@ -14,8 +14,8 @@ from graphloom.plans.queries_layout import TAU, _rounded, _xy
 from graphloom.plans.registry import query, table
 from graphloom.session import run_dir
 from graphloom.streaming import auth as live
+from graphloom.streaming import dependencies, sessions, sinks
 from graphloom.streaming import graph as live_graph
-from graphloom.streaming import sinks
 
 W = I.with_inputs
 
@@ -70,6 +70,24 @@ def k4_stream_windowed_sessions(spark, sf):
     return found.select("session_id", times.epoch(F.col("start_ts")).alias("start_ts"), times.epoch(F.col("end_ts")).alias("end_ts"), "event_count")
 
 
+# Events up to the watermark, an hour before the last; a session ends with a closing event or ten hours of silence.
+@query(W("auth_events") + """, w AS (SELECT floor(epoch(max(ts)) * 1000) / 1000 - 3600 AS mark FROM auth_events), g AS (
+      SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY ts, seq) AS part FROM
+        (SELECT *, CASE WHEN lag(ts) OVER o IS NULL OR epoch(ts) - epoch(lag(ts) OVER o) >= 36000 OR lag(event_type) OVER o IN ('session_close', 'pam_end') THEN 1 ELSE 0 END AS new
+         FROM auth_events, w WHERE epoch(ts) <= mark WINDOW o AS (PARTITION BY session_id ORDER BY ts, seq)))
+    SELECT session_id, epoch(min(ts)) AS start_ts, epoch(max(ts)) AS end_ts, count(*) AS event_count,
+      CASE WHEN bool_or(event_type = 'access_granted') THEN 'granted' WHEN bool_or(event_type = 'access_denied') THEN 'denied' ELSE 'unknown' END AS result,
+      CASE WHEN bool_or(event_type IN ('session_close', 'pam_end')) THEN 'closing' ELSE 'silence' END AS ended_by FROM g GROUP BY session_id, part
+    HAVING bool_or(event_type IN ('session_close', 'pam_end')) OR epoch(max(ts)) + 36000 <= (SELECT mark FROM w)""")
+def k2_ended_sessions(spark, sf):
+    """Sessions given out by timers and closing events; their state is gone."""
+    base = run_dir(spark, "ended")
+    ended = sessions.ended_sessions(_live_events(spark, sf), 36_000, "1 hour")
+    sinks.drain(sinks.write_stateful(ended, f"{base}/out", f"{base}/checkpoint"))
+    found = sinks.read_batches(spark, f"{base}/out", ended.schema)
+    return found.select("session_id", times.epoch(F.col("start_ts")).alias("start_ts"), times.epoch(F.col("end_ts")).alias("end_ts"), "event_count", "result", "ended_by")
+
+
 @query(W("component_rows") + "SELECT component, arg_max(state, CAST(epoch_us(ts) AS HUGEINT) * 100000000 + seq) AS state FROM component_rows GROUP BY component")
 def k10_component_stream(spark, sf):
     return live.current_components(_arrived(spark, live.stream_components(_live_events(spark, sf)), "components", "update"))
@@ -114,6 +132,22 @@ def k5_stream_graph(spark, sf):
     return nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(W("import_rows", "import_stems") + """, r AS (SELECT DISTINCT i.file_id AS src, s.file_id AS dst, i.module FROM import_rows i LEFT JOIN import_stems s ON s.stem = string_split(module, '.')[-1])
+    SELECT DISTINCT src, CASE WHEN dst IS NULL OR dst = src THEN 'external::' || string_split(module, '.')[1] ELSE dst END AS dst, 'depends_on' AS kind FROM r""")
+def k5_stream_dependencies(spark, sf):
+    """Imports and files arrive mixed, in four parts; the changes of edges add up to those of a batch build."""
+    base = run_dir(spark, "dependencies")
+    known = I.import_files(spark, sf).select(F.lit(None).cast("string").alias("file_id"), "stem", "path", F.lit(None).cast("string").alias("module"))
+    asked = I.import_rows(spark, sf).distinct().select("file_id", *[F.lit(None).cast("string").alias(c) for c in ("stem", "path")], "module")
+    mixed = known.unionByName(asked)
+    mixed.repartition(4, F.coalesce("file_id", "path")).write.parquet(f"{base}/in")
+    rows = spark.readStream.schema(mixed.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    arriving = dependencies.arrivals(rows.where("path IS NOT NULL").select("stem", "path"), rows.where("module IS NOT NULL").select("file_id", "module"))
+    changes = dependencies.edge_changes(arriving)
+    sinks.drain(sinks.write_stateful(changes, f"{base}/out", f"{base}/checkpoint"))
+    return dependencies.current_edges(sinks.read_batches(spark, f"{base}/out", changes.schema)).select("src", "dst", "kind")
+
+
 @query(W(*_GRAPH_CTE) + ", " + _SYMBOLS + """
     SELECT 'file::' || f.path AS file_id, CAST(coalesce(s.n, 0) AS BIGINT) AS symbols FROM (SELECT path FROM code_files UNION ALL SELECT path FROM py_files) f
     LEFT JOIN (SELECT path, sum(n) AS n FROM symbols GROUP BY path) s USING (path)""")

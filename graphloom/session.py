@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "graphloom", memory: str = "12g") -> SparkSession:
@@ -66,6 +66,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_and_observe(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """`cut_lineage` and metrics of its rows, taken while they are written: no second pass."""
+    seen = Observation()
+    out = cut_lineage(df.observe(seen, *[m.alias(name) for name, m in metrics.items()]))
+    return out, seen.get
+
+
 def run_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared one, for stream checkpoints and written tables."""
     return f"{shared_dir(spark).rstrip('/')}/graphloom/{purpose}-{uuid.uuid4().hex}"

@@ -7,8 +7,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import feed
+from graphloom.operators import feed, pieces
 from graphloom.schemas import COMPILE_COMMANDS, LEXICON
+from graphloom.sources import logs
 
 LEXICONS = str(Path(__file__).resolve().parent.parent / "fixed" / "lexicons")
 
@@ -42,3 +43,9 @@ def compile_arguments(entries: DataFrame) -> DataFrame:
 def write_graph_json(nodes: DataFrame, edges: DataFrame, path: str, shape: str = "gjgf", name: str = "graph", kind: str = "ast") -> None:
     """Write a graph document; the text parts, read in name order, are the JSON."""
     feed.graph_document(nodes, edges, shape, name, kind).select("text").write.mode("overwrite").text(path)
+
+
+def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of one graph document of any size: the lines of its text parts in name order."""
+    rows = logs.numbered(logs.placed_text(spark, path), per_file=False, name="seq")
+    return pieces.read_pieces(rows.select("seq", F.col("value").alias("text")))

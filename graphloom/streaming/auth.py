@@ -14,6 +14,11 @@ def stream_auth_events(lines: DataFrame, year: int, zone: str = "UTC") -> DataFr
     return auth.parse_auth_lines(lines, year, zone)
 
 
+def stream_source_events(lines: DataFrame, year: int, zone: str = "UTC") -> DataFrame:
+    """Events, and errors of the source as events of their own, out of one reading of a `follow_log` stream."""
+    return auth.events_and_errors(lines, year, zone)
+
+
 def stream_rejects(lines: DataFrame) -> DataFrame:
     """Lines the event stream drops; run as a second query with its own sink."""
     return auth.rejected_lines(lines)

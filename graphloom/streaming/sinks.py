@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
@@ -20,6 +20,22 @@ def write_batches(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def write_stateful(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", available_now: bool = True) -> StreamingQuery:
+    """`write_batches` for streams with state of their own, which lives in RocksDB: on disk and in the checkpoint, not on the heap."""
+    conf = stream.sparkSession.conf
+    before = conf.get(_PROVIDER, None)
+    conf.set(_PROVIDER, _ROCKS)
+    try:
+        # A running query keeps the settings it started with.
+        return write_batches(stream, out, checkpoint, mode, available_now)
+    finally:
+        conf.unset(_PROVIDER) if before is None else conf.set(_PROVIDER, before)
+
+
 def drain(query: StreamingQuery) -> None:
     """Wait for an availableNow query and surface its error."""
     query.awaitTermination()
@@ -47,3 +63,20 @@ def on_progress(spark: SparkSession, callback: Callable[[str, int, int], None])
     listener = Report()
     spark.streams.addListener(listener)
     return listener
+
+
+class Reported:
+    """A table whose rows are counted while something else reads it."""
+
+    def __init__(self, df: DataFrame, stage: str, callback: Callable[[str, int], None]) -> None:
+        self._seen, self._stage, self._callback = Observation(), stage, callback
+        self.table = df.observe(self._seen, F.count(F.lit(1)).alias("n"))
+
+    def tell(self) -> None:
+        """Call back with (stage, rows) of the first run that read the table; waits for it."""
+        self._callback(self._stage, self._seen.get["n"])
+
+
+def reported(df: DataFrame, stage: str, callback: Callable[[str, int], None]) -> Reported:
+    """Progress of a batch stage without a second pass: use `.table` in its place, and `.tell()` after the run."""
+    return Reported(df, stage, callback)

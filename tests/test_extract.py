@@ -106,10 +106,14 @@ def test_register_language_last_wins(files):
 
 
 def test_table_function_agrees_with_columns(spark, files):
-    tree = {"a.go": "func F(a int) {\n\n// x\ntype S struct {", "b.rb": "class C\n  def d\n", "c.txt": "class No"}
-    spark.udtf.register("extract_symbols", extract.extract_symbols_udtf())
-    files(tree).createOrReplaceTempView("udtf_files")
+    tree = {"a.go": "func F(a int) {\n\n// x\ntype S struct {", "b.rb": "class C\n  def d\n", "c.txt": "class No", "d.rs": "\u00a0fn ünï(\u2028enum E\x0bstruct S\r\n",
+            "e.html": "<a id=\"it's\">\r<x-y-z>\n\n", "f.sql": "create table t_1 (\n--create view v\n\u0001create view w\ncreate view x", "g.SH": "f() {\nfunction g {", "h.go": None}
+    extract.register_sql_function(spark)
+    files({k: v or "" for k, v in tree.items()}).createOrReplaceTempView("udtf_files")
+    tree = {k: v or "" for k, v in tree.items()}
     by_sql = spark.sql("SELECT f.path, s.kind, s.label, s.line FROM udtf_files f, LATERAL extract_symbols(f.ext, f.raw) s")
+    plan = by_sql._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "UDTF" not in plan and by_sql.count() >= 10
     by_columns = extract.extract_symbols(files(tree)).select(F.substring("file_id", 7, 99).alias("path"), "kind", "label", "line")
     assert sorted(by_sql.collect()) == sorted(by_columns.collect())
 
