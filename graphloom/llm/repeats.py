@@ -8,8 +8,8 @@ A window is WINDOW consecutive words; every word of a window that starts anywher
 2. Recurring passages are confirmed: windows with a recurring anchor are hashed whole (64 bits) and
    counted over all documents; those met twice are the recurring ones.
 3. Documents are dealt to shards of about SHARD_BYTES. Each shard compiles an Aho-Corasick automaton
-   of the recurring phrases its documents hold, every word being one character, and streams all its
-   documents through it; around each phrase found the windows are looked up among the confirmed.
+   of the recurring phrases its documents hold, every word being a few small characters, and streams
+   all its documents through it; around each phrase found the windows are looked up among the confirmed.
 Counts are added up before any shuffle, so a passage in a third of all documents is one row a shard.
 """
 
@@ -26,6 +26,7 @@ from graphloom.llm.common import BASES, BYTE_CODE, release, runs, shingles, stor
 
 WINDOW = 35  # words
 PHRASE = 8  # words of a phrase
+LETTERS = 3  # characters a word is written with for the automata
 SHARD_BYTES = 8_000_000
 
 
@@ -62,9 +63,15 @@ class Words:
         edge = np.zeros(span - 1, np.uint64)
         return grams, _sliding(np.concatenate([edge, least, edge]), span, np.maximum) == grams, least
 
-    def characters(self) -> np.ndarray:
-        """A character for each word: 20 bits of its hash above U+10000, as code points."""
-        return ((self.hashes >> np.uint64(44)) + np.uint64(0x10000)).astype("<u4")
+    def characters(self) -> str:
+        """LETTERS characters for each word, 7 bits of its hash each.
+
+        The first has a range of its own, so a phrase is only found where a word starts. An automaton
+        looks through a node's children one by one; no node has more than 128 of them.
+        """
+        parts = [(self.hashes >> np.uint64(64 - 7 * (i + 1))) & np.uint64(127) for i in range(LETTERS)]
+        parts[0] = parts[0] + np.uint64(128)
+        return (np.stack(parts, axis=1) + np.uint64(1)).astype("<u2").tobytes().decode("utf-16-le")
 
 
 def _counted(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +112,7 @@ def _candidates(window: int, phrase: int):
                     letters = words.characters()
                     for i, h in zip(at.tolist(), grams[at].tolist(), strict=True):
                         if h not in phrases:
-                            phrases[h] = letters[i : i + phrase].tobytes().decode("utf-32-le")
+                            phrases[h] = letters[LETTERS * i : LETTERS * (i + phrase)]
         w, n = _counted(found)
         texts = sorted(set(phrases.values()))
         return pd.DataFrame({
@@ -129,7 +136,7 @@ def covered(words: Words, automaton, confirmed: np.ndarray) -> np.ndarray:
     out = np.zeros(words.n, bool)
     if automaton is None or words.n < words.window:
         return out
-    ends = np.fromiter((end for end, _ in automaton.iter(words.characters().tobytes().decode("utf-32-le"))), np.int64)
+    ends = np.fromiter((end for end, _ in automaton.iter(words.characters())), np.int64) // LETTERS
     if not len(ends):
         return out
     first, last = ends - words.window + 1, ends - words.phrase + 1
@@ -193,7 +200,7 @@ def remove(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_by
     kind = docs.schema["doc_id"].dataType.simpleString()
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     n_shards = max(1, -(-size // shard_bytes))
-    own = docs.select(F.col("doc_id").alias("row"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int").alias("shard"))
+    own = docs.select(F.col("doc_id").alias("row"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_shards)).cast("int").alias("shard"))
     anchors = stored(own.select("shard", "text").mapInPandas(_anchors(window, phrase), "shard int, h long, n int"), "anchors")
     recurring = anchors.groupBy("h").agg(F.sum("n").alias("_n")).filter("_n > 1").select(F.col("h").alias("_h"))
     there = stored(anchors.join(recurring, F.col("h") == F.col("_h"), "left_semi").select("shard", "h").distinct(), "recurring")
