@@ -77,6 +77,12 @@ def register_language(name: str, extensions: list[str], rules_or_function) -> No
         REGISTRY.register(Language(name, extensions, rules=list(rules_or_function)))
 
 
+def unregister_language(name: str) -> None:
+    """Forget a language and its extensions; an extension it took over from another is unknown afterwards."""
+    for extension in REGISTRY._languages.pop(name).extensions:
+        REGISTRY._by_extension.pop(extension, None)
+
+
 def explode_lines(files: DataFrame) -> DataFrame:
     """One row per line with its 1-based number and stripped text; other columns but `raw` stay."""
     rest = [c for c in files.columns if c != "raw"]

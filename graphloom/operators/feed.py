@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,24 +34,30 @@ def decode_events(frames: DataFrame) -> DataFrame:
 
 
 def event_feed(nodes: DataFrame, edges: DataFrame, layout: str) -> DataFrame:
-    """meta, nodes by (depth, id), edges, done, numbered from 1; the counts stand in meta."""
-    node_rows = nodes.select(F.lit(1).alias("rank"), F.coalesce("depth", F.lit(9)).alias("a"), F.col("id").alias("b"), F.lit("").alias("c"),
-                             F.lit("node").alias("event"), F.to_json(F.struct(*nodes.columns)).alias("payload"))
+    """meta, nodes by (depth, id), edges, done, numbered from 1; the counts stand in meta.
+
+    Rows are numbered as columns and written as JSON afterwards, so no text rides through the order.
+    """
     out = [F.col("src").alias("source"), F.col("dst").alias("target")]
     out += [F.col(c) for c in edges.columns if c not in ("src", "dst")]
-    edge_rows = edges.select(F.lit(2).alias("rank"), F.lit(0).alias("a"), F.col("src").alias("b"),
-                             F.concat_ws("\u0001", "dst", *[c for c in ("kind",) if c in edges.columns]).alias("c"),
-                             F.lit("edge").alias("event"), F.to_json(F.struct(*out)).alias("payload"))
+    whole = {"node": F.struct(*nodes.columns), "edge": F.struct(*out)}
     counts = nodes.agg(F.count(F.lit(1)).alias("nodeCount")).withColumn("edgeCount", edges.agg(F.count(F.lit(1))).scalar()).withColumn(
         "layout", F.lit(layout))
-    def one(rank: int, event: str, payload: Column) -> list[Column]:
-        return [F.lit(rank).alias("rank"), F.lit(0).alias("a"), F.lit("").alias("b"), F.lit("").alias("c"),
-                F.lit(event).alias("event"), payload.alias("payload")]
-
-    meta = counts.select(*one(0, "meta", F.to_json(F.struct("nodeCount", "edgeCount", "layout"))))
-    done = counts.select(*one(3, "done", F.lit("{}")))
-    stacked = meta.unionByName(node_rows).unionByName(edge_rows).unionByName(done)
-    return ranked(stacked, [], ["rank", "a", "b", "c"], rn="seq").select("seq", "event", "payload")
+
+    def rows(df: DataFrame, rank: int, event: str, payload: Column, a: Column, b: Column, c: Column) -> DataFrame:
+        return df.select(F.lit(rank).alias("rank"), a.alias("a"), b.alias("b"), c.alias("c"), F.lit(event).alias("event"), payload.alias(event))
+
+    none, zero = F.lit(""), F.lit(0)
+    edge_key = F.concat_ws("\u0001", "dst", *[c for c in ("kind",) if c in edges.columns])
+    parts = [
+        rows(counts, 0, "meta", F.struct("nodeCount", "edgeCount", "layout"), zero, none, none),
+        rows(nodes, 1, "node", whole["node"], F.coalesce("depth", F.lit(9)), F.col("id"), none),
+        rows(edges, 2, "edge", whole["edge"], zero, F.col("src"), edge_key),
+        rows(counts, 3, "done", F.lit("{}"), zero, none, none),
+    ]
+    stacked = functools.reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    payload = F.coalesce("done", *[F.to_json(c) for c in ("meta", "node", "edge")])
+    return ranked(stacked, [], ["rank", "a", "b", "c"], rn="seq").select("seq", "event", payload.alias("payload"))
 
 
 def fold_feed(frames: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from graphloom.functions import numbers, paths, text
 from graphloom.operators import filters
 from graphloom.operators.ranking import last_wins
 from graphloom.operators.skew import own_shuffle
+from graphloom.session import cut_lineage
 
 
 def _literal_map(table: dict) -> Column:
@@ -100,19 +101,25 @@ def _resolved(imports: DataFrame, stems: DataFrame) -> DataFrame:
 
 def resolve_imports(imports: DataFrame, stems: DataFrame) -> DataFrame:
     """file -> file `depends_on` edges, one per pair."""
-    hit = _resolved(imports, stems).where(F.col("target") != F.col("file_id"))
+    return _internal(_resolved(imports, stems))
+
+
+def _internal(resolved: DataFrame) -> DataFrame:
+    hit = resolved.where(F.col("target") != F.col("file_id"))
     return hit.select(*edge(F.col("file_id"), F.col("target"), "depends_on")).dropDuplicates(["src", "dst"])
 
 
 def external_refs(imports: DataFrame, stems: DataFrame) -> DataFrame:
     """(file, top-level package) of imports that name no other known file."""
-    miss = _resolved(imports, stems).where(F.col("target").isNull() | (F.col("target") == F.col("file_id")))
+    return _outside(_resolved(imports, stems))
+
+
+def _outside(resolved: DataFrame) -> DataFrame:
+    miss = resolved.where(F.col("target").isNull() | (F.col("target") == F.col("file_id")))
     return miss.select("file_id", F.substring_index("module", ".", 1).alias("top_level")).distinct()
 
 
-def external_modules(imports: DataFrame, stems: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and `depends_on` edges of packages outside the tree."""
-    refs = external_refs(imports, stems)
+def _external(refs: DataFrame) -> tuple[DataFrame, DataFrame]:
     id_ = F.concat(F.lit("external::"), F.col("top_level"))
     nodes = refs.select("top_level").distinct().select(
         *_node(id_, 1, F.lit("external"), F.lit("external_module"), F.col("top_level"), F.lit(""),
@@ -120,6 +127,18 @@ def external_modules(imports: DataFrame, stems: DataFrame) -> tuple[DataFrame, D
     return nodes, refs.select(*edge(F.col("file_id"), id_, "depends_on"))
 
 
+def external_modules(imports: DataFrame, stems: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and `depends_on` edges of packages outside the tree."""
+    return _external(external_refs(imports, stems))
+
+
+def dependencies(imports: DataFrame, stems: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes of outside packages, and all `depends_on` edges, to files and to packages: imports meet the files once."""
+    resolved = cut_lineage(_resolved(imports, stems))
+    nodes, edges = _external(_outside(resolved))
+    return nodes, union_edges(_internal(resolved), edges)
+
+
 # ---- declared C symbols -------------------------------------------------------------------
 
 C_DEPTH_3 = ["field", "enum_constant"]

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import graph, traverse
 from graphloom.operators.ranking import dense_codes, ranked
-from graphloom.session import cut_lineage
+from graphloom.operators.skew import own_shuffle
+from graphloom.session import cut_and_observe, cut_lineage
 
 # Spread of the final coordinates by layout name; 100 for all others.
 SPREAD = {"spectral": 500.0, "kamada_kawai": 500.0}
@@ -113,19 +114,22 @@ def compound_parents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def compound(nodes: DataFrame, edges: DataFrame, parents: DataFrame | None = None) -> DataFrame:
     """Four tiers: directories on an ellipse, files on orbits, symbols and sub-symbols on source-ordered arcs."""
     tiers = nodes.select("id", F.least(F.coalesce("depth", F.lit(1)), F.lit(3)).alias("tier"), F.coalesce("line", F.lit(0)).alias("line"))
-    parents = cut_lineage(compound_parents(nodes, edges) if parents is None else parents)
-    placed = cut_lineage(tiers.join(parents, "id", "left"))
-    dirs = placed.where("tier = 0").select("id")
-    n_dirs = dirs.count()
+    parents = compound_parents(nodes, edges) if parents is None else parents
+    above = own_shuffle(tiers.select(F.col("id").alias("parent"), (F.col("tier") + 1).alias("__tier")))
+    met = tiers.join(parents, "id", "left").join(above, "parent", "left").withColumn(
+        "parent", F.when(F.col("tier") == F.col("__tier"), F.col("parent")))
+    # Children of one parent, the directories, and what a tier has without parent are numbered at once.
+    has_parent = F.col("parent").isNotNull()
+    numbered = ranked(
+        met.select("id", "tier", "parent", F.coalesce("parent", F.lit("")).alias("group"), F.when(has_parent & (F.col("tier") >= 2), F.col("line")).otherwise(0).alias("at")),
+        ["tier", "group"], ["at", "id"], rn="rn", n="n")
+    placed, seen = cut_and_observe(numbered.select("id", "tier", "parent", "rn", "n"), dirs=F.count_if(F.col("tier") == 0))
+    n_dirs = seen["dirs"]
     if n_dirs == 0:
         return circular(nodes)
+    dirs = placed.where("tier = 0")
+    files, symbols, subs = (placed.where((F.col("tier") == t) & has_parent) for t in (1, 2, 3))
 
-    def children(tier: int, order: list[str]) -> DataFrame:
-        known = placed.where(F.col("tier") == tier).join(
-            placed.where(F.col("tier") == tier - 1).select(F.col("id").alias("parent")), "parent", "left_semi")
-        return ranked(known, ["parent"], order, rn="rn", n="n")
-
-    files, symbols, subs = children(1, ["id"]), children(2, ["line", "id"]), children(3, ["line", "id"])
     per_file = symbols.groupBy(F.col("parent").alias("id")).agg(F.max("n").alias("syms"))
     widest = files.select("id", "parent", "n").join(per_file, "id", "left").groupBy("parent").agg(
         F.max(symbol_orbit(F.coalesce("syms", F.lit(0)))).alias("widest"), F.max("n").alias("files"))
@@ -133,28 +137,27 @@ def compound(nodes: DataFrame, edges: DataFrame, parents: DataFrame | None = Non
                        F.greatest(F.coalesce(F.max("widest"), F.lit(0.45)), F.lit(0.45)).alias("max_sym")).first()
 
     spread = math.sqrt(n_dirs) * (reach["max_file"] + reach["max_sym"]) * 1.6 if n_dirs > 1 else 0.0
-    dir_pos = circular(dirs).select("id", (F.col("x") * spread * 1.6).alias("x"), (F.col("y") * spread * 0.7).alias("y"))
+    around_all = F.lit(TAU) * (F.col("rn") - 1) / F.col("n")
+    dir_pos = dirs.select("id", (F.cos(around_all) * spread * 1.6).alias("x"), (F.sin(around_all) * spread * 0.7).alias("y"))
 
     def around(kids: DataFrame, centres: DataFrame, radius: Column, angle: Column) -> DataFrame:
         at = centres.select(F.col("id").alias("parent"), F.col("x").alias("cx"), F.col("y").alias("cy"))
         return kids.join(at, "parent").select(
             "id", (F.col("cx") + radius * F.cos(angle)).alias("x"), (F.col("cy") + radius * F.sin(angle)).alias("y"))
 
-    def ring(orphans: DataFrame, radius: Column) -> DataFrame:
-        angle = F.lit(TAU) * F.col("i") / F.col("n")
-        return _numbered(orphans.select("id")).select("id", (radius * F.cos(angle)).alias("x"), (radius * F.sin(angle)).alias("y"))
-
-    def orphans(tier: int, kids: DataFrame) -> DataFrame:
-        return placed.where(F.col("tier") == tier).join(kids.select("id"), "id", "left_anti")
+    def ring(tier: int, radius: Column) -> DataFrame:
+        """What a tier has without parent, on a circle."""
+        return placed.where((F.col("tier") == tier) & ~has_parent).select(
+            "id", (radius * F.cos(around_all)).alias("x"), (radius * F.sin(around_all)).alias("y"))
 
     file_pos = around(files.join(widest.select("parent", "widest"), "parent"), dir_pos,
                       file_orbit(F.col("n"), F.col("widest")), orbit_angle(F.col("rn"), F.col("n")))
-    file_pos = cut_lineage(file_pos.unionByName(ring(orphans(1, files), F.lit(reach["max_file"] * 0.5))))
+    file_pos = cut_lineage(file_pos.unionByName(ring(1, F.lit(reach["max_file"] * 0.5))))
     arc = arc_angle(F.col("rn"), F.col("n"))
     sym_pos = around(symbols, file_pos, symbol_orbit(F.col("n")), arc)
-    sym_pos = cut_lineage(sym_pos.unionByName(ring(orphans(2, symbols), F.lit(reach["max_sym"] * 0.5))))
+    sym_pos = cut_lineage(sym_pos.unionByName(ring(2, F.lit(reach["max_sym"] * 0.5))))
     sub_pos = around(subs, sym_pos, sub_orbit(F.col("n")), arc).unionByName(
-        ring(orphans(3, subs), sub_orbit(F.col("n")) * 0.5))
+        ring(3, sub_orbit(F.col("n")) * 0.5))
     return dir_pos.unionByName(file_pos).unionByName(sym_pos).unionByName(sub_pos)
 
 

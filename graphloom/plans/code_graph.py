@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from graphloom.operators import extract, filters, graph, pyast
 from graphloom.session import cut_lineage
 from graphloom.sources import files as tree
-from graphloom.streaming.graph import whole_graph
+from graphloom.streaming.graph import CTables, whole_graph
 
 
-def build_graph(files: DataFrame, root_name: str, depth: int = 2, extensions: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges): directories at depth 0, files at 1, symbols and dependencies at 2, parts of functions (calls, arguments, names) at 3.
+def build_graph(files: DataFrame, root_name: str, depth: int = 2, extensions: list[str] | None = None,
+                c: CTables | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): directories at depth 0, files at 1, symbols and dependencies at 2, parts of functions (calls, arguments, names) and members at 3.
 
+    `c` holds what a C front end says of the tree; its symbols are resolved over all files at once.
     Branches beyond `depth` are simply not planned, so a directory graph never reads text.
     """
     folders = tree.folders_of(files, root_name)
@@ -25,7 +27,7 @@ def build_graph(files: DataFrame, root_name: str, depth: int = 2, extensions: li
     # One parse and one extraction feed nodes, edges and imports; both are far smaller than the text.
     parsed = cut_lineage(pyast.parse_python(kept, depth))
     symbols = cut_lineage(extract.extract_symbols(kept).drop("meta"))
-    return whole_graph(kept.drop("raw"), symbols, parsed, root_name, depth, folders)
+    return whole_graph(kept.drop("raw"), symbols, parsed, root_name, depth, folders, c)
 
 
 def graph_of_folder(spark: SparkSession, path: str, mode: str = "ast", depth: int = 2, **scan) -> tuple[DataFrame, DataFrame]:

@@ -289,7 +289,7 @@ CTE["import_rows"] = ([], """
     FROM lineitem JOIN part ON l_partkey = p_partkey""")
 CTE["import_stems"] = ([], """
     SELECT lower(replace(p_brand, '#', '_')) AS stem, 'file::brands/' || max(lpad(CAST(p_partkey AS VARCHAR), 12, '0')) AS file_id
-    FROM part WHERE p_size > 25 GROUP BY 1""")
+    FROM part GROUP BY 1""")
 
 
 def import_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -302,7 +302,7 @@ def import_rows(spark: SparkSession, sf: str) -> DataFrame:
 def import_files(spark: SparkSession, sf: str) -> DataFrame:
     """Brand files; several share a stem, the greatest key comes last and wins."""
     key = F.lpad(F.col("p_partkey").cast("string"), 12, "0")
-    return table(spark, sf, "part").where("p_size > 25").select(
+    return table(spark, sf, "part").select(
         F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))).alias("stem"), F.concat(F.lit("brands/"), key).alias("path"), key.alias("seq"))
 
 
@@ -342,6 +342,24 @@ def c_decls(spark: SparkSession, sf: str) -> DataFrame:
     return owners.unionByName(members)
 
 
+def full_c_decls(spark: SparkSession, sf: str) -> DataFrame:
+    """`c_decls` with the columns that only some front ends fill."""
+    return c_decls(spark, sf).withColumns({
+        "qualifiers": F.array().cast("array<string>"), "member_count": F.lit(None).cast("int"), "param_count": F.lit(None).cast("int"),
+        "is_definition": F.lit(None).cast("boolean")})
+
+
+def c_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources by nation, headers by part size, some sizes with a source or a header for one platform of the same stem."""
+    size = table(spark, sf, "part").select("p_size").distinct()
+    key = F.col("p_size").cast("string")
+    paths = table(spark, sf, "nation").select(F.concat(F.lit("c/s"), F.col("n_nationkey").cast("string"), F.lit(".c")).alias("path")).unionByName(
+        size.select(F.concat(F.lit("h/p"), key, F.lit(".h")).alias("path"))).unionByName(
+        size.where("p_size % 3 > 0").select(F.concat(F.lit("a/p"), key, F.lit(".c")).alias("path"))).unionByName(
+        size.where("p_size % 2 = 0").select(F.concat(F.lit("os/winnt/p"), key, F.lit(".h")).alias("path")))
+    return tree.files_from_paths(paths.select(F.lit("tree").alias("repo"), "path", F.lit("").alias("url"), F.lit(0).cast("long").alias("size"), F.lit("").alias("raw")))
+
+
 CTE["diagnostics"] = ([], """
     SELECT doc_id, source AS file, CASE WHEN toxic = 1 THEN 'fatal: x.h File Not Found' WHEN quality = 0 THEN 'Unknown type name u8' ELSE 'expected ;' END AS message
     FROM labels JOIN documents USING (doc_id)""")

@@ -238,10 +238,12 @@ def c1_symbols_html(spark, sf):
 
 
 # Rules met line by line: several may match, the first counts.
-@query(W("code_files") + f"SELECT kind, count(*) AS n FROM (SELECT {_match_sql(L.SYMBOL_RULES['go'][1], 'kind')} AS kind FROM {_lines_sql('code_files', 'ext, name')}"
-       + f" WHERE ext = '.go' AND {_CODE_SQL}) WHERE kind IS NOT NULL GROUP BY kind")
+@query(W("code_files") + f"SELECT ext, kind, count(*) AS n FROM (SELECT ext, {_by_language('kind')} AS kind FROM {_lines_sql('code_files', 'ext, name')}"
+       + f" WHERE {_CODE_SQL}) WHERE kind IS NOT NULL GROUP BY ext, kind")
 def f1_first_rule_wins(spark, sf):
-    return stats.kind_counts(extract.extract_symbols(I.code_files(spark, sf).where("ext = '.go'")))
+    symbols = extract.extract_symbols(I.code_files(spark, sf))
+    ext = paths.suffix(paths.base_name(F.split("id", "::")[1]))
+    return symbols.groupBy(ext.alias("ext"), "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(W("py_files") + """, found AS (

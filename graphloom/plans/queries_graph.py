@@ -84,10 +84,10 @@ def b21_in_target(spark, sf):
     return filters.in_target(I.c_decls(spark, sf), stems).select("id")
 
 
-@query(W("tree_edges", "tree_nodes") + f"SELECT id FROM tree_nodes WHERE depth = 3 AND id NOT IN (SELECT dst FROM tree_edges WHERE src IN ({MID}))")
+@query(W("tree_edges", "tree_nodes") + f"SELECT id FROM tree_nodes WHERE id NOT IN (SELECT dst FROM tree_edges WHERE src IN ({MID}))")
 def g2_except(spark, sf):
     gone = I.tree_edges(spark, sf).join(_selection(spark, sf).withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"))
-    return filters.except_ids(I.tree_nodes(spark, sf).where("depth = 3").select("id"), gone)
+    return filters.except_ids(I.tree_nodes(spark, sf).select("id"), gone)
 
 
 # ---- building -----------------------------------------------------------------------------
@@ -250,6 +250,28 @@ def d19_attach_by_label(spark, sf):
     return graph.attach_by_label(nodes.where("depth >= 2"), nodes.where("depth = 1")).select("id", "parent")
 
 
+# All branches: by the stem of a path, by the attribute itself, and members to the first symbol of their file (those without a stem stay out).
+@query("""
+    WITH f AS (SELECT n_name AS label, 'file::' || n_name AS id FROM nation UNION ALL SELECT 'R.' || n_nationkey || '.c', 'file::R' || n_nationkey FROM nation),
+    s AS (SELECT 'sym::' || c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'file::' || n_name WHEN 1 THEN 'file::' || n_name ELSE 'file::R' || n_nationkey END AS parent
+      FROM customer JOIN nation ON n_nationkey = c_nationkey)
+    SELECT id, parent FROM s UNION ALL SELECT 'sub::' || o_orderkey, (SELECT min(id) FROM s WHERE s.parent = 'file::' || n_name)
+    FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey % 2 = 0 AND EXISTS (SELECT 1 FROM s WHERE s.parent = 'file::' || n_name)""")
+def d19_attach_by_any_label(spark, sf):
+    nation = table(spark, sf, "nation")
+    plain, dotted = F.col("n_name"), F.concat(F.lit("R."), F.col("n_nationkey").cast("string"), F.lit(".c"))
+    files = nation.select(F.concat(F.lit("file::"), plain).alias("id"), plain.alias("label")).unionByName(
+        nation.select(F.concat(F.lit("file::R"), F.col("n_nationkey").cast("string")).alias("id"), dotted.alias("label")))
+    people = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey")).join(nation.select("n_nationkey", "n_name"), "n_nationkey")
+    third = F.col("c_custkey") % 3
+    symbols = people.select(F.concat(F.lit("sym::"), F.col("c_custkey").cast("string")).alias("id"), F.lit(2).alias("depth"),
+                            F.when(third == 0, F.concat(F.lit("src/"), plain, F.lit(".c"))).when(third == 1, plain).otherwise(dotted).alias("file"))
+    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(people, "c_custkey")
+    members = orders.select(F.concat(F.lit("sub::"), F.col("o_orderkey").cast("string")).alias("id"), F.lit(3).alias("depth"),
+                            F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("lib/"), plain, F.lit(".h"))).otherwise(dotted).alias("file"))
+    return graph.attach_by_label(symbols.unionByName(members), files).select("id", "parent")
+
+
 # Each order contains its lines: depth 4, climbing two steps to the customer.
 @query("""
     SELECT 'line::' || l_orderkey || '.' || l_linenumber || '.' || l_partkey AS id, min('sym::' || o_custkey) AS parent FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1
@@ -447,10 +469,10 @@ def h7_roots(spark, sf):
     return traverse.roots(I.tree_nodes(spark, sf), I.tree_edges(spark, sf))
 
 
-# Without the directory tier every nation is a component of its own, named by its file node.
-@query(W("tree_nodes") + """
-    SELECT id, 'dir::' || label AS component FROM tree_nodes WHERE depth = 0 UNION ALL SELECT id, id FROM tree_nodes WHERE depth = 1
-    UNION ALL SELECT id, 'file::' || file FROM tree_nodes WHERE depth = 2 UNION ALL SELECT 'sub::' || o_orderkey, 'file::NATION_' || c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey""")
+# Every region is a component, named by its directory, the least of its ids.
+@query(W("tree_nodes") + """, r AS (SELECT n_nationkey, 'dir::' || r_name AS component, n_name FROM nation JOIN region ON r_regionkey = n_regionkey)
+    SELECT id, id AS component FROM tree_nodes WHERE depth = 0 UNION ALL SELECT 'file::' || n_name, component FROM r
+    UNION ALL SELECT 'sym::' || c_custkey, component FROM customer JOIN r ON n_nationkey = c_nationkey
+    UNION ALL SELECT 'sub::' || o_orderkey, component FROM orders JOIN customer ON o_custkey = c_custkey JOIN r ON n_nationkey = c_nationkey""")
 def h7_components(spark, sf):
-    edges = I.tree_edges(spark, sf).where(~F.col("src").startswith("dir::"))
-    return traverse.components(I.tree_nodes(spark, sf), edges)
+    return traverse.components(I.tree_nodes(spark, sf), I.tree_edges(spark, sf))

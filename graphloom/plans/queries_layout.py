@@ -232,10 +232,10 @@ def i7_scaled_layout_by_name(spark, sf):
 @query(W("tree_nodes") + f"""
     SELECT s.id, {_xy("coalesce(f.label * 10, 0) + 25 * cos(a)", "coalesce(f.label * 20, 0) + 25 * sin(a)")} FROM
       (SELECT id, file, {TAU} * (row_number() OVER (PARTITION BY file ORDER BY id) - 1) / count(*) OVER (PARTITION BY file) AS a FROM tree_nodes WHERE depth = 2) s
-    LEFT JOIN (SELECT n_name AS file, n_nationkey AS label FROM nation WHERE n_regionkey < 3) f USING (file)""")
+    LEFT JOIN (SELECT n_name AS file, n_nationkey AS label FROM nation) f USING (file)""")
 def i8_place_near_file(spark, sf):
     symbols = I.tree_nodes(spark, sf).where("depth = 2").select("id", "depth", F.col("file").alias("file_id"))
-    files = table(spark, sf, "nation").where("n_regionkey < 3").select(
+    files = table(spark, sf, "nation").select(
         F.col("n_name").alias("id"), (F.col("n_nationkey") * F.lit(10.0)).alias("x"), (F.col("n_nationkey") * F.lit(20.0)).alias("y"))
     return _rounded(layout.place_near_file(symbols, files))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import times
 from graphloom.operators import extract
+from graphloom.operators.skew import own_shuffle
 from graphloom.plans import inputs as I
 from graphloom.plans.queries_auth import journal_lines
 from graphloom.plans.queries_files import _CODE_SQL, _by_language, _lines_sql
@@ -114,3 +115,25 @@ def l4_observed_progress(spark, sf):
     for stage in (files, symbols):
         stage.tell()
     return spark.createDataFrame(list(told.items()), "stage string, n long")
+
+
+# A language whose symbols cannot be told from one file: each file's first word with the number of files that begin with it.
+@query("""SELECT 'file::d/' || doc_id || '.toy' AS file_id, 'word' AS kind, w || ':' || count(*) OVER (PARTITION BY w) AS label
+    FROM (SELECT doc_id, split_part(coalesce(text, ''), ' ', 1) AS w FROM documents)""")
+def l2_whole_tree_language(spark, sf):
+    def nodes(files):
+        word = files.select("path", F.substring_index("raw", " ", 1).alias("word"))
+        met = word.join(own_shuffle(word.groupBy("word").agg(F.count(F.lit(1)).alias("n"))), "word")
+        label = F.concat_ws(":", "word", F.col("n").cast("string"))
+        return met.select(F.concat_ws("::", F.lit("toy"), "path").alias("id"), F.lit("word").alias("kind"), label.alias("label"), F.lit(1).alias("line"),
+                          F.concat(F.lit("file::"), F.col("path")).alias("file_id"))
+
+    path = F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".toy"))
+    raw = F.coalesce("text", F.lit(""))
+    files = tree.files_from_paths(table(spark, sf, "documents").select(
+        F.lit("docs").alias("repo"), path.alias("path"), F.lit("").alias("url"), F.length(raw).cast("long").alias("size"), raw.alias("raw")))
+    extract.register_language("toy", [".toy"], nodes)
+    try:
+        return extract.extract_symbols(files).select("file_id", "kind", "label")
+    finally:
+        extract.unregister_language("toy")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.fixed import languages as L
 from graphloom.functions import times
 from graphloom.operators import auth
 from graphloom.plans import inputs as I
@@ -16,6 +17,7 @@ from graphloom.session import run_dir
 from graphloom.streaming import auth as live
 from graphloom.streaming import dependencies, sessions, sinks
 from graphloom.streaming import graph as live_graph
+from graphloom.streaming.graph import CTables
 
 W = I.with_inputs
 
@@ -115,6 +117,68 @@ def p_build_graph(spark, sf):
     return nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _graph_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return nodes.select(F.lit("node").alias("part"), "id", F.col("label").alias("other"), "kind").unionByName(
+        edges.select(F.lit("edge").alias("part"), F.col("src").alias("id"), F.col("dst").alias("other"), "kind"))
+
+
+# Row by row: the template's symbols by hand, everything else from the paths and lines.
+_GRAPH_ROWS = f"""hits AS (SELECT path, ext, kind, label, CASE ext {" ".join(f"WHEN '{e}' THEN '{lang}'" for lang, (exts, _) in L.SYMBOL_RULES.items() for e in exts)} END
+        || '::' || path || '::' || kind || '::' || label || '::' || line AS id
+      FROM (SELECT *, {_by_language("kind")} AS kind, {_by_language("label")} AS label FROM {_lines_sql("code_files", "ext, name, path")} WHERE {_CODE_SQL}) WHERE kind IS NOT NULL),
+    paths AS (SELECT path, string_split(path, '/')[2] AS b, string_split(path, '/')[-1] AS name FROM (SELECT path FROM code_files UNION ALL SELECT path FROM py_files)),
+    py_symbols AS (SELECT path, n, unnest([n, b || '.helper', b || '.Other', 'None.sibling', 'C_' || n, 'run', 'f_' || n, 'Other']) AS label,
+      unnest(['module', 'import', 'import', 'import', 'class', 'function', 'function', 'import']) AS kind FROM py_files),
+    py_edges AS (SELECT path, unnest([n || '.' || n, n || '.' || n, n || '.' || n, n || '.' || n, n || '.C_' || n, n || '.' || n, n || '.' || n]) AS src,
+      unnest([n || '.' || b || '.helper', n || '.' || b || '.Other', n || '.None.sibling', n || '.C_' || n, n || '.run', n || '.f_' || n, n || '.Other']) AS dst,
+      unnest(['imports', 'imports', 'imports', 'contains', 'contains', 'contains', 'imports']) AS kind FROM py_files)
+    SELECT 'node' AS part, 'dir::' AS id, 'code' AS other, 'directory' AS kind UNION ALL SELECT 'node', 'dir::src', 'src', 'directory'
+    UNION ALL SELECT DISTINCT 'node', 'dir::src/' || b, b, 'directory' FROM paths
+    UNION ALL SELECT 'node', 'file::' || path, name, 'file' FROM paths UNION ALL SELECT 'node', id, label, kind FROM hits
+    UNION ALL SELECT 'node', path || '::' || n || '.' || label, label, kind FROM py_symbols
+    UNION ALL SELECT DISTINCT 'node', 'external::' || unnest(['os', b]), unnest(['os', b]), 'external_module' FROM py_files
+    UNION ALL SELECT 'edge', 'dir::', 'dir::src', 'contains' UNION ALL SELECT DISTINCT 'edge', 'dir::src', 'dir::src/' || b, 'contains' FROM paths
+    UNION ALL SELECT 'edge', 'dir::src/' || b, 'file::' || path, 'contains' FROM paths UNION ALL SELECT 'edge', 'file::' || path, id, 'contains' FROM hits
+    UNION ALL SELECT 'edge', 'file::' || path, path || '::' || n || '.' || n, 'contains' FROM py_files
+    UNION ALL SELECT 'edge', path || '::' || src, path || '::' || dst, kind FROM py_edges
+    UNION ALL SELECT 'edge', 'file::' || path, 'external::' || unnest(['os', b]), 'depends_on' FROM py_files"""
+
+
+@query(W(*_GRAPH_CTE) + ", " + _GRAPH_ROWS)
+def p_build_graph_rows(spark, sf):
+    """Every node and edge of the batch build."""
+    return _graph_rows(*build_graph(_all_files(I.py_files(spark, sf), I.code_files(spark, sf)), "code"))
+
+
+# A C tree: sources by nation, headers by part size (the last of a stem in path order counts), errors where a supplier is in debt.
+@query(W("c_decls", "call_sites") + """, c_files AS (
+      SELECT 'c/s' || n_nationkey || '.c' AS path FROM nation UNION ALL SELECT DISTINCT 'h/p' || p_size || '.h' FROM part UNION ALL SELECT DISTINCT 'a/p' || p_size || '.c' FROM part WHERE p_size % 3 > 0
+      UNION ALL SELECT DISTINCT 'os/winnt/p' || p_size || '.h' FROM part WHERE p_size % 2 = 0),
+    named AS (SELECT path, string_split(path, '/')[-1] AS name, split_part(string_split(path, '/')[-1], '.', 1) AS stem, left(path, length(path) - length(string_split(path, '/')[-1]) - 1) AS folder FROM c_files),
+    owner AS (SELECT stem, max(path) AS path FROM named WHERE folder <> 'os/winnt' GROUP BY stem),
+    warned AS (SELECT DISTINCT 's' || s_nationkey AS file FROM supplier WHERE s_acctbal < 0),
+    edges AS (
+      SELECT 'dir::' AS src, 'dir::' || unnest(['a', 'c', 'h', 'os']) AS dst, 'contains' AS kind, 1.0 AS weight UNION ALL SELECT 'dir::os', 'dir::os/winnt', 'contains', 1.0
+      UNION ALL SELECT 'dir::' || folder, 'file::' || path, 'contains', 1.0 FROM named
+      UNION ALL SELECT 'file::' || o.path, d.id, 'contains', 1.0 FROM c_decls d JOIN owner o ON o.stem = d.file WHERE d.kind NOT IN ('field', 'enum_constant')
+      UNION ALL SELECT m.parent_id, m.id, 'field_of', 1.0 FROM c_decls m JOIN c_decls p ON p.id = m.parent_id WHERE m.kind = 'field' OR (m.kind = 'enum_constant' AND p.kind = 'enum')
+      UNION ALL SELECT src, dst, 'calls', least(3.0, 0.5 + 0.4 * count(*)) FROM call_sites GROUP BY src, dst
+      UNION ALL SELECT u.id, s.id, 'type_of', 0.6 FROM c_decls u JOIN c_decls s ON s.kind = 'struct' AND u.type_str = 'const struct ' || s.name || ' *' WHERE u.kind IN ('field', 'variable')
+      UNION ALL SELECT u.id, s.id, 'aliases', 0.8 FROM c_decls u JOIN c_decls s ON s.kind IN ('struct', 'enum', 'union') AND u.type_str = 'struct ' || s.name WHERE u.kind = 'typedef')
+    SELECT 'edge' AS part, src AS id, dst AS other, kind, CAST(round(weight, 6) AS DOUBLE) AS value FROM edges
+    UNION ALL SELECT 'node', id, name, kind, CASE WHEN kind IN ('field', 'enum_constant') THEN 3.0 ELSE 2.0 END + CASE WHEN file IN (SELECT file FROM warned) THEN 0.5 ELSE 0.0 END FROM c_decls
+    UNION ALL SELECT 'node', 'file::' || path, name, 'file', 1.0 FROM named
+    UNION ALL SELECT 'node', 'dir::' || f, CASE f WHEN '' THEN 'tree' WHEN 'os/winnt' THEN 'winnt' ELSE f END, 'directory', 0.0 FROM (SELECT unnest(['', 'a', 'c', 'h', 'os', 'os/winnt']) AS f)""")
+def p_build_c_graph(spark, sf):
+    """Declarations, members, calls, types and warnings of a C tree in the built graph, every node and edge."""
+    tables = CTables(I.full_c_decls(spark, sf), I.call_sites(spark, sf), table(spark, sf, "supplier").where("s_acctbal < 0").select(
+        F.concat(F.lit("s"), F.col("s_nationkey").cast("string")).alias("file")))
+    nodes, edges = build_graph(I.c_files(spark, sf), "tree", depth=3, c=tables)
+    value = F.col("depth") + F.when(F.col("has_parse_warning"), 0.5).otherwise(0.0)
+    return nodes.select(F.lit("node").alias("part"), "id", F.col("label").alias("other"), "kind", value.alias("value")).unionByName(
+        edges.select(F.lit("edge").alias("part"), F.col("src").alias("id"), F.col("dst").alias("other"), "kind", F.round("weight", 6).alias("value")))
+
+
 def _streamed(spark: SparkSession, sf: str) -> str:
     """Let the rendered source files arrive as a stream; returns the folder of its tables."""
     base = run_dir(spark, "graph")
@@ -132,6 +196,12 @@ def k5_stream_graph(spark, sf):
     return nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(W(*_GRAPH_CTE) + ", " + _GRAPH_ROWS)
+def k5_stream_graph_rows(spark, sf):
+    """Every node and edge of the graph that arrived as a stream."""
+    return _graph_rows(*live_graph.assemble(spark, _streamed(spark, sf), I.py_files(spark, sf).schema, "code"))
+
+
 @query(W("import_rows", "import_stems") + """, r AS (SELECT DISTINCT i.file_id AS src, s.file_id AS dst, i.module FROM import_rows i LEFT JOIN import_stems s ON s.stem = string_split(module, '.')[-1])
     SELECT DISTINCT src, CASE WHEN dst IS NULL OR dst = src THEN 'external::' || string_split(module, '.')[1] ELSE dst END AS dst, 'depends_on' AS kind FROM r""")
 def k5_stream_dependencies(spark, sf):

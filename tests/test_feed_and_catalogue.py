@@ -109,3 +109,35 @@ def test_count_mismatches(spark, small):
     runs = spark.createDataFrame([("a", 2, 1), ("b", 5, 0)], "key string, node_count int, edge_count int")
     nodes = spark.createDataFrame([("a",), ("a",), ("b",)], "key string")
     assert [r["key"] for r in catalogue.count_mismatches(runs, nodes, nodes.where("key = 'a'").limit(1)).collect()] == ["b"]
+
+
+def test_replay_shows_one_changed_attribute_and_one_doubled_edge(spark):
+    nodes = spark.createDataFrame([("k1", f"n{i}", i, {"a": "1", "b": str(i)}, 0.5) for i in range(20)] + [("k2", "n0", None, None, -0.0)], "key string, id string, depth int, meta map<string,string>, size double")
+    edges = spark.createDataFrame([("k1", f"n{i}", f"n{i + 1}") for i in range(19)] + [("k2", "n0", "n0")], "key string, src string, dst string")
+    stored = {"nodes": nodes, "edges": edges}
+    again = {"nodes": nodes.orderBy(F.rand(1)).withColumn("meta", F.map_from_entries(F.reverse(F.map_entries("meta")))).withColumn("size", F.abs("size")).withColumn("extra", F.lit(1)),
+             "edges": edges.repartition(5)}
+    assert catalogue.replay_mismatches(stored, again, ["key"]).count() == 0
+    changed = {"nodes": nodes.withColumn("depth", F.when(F.col("key") == "k1", F.col("depth")).otherwise(0)), "edges": edges.unionByName(edges.where("key = 'k1' AND src = 'n3'"))}
+    found = {tuple(r) for r in catalogue.replay_mismatches(stored, changed, ["key"]).collect()}
+    assert found == {("nodes", "k2", 1, 1), ("edges", "k1", 19, 20)}
+    gone = {"nodes": nodes.where("key = 'k1'"), "edges": edges}
+    assert [tuple(r) for r in catalogue.replay_mismatches(stored, gone, ["key"]).collect()] == [("nodes", "k2", 1, 0)]
+    # A swap between two rows keeps every column's values but not the rows.
+    swapped = edges.withColumn("dst", F.when(F.col("src") == "n1", "n3").when(F.col("src") == "n2", "n2").otherwise(F.col("dst")))
+    assert catalogue.replay_mismatches({"edges": edges}, {"edges": swapped}, ["key"]).count() == 1
+
+
+def test_snapshots_are_saved_listed_loaded_and_deleted(spark, small, tmp_path):
+    nodes, edges = small
+    store = catalogue.RunStore(spark, str(tmp_path))
+    at = lambda d: F.lit(f"2025-01-0{d} 00:00:00+00:00").cast("timestamp")
+    assert store.load_snapshot("mine") is None
+    store.save_snapshot("mine", nodes.limit(1), edges.limit(0), at(1))
+    store.save_snapshot("a/b :: c", nodes, edges, at(1))
+    store.save_snapshot("mine", nodes, edges, at(2))
+    assert {(r["name"], r["node_count"], r["edge_count"]) for r in store.snapshots().collect()} == {("mine", nodes.count(), edges.count()), ("a/b :: c", nodes.count(), edges.count())}
+    back_nodes, back_edges = store.load_snapshot("mine")
+    assert catalogue.replay_mismatches({"n": nodes.withColumn("k", F.lit(1)), "e": edges.withColumn("k", F.lit(1))}, {"n": back_nodes.withColumn("k", F.lit(1)), "e": back_edges.withColumn("k", F.lit(1))}, ["k"]).count() == 0
+    store.delete_snapshot("mine", at(3))
+    assert store.load_snapshot("mine") is None and [r["name"] for r in store.snapshots().collect()] == ["a/b :: c"]

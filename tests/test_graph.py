@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import filters, graph, stats
 from graphloom.plans.code_graph import build_graph
 from graphloom.schemas import C_DECLS
+from graphloom.streaming.graph import CTables
 
 
 def build(files, tree, depth=2):
@@ -116,6 +117,25 @@ def test_c_edges(decls):
     assert {r["id"]: r["members"] for r in stats.member_counts(decls).collect()} == {"f::S": 2, "f::BigS": 0, "f::u": 0, "f::E": 1, "f::func": 0}
 
 
+def test_c_symbols_reach_the_built_graph(spark, files, decls):
+    tree = files({"a/f.c": "", "b/f.h": "", "b/g.c": "", "win32/g.c": "", "m.py": "import os\n"})
+    sites = spark.createDataFrame([("f::func", "f::S"), ("f::func", "f::S"), ("f::func", "gone")], "src string, dst string")
+    errors = spark.createDataFrame([("g",), ("g",)], "file string")
+    nodes, edges = build_graph(tree, "r", 2, c=CTables(decls, sites, errors))
+    got = {r["id"]: r for r in nodes.collect()}
+    assert {"f::S", "f::func", "external::os", "file::win32/g.c"} <= set(got) and "f::x" not in got
+    assert got["f::T"]["has_parse_warning"] and not got["f::S"]["has_parse_warning"] and not got["file::b/g.c"]["has_parse_warning"]
+    found = {(r["src"], r["dst"], r["kind"]): r["weight"] for r in edges.collect()}
+    # The header is the last file of its stem; the file for one platform owns nothing.
+    assert found[("file::b/f.h", "f::S", "contains")] == 1.0 and ("file::a/f.c", "f::S", "contains") not in found
+    assert ("file::b/g.c", "f::T", "contains") in found and ("file::win32/g.c", "f::T", "contains") not in found
+    assert found[("f::func", "f::S", "calls")] == pytest.approx(1.3) and found[("f::T", "f::BigS", "aliases")] == 0.8
+    assert not any("f::x" in k or "gone" in k for k in found)
+    _, deep = build_graph(tree, "r", 3, c=CTables(decls, sites, errors))
+    deep = {(r["src"], r["dst"], r["kind"]) for r in deep.collect()}
+    assert ("f::S", "f::x", "field_of") in deep and ("f::p", "f::BigS", "type_of") in deep and ("file::b/f.h", "f::x", "contains") not in deep
+
+
 def test_calls_need_known_ends(spark):
     sites = spark.createDataFrame([("a", "b")] * 3 + [("a", "a"), ("a", "gone")] + [("b", "a")] * 50, "src string, dst string")
     nodes = spark.createDataFrame([("a",), ("b",)], "id string")

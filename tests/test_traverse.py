@@ -71,6 +71,37 @@ def test_shortest_path(spark):
     assert [r["id"] for r in traverse.shortest_path(edges, "a", "a").collect()] == ["a"]
 
 
+def test_long_paths_are_walked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(traverse, "HOPS", 3)
+    chain = [(f"n{i:02}", f"n{i + 1:02}") for i in range(10)] + [(f"n{i:02}", f"m{i + 1:02}") for i in range(0, 10, 2)] + [(f"m{i:02}", f"n{i + 1:02}") for i in range(1, 10, 2)]
+    edges = spark.createDataFrame(chain, "src string, dst string")
+    rows = traverse.shortest_path(edges, "n00", "n10").orderBy("step").collect()
+    want = ["n00"]
+    for i in range(1, 11):
+        want.append(f"m{i:02}" if i % 2 else f"n{i:02}")
+    assert [r["step"] for r in rows] == list(range(11))
+    assert [r["id"] for r in rows] == want
+    back = traverse.shortest_path(edges, "n10", "n00").orderBy("step").collect()
+    assert [r["id"] for r in back] == want[::-1]
+
+
+def test_cells_stay_small_in_a_dense_spot(spark):
+    rng = random.Random(4)
+    spots = {(rng.random(), rng.random()) for _ in range(400)}
+    spots |= {(0.5 + rng.random() * 1e-9, 0.5 + rng.random() * 1e-9) for _ in range(1600)}
+    parents = [(f"p{i:04}", x, y) for i, (x, y) in enumerate(sorted(spots))]
+    df = spark.createDataFrame([(x, y, p) for p, x, y in parents], "px double, py double, parent string")
+    levels, leaves = nearest.cell_levels(df)
+    held = leaves.groupBy("cell").count()
+    assert held.agg(F.max("count")).first()[0] <= nearest.LEAF and len(levels) <= 4
+    for (cells, n), (_, more) in zip(levels, levels[1:], strict=False):
+        assert cells.count() == n <= more
+    kids = [(f"k{i:03}", 0.5 + rng.uniform(-1e-9, 2e-9), 0.5 + rng.uniform(-1e-9, 2e-9)) for i in range(60)]
+    got = nearest.nearest_parent(spark.createDataFrame(kids, "id string, x double, y double"), df.select(F.col("parent").alias("id"), F.col("px").alias("x"), F.col("py").alias("y")))
+    want = {k: min(math.hypot(x - px, y - py) for _, px, py in parents) for k, x, y in kids}
+    assert {r["id"]: r["dist"] for r in got.collect()} == pytest.approx(want, abs=1e-18)
+
+
 def test_selection_growth(spark):
     edges = spark.createDataFrame([("a", "b"), ("c", "a"), ("d", "e")], "src string, dst string")
     assert {r["id"] for r in traverse.neighbors(edges, "a").collect()} == {"b", "c"}
