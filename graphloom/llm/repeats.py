@@ -19,6 +19,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,7 @@ WINDOW = 35  # words
 PHRASE = 8  # words of a phrase
 LETTERS = 3  # characters a word is written with for the automata
 SHARD_BYTES = 8_000_000
+PACKED = 1_000_000  # window hashes a task packs at once
 
 
 def _sliding(x: np.ndarray, width: int, reduce) -> np.ndarray:
@@ -151,6 +153,27 @@ def covered(words: Words, automaton, confirmed: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def _packed(batches):
+    """Window hashes of a task as one array a shard, PACKED rows at a time: few rows to hand on."""
+
+    def pack(held):
+        shards, values = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("shard", "w"))
+        order = np.argsort(shards, kind="stable")
+        own, at = np.unique(shards[order], return_index=True)
+        arrays = pa.ListArray.from_arrays(pa.array(np.append(at, len(order)).astype(np.int32)), pa.array(values[order]))
+        return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), arrays, pa.nulls(len(own), pa.string())], names=["shard", "ws", "phrase"])
+
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= PACKED:
+            yield pack(held)
+            held, rows = [], 0
+    if rows:
+        yield pack(held)
+
+
 def _removed(window: int, phrase: int):
     def run(key, docs, told):
         import ahocorasick
@@ -162,7 +185,7 @@ def _removed(window: int, phrase: int):
             for x in texts:
                 automaton.add_word(x)
             automaton.make_automaton()
-        confirmed = np.sort(told.loc[told["phrase"].isna(), "w"].to_numpy(np.int64))
+        confirmed = np.sort(np.concatenate([np.zeros(0, np.int64), *told.loc[told["phrase"].isna(), "ws"]]))
         rows = []
         for row, t in zip(docs["row"], docs["text"], strict=True):
             words = Words(t, window, phrase)
@@ -211,8 +234,9 @@ def remove(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_by
     release(spark, there)
     windows = found.filter("phrase IS NULL").select("shard", "w", "n")
     twice = windows.groupBy("w").agg(F.sum("n").alias("_n")).filter("_n > 1").select(F.col("w").alias("_w"))
-    confirmed = windows.join(twice, F.col("w") == F.col("_w"), "left_semi").select("shard", "w", F.lit(None).cast("string").alias("phrase"))
-    told = stored(confirmed.union(found.filter("phrase IS NOT NULL").select("shard", "w", "phrase")), "confirmed")
+    confirmed = windows.join(twice, F.col("w") == F.col("_w"), "left_semi").select("shard", "w").mapInArrow(_packed, "shard int, ws array<long>, phrase string")
+    phrases = found.filter("phrase IS NOT NULL").select("shard", F.lit(None).cast("array<long>").alias("ws"), "phrase")
+    told = stored(confirmed.union(phrases), "confirmed")
     release(spark, found)
     last, tail = (_digested, "kept_sha256 string") if digest else (_removed, "kept string")
     return own.groupBy("shard").cogroup(told.groupBy("shard")).applyInPandas(last(window, phrase), f"doc_id {kind}, n_words long, n_removed long, {tail}")
