@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import stored
+
 SHARD_ROWS = 25_000  # vectors of a shard, on average
 ANCHOR_BLOCK = 128  # anchors compared at once
 PLANES = 8  # bits of an anchor's component
@@ -213,6 +215,7 @@ def mine(vectors: DataFrame, is_anchor: Column, n_positives: int = 5, n_negative
     order = Window.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id")
     first = first.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= n_positives)
     found = first.groupBy("anchor_id").agg(F.array_sort(F.collect_list(F.struct("_place", "positive_id", "positive_score"))).alias("_found"))
+    found = stored(found, "positives")  # read by the second round and by the answer
     asked = anchors.join(found, F.col("vec_id") == F.col("anchor_id")).withColumn("wanted", F.col("_found.positive_score"))
 
     names = ["anchor_id", "_place", "negative_id", "negative_score"]
