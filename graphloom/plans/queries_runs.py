@@ -103,6 +103,26 @@ def a11_graph_document(spark, sf):
         F.count(F.lit(1)).alias("pieces"), F.count_if(F.col("text").startswith(",")).alias("with_comma"))
 
 
+@query(W("tree_nodes", "tree_edges") + "SELECT 'node' AS part, id, label AS other, kind FROM tree_nodes UNION ALL SELECT 'edge', src, dst, kind FROM tree_edges")
+def a11_graph_document_rows(spark, sf):
+    """What the pieces of a document hold, node by node and edge by edge."""
+    pieces = feed.graph_document(_small_nodes(spark, sf), I.tree_edges(spark, sf), "listing")
+    text = F.ltrim(F.col("text"), F.lit(","))
+    held = pieces.where("section IN (1, 3)").select("section", *[F.get_json_object(text, f"$.{k}").alias(k) for k in ("id", "label", "source", "target", "kind")])
+    node = F.col("section") == 1
+    return held.select(F.when(node, "node").otherwise("edge").alias("part"), F.when(node, F.col("id")).otherwise(F.col("source")).alias("id"),
+                       F.when(node, F.col("label")).otherwise(F.col("target")).alias("other"), "kind")
+
+
+@query(W("tree_nodes", "tree_edges") + "SELECT 'node' AS part, id, label AS other, kind FROM tree_nodes UNION ALL SELECT 'edge', src, dst, kind FROM tree_edges")
+def k8_fold_whole_feed(spark, sf):
+    """Nodes and edges that a feed gives back, each of them."""
+    frames = feed.encode_events(feed.event_feed(_small_nodes(spark, sf), I.tree_edges(spark, sf), "Spiral"))
+    nodes, edges = feed.fold_feed(frames)
+    return nodes.select(F.lit("node").alias("part"), "id", F.col("label").alias("other"), "kind").unionByName(
+        edges.select(F.lit("edge").alias("part"), F.col("src").alias("id"), F.col("dst").alias("other"), "kind"))
+
+
 # ---- catalogue ----------------------------------------------------------------------------
 
 @query("""
@@ -200,6 +220,17 @@ def m9_history(spark, sf):
     return rows.groupBy("url_hash").agg(F.count(F.lit(1)).alias("captures"), times.epoch(F.max("ts")).alias("latest"))
 
 
+@query(W("run_rows") + "SELECT substr(sha256(url), 1, 16) AS url_hash, epoch(ts) AS captured, label FROM run_rows WHERE url NOT LIKE '%/3'")
+def m9_history_rows(spark, sf):
+    """Captures logged by (url hash, time); those of one address are deleted later."""
+    store = catalogue.RunStore(spark, run_dir(spark, "history"))
+    rows = I.run_rows(spark, sf).select(catalogue.url_hash(F.col("url")).alias("url_hash"), F.col("ts").alias("captured_at"), "label", "url")
+    store.log_change("history", rows.drop("url"), F.col("captured_at"))
+    store.log_change("history", rows.where(F.col("url").endswith("/3")).drop("url"), F.lit("2002-01-01 00:00:00+00:00").cast("timestamp"), deleted=True)
+    kept = store.current("history", "url_hash string, captured_at timestamp, label string", ["url_hash", "captured_at"])
+    return kept.select("url_hash", times.epoch(F.col("captured_at")).alias("captured"), "label")
+
+
 @query("""
     SELECT o_orderkey AS key, CAST(floor(o_totalprice / 70000) AS BIGINT) AS node_count, coalesce(n, 0) AS nodes_found FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
     WHERE CAST(floor(o_totalprice / 70000) AS BIGINT) <> coalesce(n, 0)""")

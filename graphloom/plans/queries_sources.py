@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from graphloom.functions import times
-from graphloom.operators import extract
+from graphloom.operators import extract, graph
 from graphloom.operators.skew import own_shuffle
 from graphloom.plans import inputs as I
 from graphloom.plans.queries_auth import journal_lines
@@ -137,3 +139,19 @@ def l2_whole_tree_language(spark, sf):
         return extract.extract_symbols(files).select("file_id", "kind", "label")
     finally:
         extract.unregister_language("toy")
+
+
+@query("SELECT DISTINCT lang AS language, source AS token FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+def a10_lexicons_by_listing(spark, sf):
+    """A lexicon file per language of the documents, found by the listing and loaded one by one."""
+    folder, fs_path = run_dir(spark, "lexicons"), spark._jvm.org.apache.hadoop.fs.Path
+    group = F.struct(F.lit("sources").alias("name"), F.array_sort(F.collect_set(F.struct(F.col("source").alias("token")))).alias("tokens"))
+    layer = F.struct(F.lit(0).alias("ordinal"), F.lit("all").alias("name"), F.array(group).alias("groups"))
+    known = table(spark, sf, "documents").where("lang IS NOT NULL AND source IS NOT NULL").groupBy(F.col("lang").alias("language")).agg(F.array(layer).alias("layers"))
+    known.select(F.col("language").alias("file"), "language", F.struct("layers").alias("keywords")).repartition("file").write.partitionBy("file").json(f"{folder}/parts")
+    files = fs_path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in files.globStatus(fs_path(f"{folder}/parts/file=*/part-*")):
+        files.rename(part.getPath(), fs_path(f"{folder}/{part.getPath().getParent().getName()[5:]}.json"))
+    languages = [r["language"] for r in documents.available_lexicons(spark, folder).collect()]
+    loaded = [graph.lexicon_tokens(documents.load_lexicon(spark, language, folder)).select("language", "token") for language in languages]
+    return functools.reduce(lambda a, b: a.unionByName(b), loaded)
