@@ -34,6 +34,8 @@ KEPT = frozenset("html body article main".split())
 INNER = frozenset("ul ol dl table td".split())
 #: Words of class, id and role values that mark furniture.
 FURNITURE = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget footer masthead comment comments reply replies disqus respond share sharing social related recommended newsletter subscribe signup login search pagination pager toolbar complementary contentinfo".split())
+#: Words that may stand beside them in a name and say nothing themselves.
+COMPANIONS = frozenset("section sections list lists area box boxes bar slot slots user users site page post posts article articles content contents thread threads wrapper wrap container block blocks panel item items holder unit region zone group inner outer top bottom left right main global sticky fixed mobile desktop js id the of links link buttons button icons icon form title heading header body count".split())
 #: What an open element is closed by: a new p, li ... ends an open one.
 CLOSED_BY = {
     "p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]),
@@ -41,6 +43,7 @@ CLOSED_BY = {
 }
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")  # fooBar is two words
 
 
 class _Events(HTMLParser):
@@ -101,11 +104,20 @@ class _Events(HTMLParser):
 
     @staticmethod
     def marked(tag, attrs) -> bool:
-        """Whether a class, id or role names furniture: all words of one name do (ad, ad-banner; not has-sidebar or ad-free)."""
+        """Whether a class, id or role names furniture: a name of words for it and of words that say nothing.
+
+        ad, ad-slot, comments-section and relatedPosts do; has-sidebar, with-comments, ad-free, social-policy
+        and search-results have a word that says something else.
+        """
         if tag in KEPT:
             return False
-        names = (name for key, value in attrs if key in ("class", "id", "role") and value for name in value.lower().split())
-        return any(words and FURNITURE.issuperset(words) for words in map(_WORD.findall, names))
+        for key, value in attrs:
+            if key in ("class", "id", "role") and value:
+                for name in value.split():
+                    words = set(_WORD.findall(_HUMP.sub(" ", name).lower()))
+                    if words & FURNITURE and words <= FURNITURE | COMPANIONS:
+                        return True
+        return False
 
     def shut(self) -> None:
         tag, hidden, marked, container, kind = self.open[-1]

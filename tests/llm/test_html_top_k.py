@@ -107,3 +107,25 @@ def test_bounds_hold_and_leaves_cover_all():
     assert sorted(np.concatenate(tree.ids).tolist()) == list(range(3000))
     for j, v in enumerate(tree.vectors):
         assert ((queries @ v.T).max(axis=1) <= bound[:, j]).all()
+
+
+FURNITURE_NAMES = ["comments-section", "comment-list", "comments-area", "user-comments", "comment-thread", "cookie-bar", "related-posts", "site-sidebar", "newsletter-box",
+                   "ad-slot", "sponsored-content", "relatedPosts", "page_footer"]
+
+
+@pytest.mark.parametrize("name", FURNITURE_NAMES)
+@pytest.mark.parametrize("attribute", ["class", "id"])
+def test_named_furniture_stays_out_however_much_it_says(name, attribute):
+    body = "".join(f"<p>This is paragraph {i} of the article, and it has a lot of plain words to read in it.</p>" for i in range(6))
+    noise = "".join(f"<p>Reader {i} says that this is a long remark with very many plain words and no link at all in it.</p>" for i in range(9))
+    for page in (f"<html><body><article>{body}</article><div {attribute}='{name}'>{noise}</div></body></html>",
+                 f"<html><body><div><article>{body}<div {attribute}='x1 {name}'>{noise}</div></article></div></body></html>"):
+        text = html_text.main_text(page)
+        assert text.count("paragraph") == 6 and "Reader" not in text
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "with-comments", "post-share-enabled", "search-results", "ad-free", "social-policy", "content", "main-content", "adsorption"])
+def test_names_that_say_something_else_stay_in(name):
+    body = "".join(f"<p>This is paragraph {i} of the text, and it has a lot of plain words to read in it.</p>" for i in range(6))
+    for page in (f"<html><body><div class='{name}'><article>{body}</article></div></body></html>", f"<html><body><div><div class='{name}'>{body}</div></div></body></html>"):
+        assert html_text.main_text(page).count("paragraph") == 6
