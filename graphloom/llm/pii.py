@@ -44,6 +44,7 @@ NEAR = {
 }
 FAR = r"(?i)(?:\b(?:version|release|build|order|isbn|token|serial|ref|sku|id|key|hash|section|chapter)\b|[=#\"'])[^A-Za-z0-9]{0,4}$"
 
+FOLDED = 256  # matches of a text that are placed together
 YES, NO, ABSTAIN = 1, 0, 2
 LABELERS = 5
 
@@ -78,7 +79,17 @@ def _matches(text: Column, pattern: str, guard: Column) -> Column:
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
 
     pairs = lambda f, r: F.zip_with(f, F.sequence(F.lit(1), F.greatest(F.size(f), F.lit(1))), lambda m, i: F.struct(m.alias("m"), F.get(r, i - 1).alias("piece"), F.get(r, i).alias("next")))
-    fold = lambda f, r: F.aggregate(pairs(f, r), F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out")), step, lambda s: s["out"])
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
+
+    def block(state: Column, some: Column) -> Column:
+        """Matches of a block behind those before: what an append copies is bounded by the block."""
+        return F.aggregate(some, F.struct(state["at"].alias("at"), none.alias("out")), step, lambda s: F.struct(s["at"].alias("at"), F.concat(state["out"], s["out"]).alias("out")))
+
+    def folded(p: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / FOLDED).cast("int")), lambda i: F.slice(p, i * FOLDED + 1, F.lit(FOLDED)))
+        return F.aggregate(blocks, start, block, lambda s: s["out"])
+
+    fold = lambda f, r: F.get(F.transform(F.array(pairs(f, r)), folded), F.lit(0))
     # a one-element transform names the two arrays, so that neither is worked out for every match
     both = F.transform(F.array(F.struct(found.alias("f"), rest.alias("r"))), lambda x: F.when(F.size(x["f"]) > 0, fold(x["f"], x["r"])).otherwise(none))
     return F.get(both, F.lit(0))

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import numpy as np
 
@@ -100,3 +102,24 @@ def test_redaction(spark, documents):
 def test_repeated_rows_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a@b.cd", 1, 2, 3), (1, "a@b.cd", 1, 2, 3), (None, "x", 0, 0, 0)], "doc_id long, text string, found int, base int, kind int")
     assert [len(r["base"]) for r in pii.find(df).orderBy(pii.F.desc_nulls_last("doc_id")).collect()] == [1, 1, 0]
+
+
+def test_tens_of_thousands_of_matches_in_one_text(spark, documents):
+    rng = random.Random(21)
+    parts = [str(rng.randint(0, 10**6)) for _ in range(60_000)]
+    for at, extra in ((100, "bob@example.com"), (30_000, "4111 1111 1111 1111"), (59_999, "10.1.2.3")):
+        parts[at] = extra
+    text = ", ".join(parts)
+    begin = time.monotonic()
+    row = pii.find(documents([(1, text)])).first()
+    assert time.monotonic() - begin < 60
+    base = sorted((s["kind"], s["start"], s["end"]) for s in row["base"])
+    want = [(k, text.index(x), text.index(x) + len(x)) for k, x in ((0, "bob@example.com"), (1, "10.1.2.3"), (2, "4111 1111 1111 1111"))]
+    assert base == want
+
+
+def test_blocks_of_matches_join(spark, documents, monkeypatch):
+    monkeypatch.setattr(pii, "FOLDED", 3)
+    text = " ".join(f"u{i}@example.com é" for i in range(20))
+    row = pii.find(documents([(1, text), (2, "a@b.co")])).orderBy("doc_id").first()
+    assert [text[s["start"] : s["end"]] for s in row["base"]] == [f"u{i}@example.com" for i in range(20)]
