@@ -73,7 +73,17 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-@query("op7_repeats")
+#: Windows as digests of their words; words without a recurring window, put together again in order.
+REPEATS_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (SELECT r, p, md5(array_to_string(w[p + 1:p + 35], ' ')) AS k FROM (SELECT r, w, unnest(range(0, len(w) - 34)) AS p FROM d WHERE len(w) >= 35)),
+gone AS (SELECT DISTINCT r, unnest(range(p, p + 35)) AS i FROM windows WHERE k IN (SELECT k FROM windows GROUP BY k HAVING count(*) > 1)),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n FROM (SELECT r, unnest(w) AS x, unnest(range(0, len(w))) AS i FROM d) ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
+
+@query("op7_repeats", REPEATS_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove(table(spark, sf_dir, "documents"), digest=True)
 

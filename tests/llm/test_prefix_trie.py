@@ -59,7 +59,7 @@ def talk(rng, n, longest, words=2):
 
 def test_small_blocks_and_many_shards_equal_brute_force(spark):
     rows = talk(random.Random(5), 70, 14, 1)
-    assert found(spark, rows, block=3, shard_rows=15, chunk=2) == brute(rows)
+    assert found(spark, rows, block=3, shard_rows=45, chunk=2) == brute(rows)
 
 
 def test_one_shard_equals_brute_force(spark):
