@@ -1,8 +1,10 @@
-"""Exact top-k inner-product search with ball trees.
+"""Exact top-k inner-product search with ball trees, branch and bound.
 
-Vectors are dealt to shards by the hash of their id. Each task builds the ball tree of its shard
-and searches it for a block of queries: a node's upper bound is <q, centre> + |q| * radius, leaves
-are visited in falling order of bound, and a query leaves once the bound falls below its kth score.
+Vectors are dealt to shards by the hash of their row. Each shard's ball tree is built once and stored
+as arrays: a node holds the ball around a range of vectors, inner nodes have two children, leaves at
+most LEAF vectors. A query descends best-first: of all open nodes the one with the greatest upper
+bound <q, centre> + |q| * radius is next, and the descent ends when that bound falls below the
+query's kth score, so a branch that cannot hold a better vector is never opened.
 The kth score is shared in two rounds: a probe of the most promising leaf of every shard gives each
 query a first kth score over all shards, which is the starting threshold everywhere in the second.
 Scores are sums of products of whole numbers, so they are exact in double precision.
@@ -10,68 +12,114 @@ Scores are sums of products of whole numbers, so they are exact in double precis
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import stored
+
 LEAF = 256
 SHARD_ROWS = 25_000  # vectors a shard, on average
-QUERY_BLOCK = 5_000  # queries searched together, on average
+SHARD_BYTES = 16 << 20  # of vectors a shard, on average
+QUERY_BLOCK = 5_000  # queries whose answers a task hands on together
+
+_ARRAYS = {"ids": np.int64, "vectors": np.float64, "low": np.int64, "high": np.int64, "child": np.int64, "centres": np.float64, "radii": np.float64}
 
 
 class BallTree:
-    """Leaves of at most LEAF vectors: rows split at the median of the widest of two pivots' directions."""
+    """Nodes over ranges of the members: rows are split at the median of the widest of two pivots' directions."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        order, leaves = np.arange(len(ids)), []
-        stack = [order]
+        order = np.arange(len(ids))
+        low, high, child, centres, radii = [], [], [], [], []
+        stack = [(0, len(ids), -1, 0)] if len(ids) else []
         while stack:
-            rows = stack.pop()
-            if len(rows) <= LEAF:
-                if len(rows):
-                    leaves.append(rows)
+            a, b, parent, side = stack.pop()
+            node = len(low)
+            if parent >= 0:
+                child[parent][side] = node
+            part = vectors[order[a:b]]
+            centre = part.mean(axis=0)
+            low.append(a)
+            high.append(b)
+            child.append([-1, -1])
+            centres.append(centre)
+            radii.append(np.sqrt(((part - centre) ** 2).sum(axis=1).max()))
+            if b - a > LEAF:
+                far = part[((part - part[0]) ** 2).sum(axis=1).argmax()]
+                other = part[((part - far) ** 2).sum(axis=1).argmax()]
+                order[a:b] = order[a:b][np.argsort(part @ (other - far), kind="stable")]
+                half = a + (b - a) // 2
+                stack += [(half, b, node, 1), (a, half, node, 0)]
+        width = vectors.shape[1] if vectors.ndim == 2 else 0
+        self._hold(ids[order], vectors[order], np.array(low, np.int64), np.array(high, np.int64), np.array(child, np.int64).reshape(-1, 2),
+                   np.array(centres, np.float64).reshape(len(low), width), np.array(radii, np.float64))
+
+    def _hold(self, ids, vectors, low, high, child, centres, radii) -> None:
+        self.member_ids, self.members, self.low, self.high, self.child, self.centres, self.radii = ids, vectors, low, high, child, centres, radii
+        #: What rounding may take from a bound, for a query of length 1.
+        self.slack = 1e-9 * (np.sqrt((centres**2).sum(axis=1)) + radii)
+
+    def arrays(self) -> dict[str, bytes]:
+        held = (self.member_ids, self.members, self.low, self.high, self.child, self.centres, self.radii)
+        return {name: np.ascontiguousarray(x, kind).tobytes() for (name, kind), x in zip(_ARRAYS.items(), held, strict=True)}
+
+    @classmethod
+    def of(cls, arrays: dict[str, bytes], width: int) -> BallTree:
+        tree = cls.__new__(cls)
+        flat = {name: np.frombuffer(arrays[name], kind) for name, kind in _ARRAYS.items()}
+        tree._hold(flat["ids"], flat["vectors"].reshape(-1, width), flat["low"], flat["high"], flat["child"].reshape(-1, 2), flat["centres"].reshape(-1, width), flat["radii"])
+        return tree
+
+    @property
+    def leaves(self) -> np.ndarray:
+        return np.flatnonzero(self.child[:, 0] < 0)
+
+    @property
+    def ids(self) -> list[np.ndarray]:
+        """The ids of every leaf."""
+        return [self.member_ids[self.low[x] : self.high[x]] for x in self.leaves]
+
+    @property
+    def vectors(self) -> list[np.ndarray]:
+        return [self.members[self.low[x] : self.high[x]] for x in self.leaves]
+
+    def bounds(self, queries: np.ndarray, nodes: np.ndarray | None = None) -> np.ndarray:
+        """Upper bound of the inner products of each query (rows) with each node's members (by default the leaves'), rounded up."""
+        nodes = self.leaves if nodes is None else nodes
+        size = np.sqrt((queries**2).sum(axis=-1))[..., None]
+        return queries @ self.centres[nodes].T + size * (self.radii[nodes] + self.slack[nodes]) + 1e-9
+
+    def search(self, query_id: int, query: np.ndarray, k: int, kth: float, most_leaves: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, ids) of the query's k best members other than itself that reach `kth`; ties go to the smaller id."""
+        scores, ids, opened = np.zeros(0), np.zeros(0, np.int64), 0
+        heap = [(-float(self.bounds(query, np.array([0]))[0]), 0)] if len(self.low) else []
+        while heap:
+            bound, node = heapq.heappop(heap)
+            if -bound < kth:
+                break
+            if self.child[node, 0] >= 0:
+                for b, x in zip(self.bounds(query, self.child[node]).tolist(), self.child[node].tolist(), strict=True):
+                    if b >= kth:
+                        heapq.heappush(heap, (-b, x))
                 continue
-            part = vectors[rows]
-            far = part[((part - part[0]) ** 2).sum(axis=1).argmax()]
-            other = part[((part - far) ** 2).sum(axis=1).argmax()]
-            along = np.argsort(part @ (other - far), kind="stable")
-            half = len(rows) // 2
-            stack += [rows[along[:half]], rows[along[half:]]]
-        self.ids = [ids[x] for x in leaves]
-        self.vectors = [vectors[x] for x in leaves]
-        self.centres = np.array([v.mean(axis=0) for v in self.vectors]).reshape(len(leaves), vectors.shape[1])
-        self.radii = np.array([np.sqrt(((v - c) ** 2).sum(axis=1).max()) for v, c in zip(self.vectors, self.centres, strict=True)])
-
-    def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """Upper bound of the inner products of each query (rows) with each leaf, rounded up."""
-        size = np.sqrt((queries**2).sum(axis=1))
-        return queries @ self.centres.T + size[:, None] * self.radii + 1e-6 * (1 + size[:, None])
-
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, kth: np.ndarray, most_leaves: int | None = None):
-        """The k best (score, id) of each query that reach its kth score; ties go to the smaller id."""
-        bound = self.bounds(queries)
-        order = np.argsort(-bound, axis=1, kind="stable")
-        found_score = np.full((len(queries), k), -np.inf)
-        found_id = np.full((len(queries), k), np.iinfo(np.int64).max)
-        kth = kth.copy()
-        live = np.arange(len(queries))
-        for step in range(order.shape[1] if most_leaves is None else min(most_leaves, order.shape[1])):
-            leaf = order[live, step]
-            live = live[bound[live, leaf] >= kth[live]]
-            if not len(live):
+            here = slice(self.low[node], self.high[node])
+            there = self.member_ids[here]
+            score = self.members[here] @ query
+            keep = (score >= kth) & (there != query_id)
+            if keep.any():
+                scores, ids = np.concatenate([scores, score[keep]]), np.concatenate([ids, there[keep]])
+                best = np.lexsort((ids, -scores))[:k]
+                scores, ids = scores[best], ids[best]
+                if len(scores) == k:
+                    kth = max(kth, float(scores[-1]))
+            opened += 1
+            if opened == most_leaves:
                 break
-            leaf = order[live, step]
-            for x in np.unique(leaf):
-                rows = live[leaf == x]
-                score = queries[rows] @ self.vectors[x].T
-                score[self.ids[x][None, :] == query_ids[rows][:, None]] = -np.inf
-                ids = np.broadcast_to(self.ids[x], score.shape)
-                all_score, all_id = np.concatenate([found_score[rows], score], axis=1), np.concatenate([found_id[rows], ids], axis=1)
-                best = np.lexsort((all_id, -all_score), axis=1)[:, :k]
-                found_score[rows], found_id[rows] = np.take_along_axis(all_score, best, 1), np.take_along_axis(all_id, best, 1)
-                kth[rows] = np.maximum(kth[rows], found_score[rows, -1])
-        return found_score, found_id
+        return scores, ids
 
 
 def whole_vectors(df: DataFrame, scale: int = 64, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -81,35 +129,84 @@ def whole_vectors(df: DataFrame, scale: int = 64, key: str = "vec_id", vector: s
     return kept.select("vec_id", F.transform("_v", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("vec"))
 
 
+def _pieces(batches):
+    """((dim, shard), rows): slices of neighbouring rows of one shard."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in ("dim", "shard")])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield (int(keys[0, a]), int(keys[1, a])), batch.slice(a, b - a)
+
+
+def _vectors(piece: pa.RecordBatch, dim: int) -> np.ndarray:
+    return piece.column("vec").flatten().to_numpy().reshape(-1, dim)
+
+
+def _built(batches):
+    """A row for every shard: its tree as arrays."""
+
+    def row(key, held):
+        tree = BallTree(np.concatenate([p.column("vec_id").to_numpy() for p in held]), np.concatenate([_vectors(p, key[0]) for p in held]))
+        columns = [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int64()), *[pa.array([x], pa.binary()) for x in tree.arrays().values()]]
+        return pa.RecordBatch.from_arrays(columns, names=["dim", "shard", *_ARRAYS])
+
+    now, held = None, []
+    for key, piece in _pieces(batches):
+        if key != now and held:
+            yield row(now, held)
+            held = []
+        now = key
+        held.append(piece)
+    if held:
+        yield row(now, held)
+
+
+def _searched(k: int, most_leaves: int | None, block: int):
+    """Answers of the queries that follow their shard's tree."""
+
+    def run(batches):
+        now, tree = None, None
+        for key, piece in _pieces(batches):
+            kinds = piece.column("kind").to_numpy()
+            if kinds[0] == 0:
+                now, tree = key, BallTree.of({name: piece.column(name)[0].as_py() for name in _ARRAYS}, key[0])
+            asked = piece.slice(int((kinds == 0).sum()))
+            if key != now or not asked.num_rows:
+                continue  # no vectors of this length in the shard
+            for at in range(0, asked.num_rows, block):
+                part = asked.slice(at, block)
+                out = []
+                for query_id, query, kth in zip(part.column("vec_id").to_pylist(), _vectors(part, key[0]), part.column("kth").to_pylist(), strict=True):
+                    scores, ids = tree.search(query_id, query, k, kth, most_leaves)
+                    out.append((np.full(len(ids), query_id, np.int64), ids, scores.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
 def search(queries: DataFrame, candidates: DataFrame, k: int = 20, shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best candidates other than itself, ties to the smaller vec_id.
 
     Both inputs are vec_id, vec tables as `whole_vectors` gives them. Only vectors of the same length
     meet. Candidate rows that repeat an id count once each; a repeated query id is searched once, with
-    its smallest vector. Every query meets every shard, in blocks of both, which is what an exact
-    search over all rows has to do; a task holds one shard and one block of queries.
+    its smallest vector. Every query meets every shard, which is what an exact search over all rows
+    has to do; a task holds one shard's tree and streams the queries past it.
     """
-    n_shards = max(1, -(-candidates.count() // shard_rows))
-    n_blocks = max(1, -(-queries.count() // query_block))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    q = queries.groupBy("vec_id").agg(F.min("vec").alias("vec")).withColumn("dim", F.size("vec")).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(n_blocks)))
-    c = candidates.select(F.col("vec_id").alias("cand_id"), F.col("vec").alias("cand_vec")).withColumn("dim", F.size("cand_vec")).withColumn("shard", F.pmod(F.xxhash64("cand_id"), F.lit(n_shards))).withColumn("block", every(n_blocks))
+    size = candidates.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("vec") * 8).alias("bytes")).first()
+    n_shards = max(1, -(-size["n"] // shard_rows), -(-(size["bytes"] or 0) // SHARD_BYTES))
+    dim, shard = F.size("vec").alias("dim"), F.pmod(F.xxhash64("vec_id", "vec"), F.lit(n_shards)).alias("shard")
+    dealt = candidates.select(dim, shard, "vec_id", "vec").repartition(n_shards, "dim", "shard").sortWithinPartitions("dim", "shard")
+    trees = stored(dealt.mapInArrow(_built, "dim int, shard long, " + ", ".join(f"{name} binary" for name in _ARRAYS)), "trees").withColumn("kind", F.lit(0))
+    q = queries.groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long")))
 
     def searched(kth: DataFrame | None, most_leaves: int | None) -> DataFrame:
         known = q.withColumn("kth", F.lit(float("-inf"))) if kth is None else q.join(kth, "vec_id", "left").fillna(float("-inf"), ["kth"])
-        spread = known.withColumn("shard", every(n_shards))
-
-        def run(_, asked, there):
-            if not len(asked) or not len(there):
-                return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-            tree = BallTree(there["cand_id"].to_numpy(), np.array(there["cand_vec"].tolist()))
-            own = asked["vec_id"].to_numpy()
-            score, ids = tree.search(own, np.array(asked["vec"].tolist()), k, asked["kth"].to_numpy(), most_leaves)
-            row, at = np.nonzero(np.isfinite(score))
-            return pd.DataFrame({"query_id": own[row], "vec_id": ids[row, at], "score": score[row, at].astype(np.int64)})
-
-        keys = ("shard", "block", "dim")
-        return spread.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score long")
+        asked = known.select(F.size("vec").alias("dim"), every.alias("shard"), F.lit(1).alias("kind"), "vec_id", "vec", "kth")
+        met = trees.unionByName(asked, allowMissingColumns=True).repartition(n_shards, "dim", "shard").sortWithinPartitions("dim", "shard", "kind")
+        return met.mapInArrow(_searched(k, most_leaves, query_block), "query_id long, vec_id long, score long")
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     probe = searched(None, 1).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k)
