@@ -2,9 +2,9 @@
 
 Vectors are dealt to shards by the hash of their row. Each shard's ball tree is built once and stored
 as arrays: a node holds the ball around a range of vectors, inner nodes have two children, leaves at
-most LEAF vectors. A query descends best-first: of all open nodes the one with the greatest upper
-bound <q, centre> + |q| * radius is next, and the descent ends when that bound falls below the
-query's kth score, so a branch that cannot hold a better vector is never opened.
+most LEAF vectors. The queries of a block descend together, best-first: of all open nodes the one
+with the greatest upper bound <q, centre> + |q| * radius is next, for those queries whose bound
+reaches their kth score, so no query opens a branch that cannot hold a better vector for it.
 The kth score is shared in two rounds: a probe of the most promising leaf of every shard gives each
 query a first kth score over all shards, which is the starting threshold everywhere in the second.
 Scores are sums of products of whole numbers, so they are exact in double precision.
@@ -24,7 +24,7 @@ from graphloom.llm.common import stored
 LEAF = 256
 SHARD_ROWS = 25_000  # vectors a shard, on average
 SHARD_BYTES = 16 << 20  # of vectors a shard, on average
-QUERY_BLOCK = 5_000  # queries whose answers a task hands on together
+QUERY_BLOCK = 1_000  # queries that descend together
 
 _ARRAYS = {"ids": np.int64, "vectors": np.float64, "low": np.int64, "high": np.int64, "child": np.int64, "centres": np.float64, "radii": np.float64}
 
@@ -93,32 +93,43 @@ class BallTree:
         size = np.sqrt((queries**2).sum(axis=-1))[..., None]
         return queries @ self.centres[nodes].T + size * (self.radii[nodes] + self.slack[nodes]) + 1e-9
 
-    def search(self, query_id: int, query: np.ndarray, k: int, kth: float, most_leaves: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, ids) of the query's k best members other than itself that reach `kth`; ties go to the smaller id."""
-        scores, ids, opened = np.zeros(0), np.zeros(0, np.int64), 0
-        heap = [(-float(self.bounds(query, np.array([0]))[0]), 0)] if len(self.low) else []
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, kth: np.ndarray, probe: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, ids), one row a query, of its k best members other than itself that reach its kth score; ties go to the smaller id.
+
+        Queries descend together: a node is opened, in falling order of the greatest bound, for those of
+        its queries whose bound still reaches their kth score. A probe follows each query's best child
+        to one leaf. Places without a member score minus infinity.
+        """
+        scores, ids = np.full((len(queries), k), -np.inf), np.full((len(queries), k), np.iinfo(np.int64).max)
+        if not len(self.low) or not len(queries):
+            return scores, ids
+        kth, least = kth.copy(), self.bounds(queries, np.array([0]))[:, 0]
+        heap = [(-least.max(), 0, np.arange(len(queries)), least)]
         while heap:
-            bound, node = heapq.heappop(heap)
-            if -bound < kth:
-                break
+            _, node, who, bound = heapq.heappop(heap)
+            who = who[bound >= kth[who]]
+            if not len(who):
+                continue
             if self.child[node, 0] >= 0:
-                for b, x in zip(self.bounds(query, self.child[node]).tolist(), self.child[node].tolist(), strict=True):
-                    if b >= kth:
-                        heapq.heappush(heap, (-b, x))
+                bounds = self.bounds(queries[who], self.child[node])
+                for side, x in enumerate(self.child[node].tolist()):
+                    open_ = bounds[:, side] >= kth[who]
+                    if probe:
+                        open_ &= bounds.argmax(axis=1) == side
+                    if open_.any():
+                        heapq.heappush(heap, (-bounds[open_, side].max(), x, who[open_], bounds[open_, side]))
                 continue
             here = slice(self.low[node], self.high[node])
             there = self.member_ids[here]
-            score = self.members[here] @ query
-            keep = (score >= kth) & (there != query_id)
-            if keep.any():
-                scores, ids = np.concatenate([scores, score[keep]]), np.concatenate([ids, there[keep]])
-                best = np.lexsort((ids, -scores))[:k]
-                scores, ids = scores[best], ids[best]
-                if len(scores) == k:
-                    kth = max(kth, float(scores[-1]))
-            opened += 1
-            if opened == most_leaves:
-                break
+            score = queries[who] @ self.members[here].T
+            score[(there[None, :] == query_ids[who][:, None]) | (score < kth[who][:, None])] = -np.inf
+            hit = np.isfinite(score).any(axis=1)
+            who, score = who[hit], score[hit]
+            both = np.concatenate([scores[who], score], axis=1)
+            names = np.concatenate([ids[who], np.broadcast_to(there, score.shape)], axis=1)
+            best = np.lexsort((names, -both), axis=1)[:, :k]
+            scores[who], ids[who] = np.take_along_axis(both, best, 1), np.take_along_axis(names, best, 1)
+            kth[who] = np.maximum(kth[who], scores[who, -1])
         return scores, ids
 
 
@@ -163,7 +174,7 @@ def _built(batches):
         yield row(now, held)
 
 
-def _searched(k: int, most_leaves: int | None, block: int):
+def _searched(k: int, probe: bool, block: int):
     """Answers of the queries that follow their shard's tree."""
 
     def run(batches):
@@ -177,11 +188,11 @@ def _searched(k: int, most_leaves: int | None, block: int):
                 continue  # no vectors of this length in the shard
             for at in range(0, asked.num_rows, block):
                 part = asked.slice(at, block)
-                out = []
-                for query_id, query, kth in zip(part.column("vec_id").to_pylist(), _vectors(part, key[0]), part.column("kth").to_pylist(), strict=True):
-                    scores, ids = tree.search(query_id, query, k, kth, most_leaves)
-                    out.append((np.full(len(ids), query_id, np.int64), ids, scores.astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+                own = part.column("vec_id").to_numpy()
+                scores, ids = tree.search(own, _vectors(part, key[0]), k, part.column("kth").to_numpy(), probe)
+                row, place = np.nonzero(np.isfinite(scores))
+                found = (own[row], ids[row, place], scores[row, place].astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -202,14 +213,14 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 20, shard_rows: i
     q = queries.groupBy("vec_id").agg(F.min("vec").alias("vec"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long")))
 
-    def searched(kth: DataFrame | None, most_leaves: int | None) -> DataFrame:
+    def searched(kth: DataFrame | None, probe: bool) -> DataFrame:
         known = q.withColumn("kth", F.lit(float("-inf"))) if kth is None else q.join(kth, "vec_id", "left").fillna(float("-inf"), ["kth"])
         asked = known.select(F.size("vec").alias("dim"), every.alias("shard"), F.lit(1).alias("kind"), "vec_id", "vec", "kth")
         met = trees.unionByName(asked, allowMissingColumns=True).repartition(n_shards, "dim", "shard").sortWithinPartitions("dim", "shard", "kind")
-        return met.mapInArrow(_searched(k, most_leaves, query_block), "query_id long, vec_id long, score long")
+        return met.mapInArrow(_searched(k, probe, query_block), "query_id long, vec_id long, score long")
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    probe = searched(None, 1).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k)
+    probe = searched(None, True).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k)
     first = probe.select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("kth"))
-    ranked = searched(first, None).withColumn("rank", F.row_number().over(best))
+    ranked = searched(first, False).withColumn("rank", F.row_number().over(best))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
