@@ -73,9 +73,13 @@ def file_edges(files: DataFrame) -> DataFrame:
 
 
 def attach_roots(symbols: DataFrame, symbol_edges: DataFrame) -> DataFrame:
-    """File -> each symbol that has no incoming edge within its own file."""
-    has_parent = symbol_edges.select("file_id", F.col("dst").alias("id")).distinct()
-    roots = symbols.select("file_id", "id").distinct().join(has_parent, ["file_id", "id"], "left_anti")
+    """File -> each symbol that has no incoming edge within its own file.
+
+    Symbols and the targets of edges meet in one aggregate, which no wrong guess of a size turns into a broadcast.
+    """
+    ends = symbols.select("file_id", "id", F.lit(False).alias("__below")).unionByName(
+        symbol_edges.select("file_id", F.col("dst").alias("id"), F.lit(True).alias("__below")))
+    roots = ends.groupBy("file_id", "id").agg(F.max("__below").alias("__below")).where(~F.col("__below"))
     return roots.select(*edge(F.col("file_id"), F.col("id"), "contains"))
 
 
@@ -96,7 +100,7 @@ def _resolved(imports: DataFrame, stems: DataFrame) -> DataFrame:
     # Repeats of one statement collapse map-side before the join meets a popular module.
     pairs = imports.select("file_id", "module").distinct()
     return pairs.withColumn("stem", F.substring_index("module", ".", -1)).join(
-        own_shuffle(stems.withColumnRenamed("file_id", "target")), "stem", "left")
+        own_shuffle(stems.withColumnRenamed("file_id", "target")).hint("merge"), "stem", "left")  # as many stems as files
 
 
 def resolve_imports(imports: DataFrame, stems: DataFrame) -> DataFrame:

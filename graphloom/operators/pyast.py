@@ -6,7 +6,7 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.fixed.styles import PYTHON_COLOR, PYTHON_SHAPE
@@ -128,7 +128,8 @@ def _parse_file(file_id: str, stem: str, raw: str, max_depth: int) -> Iterator[t
         return
     kept = {n for n, (t, _, _) in walk.nodes.items() if KIND_OF.get(t, ("symbol", 3))[1] <= max_depth}
     yield from ((file_id, "node", n, None, *walk.nodes[n], stem) for n in walk.nodes if n in kept)
-    yield from ((file_id, "edge", s, d, None, None, 0, stem) for s, d in walk.edges if s in kept and d in kept)
+    # An edge tells the types of its ends in place of a type and a label.
+    yield from ((file_id, "edge", s, d, walk.nodes[s][0], walk.nodes[d][0], 0, stem) for s, d in walk.edges if s in kept and d in kept)
     yield from ((file_id, "import", None, None, None, m, 0, stem) for m in _modules(tree))
 
 
@@ -156,14 +157,17 @@ def parse_python(files: DataFrame, max_depth: int = 3) -> DataFrame:
     return slim.mapInPandas(_parser(max_depth), _OUT)
 
 
+def _kind_and_depth(type_: Column) -> tuple[Column, Column]:
+    def lookup(place: int, default):
+        pairs = [x for k, v in KIND_OF.items() for x in (F.lit(k), F.lit(v[place]))]
+        return F.coalesce(F.try_element_at(F.create_map(*pairs), type_), F.lit(default))
+
+    return lookup(0, "symbol"), lookup(1, 3)
+
+
 def python_nodes(parsed: DataFrame, max_depth: int = 2) -> DataFrame:
     """Nodes of the unified schema plus `file_id` and `legacy_id`, the id without its file, under which equal modules merge."""
-    def lookup(table: dict, key, default):
-        pairs = [x for k, v in table.items() for x in (F.lit(k), F.lit(v))]
-        return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(default))
-
-    kind = lookup({k: v[0] for k, v in KIND_OF.items()}, F.col("type"), "symbol")
-    depth = lookup({k: v[1] for k, v in KIND_OF.items()}, F.col("type"), 3)
+    kind, depth = _kind_and_depth(F.col("type"))
     known = F.col("type") != ""
     return (
         parsed.where(F.col("tag") == "node").withColumn("kind", kind).withColumn("depth", depth)
@@ -179,18 +183,35 @@ def python_nodes(parsed: DataFrame, max_depth: int = 2) -> DataFrame:
     )
 
 
+def python_edges_to(parsed: DataFrame, max_depth: int = 2) -> DataFrame:
+    """Edges inside each file between nodes down to a depth, as `python_edges` gives them for `python_nodes(parsed, max_depth)`.
+
+    An edge row knows what its ends are, so nothing is joined.
+    """
+    _, src_depth = _kind_and_depth(F.col("type"))
+    dst_kind, dst_depth = _kind_and_depth(F.col("label"))
+    kept = parsed.where((F.col("tag") == "edge") & (src_depth <= max_depth) & (dst_depth <= max_depth))
+    return kept.select(*_edge(F.col("id"), F.col("dst"), dst_kind))
+
+
+def _edge(src: Column, dst: Column, dst_kind: Column) -> list[Column]:
+    path = F.substring("file_id", 7, 1 << 30)
+    return [F.col("file_id"), F.concat_ws("::", path, src).alias("src"), F.concat_ws("::", path, dst).alias("dst"),
+            F.when(dst_kind == "import", "imports").otherwise("contains").alias("kind"), F.lit(1.0).alias("weight")]
+
+
 def python_edges(parsed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges inside each file between kept nodes: `imports` into import nodes, else `contains`."""
+    """Edges inside each file between kept nodes: `imports` into import nodes, else `contains`.
+
+    The joins are by shuffle: sizes are guessed from the files' and say little of the rows parsed from them.
+    """
     raw = parsed.where(F.col("tag") == "edge").select("file_id", F.col("id").alias("src"), "dst")
     # A node's id is its file and its legacy id, so one look-up of the target is enough for both.
-    path = F.substring("file_id", 7, 1 << 30)
     kept = nodes.select("file_id", F.col("legacy_id"), "kind")
     return (
-        raw.join(kept.select("file_id", F.col("legacy_id").alias("src")), ["file_id", "src"], "left_semi")
-        .join(kept.select("file_id", F.col("legacy_id").alias("dst"), F.col("kind").alias("dst_kind")), ["file_id", "dst"])
-        .select("file_id", F.concat_ws("::", path, "src").alias("src"), F.concat_ws("::", path, "dst").alias("dst"),
-                F.when(F.col("dst_kind") == "import", "imports").otherwise("contains").alias("kind"),
-                F.lit(1.0).alias("weight"))
+        raw.join(kept.select("file_id", F.col("legacy_id").alias("src")).hint("merge"), ["file_id", "src"], "left_semi")
+        .join(kept.select("file_id", F.col("legacy_id").alias("dst"), F.col("kind").alias("dst_kind")).hint("merge"), ["file_id", "dst"])
+        .select(*_edge(F.col("src"), F.col("dst"), F.col("dst_kind")))
     )
 
 

@@ -258,8 +258,7 @@ def c2_python_symbols(spark, sf):
 @query(W("py_files") + """
     SELECT kind, count(*) AS n FROM (SELECT unnest(['imports', 'imports', 'imports', 'contains', 'contains', 'contains', 'imports']) AS kind FROM py_files) GROUP BY kind""")
 def c2_python_edges(spark, sf):
-    parsed = cut_lineage(pyast.parse_python(I.py_files(spark, sf)))
-    return stats.kind_counts(pyast.python_edges(parsed, pyast.python_nodes(parsed)))
+    return stats.kind_counts(pyast.python_edges_to(pyast.parse_python(I.py_files(spark, sf))))
 
 
 @query(W("py_files") + """
@@ -267,8 +266,8 @@ def c2_python_edges(spark, sf):
       path || '::' || unnest([n || '.' || b || '.helper', n || '.' || b || '.Other', n || '.None.sibling', n || '.C_' || n, n || '.run', n || '.f_' || n, n || '.Other']) AS dst,
       unnest(['imports', 'imports', 'imports', 'contains', 'contains', 'contains', 'imports']) AS kind FROM py_files""")
 def c2_python_edge_rows(spark, sf):
-    parsed = cut_lineage(pyast.parse_python(I.py_files(spark, sf)))
-    return pyast.python_edges(parsed, pyast.python_nodes(parsed)).select(F.substring("file_id", 7, 1 << 20).alias("path"), "src", "dst", "kind")
+    edges = pyast.python_edges_to(pyast.parse_python(I.py_files(spark, sf)))
+    return edges.select(F.substring("file_id", 7, 1 << 20).alias("path"), "src", "dst", "kind")
 
 
 @query(W("py_files") + """
@@ -284,7 +283,7 @@ def c3_python_imports(spark, sf):
 def d3_attach_roots(spark, sf):
     parsed = cut_lineage(pyast.parse_python(I.py_files(spark, sf)))
     nodes = pyast.python_nodes(parsed)
-    found = graph.attach_roots(nodes, pyast.python_edges(parsed, nodes))
+    found = graph.attach_roots(nodes, pyast.python_edges_to(parsed))
     path = F.substring("src", 7, 1 << 20)
     return found.select(path.alias("path"), path.alias("src"), F.col("dst").alias("root"))
 

@@ -81,7 +81,7 @@ def whole_graph(files: DataFrame, symbols: DataFrame, parsed: DataFrame, root_na
     """
     folders = tree.folders_of(files, root_name) if folders is None else folders
     py_nodes = pyast.python_nodes(parsed, depth)
-    py_edges = pyast.python_edges(parsed, py_nodes)
+    py_edges = pyast.python_edges_to(parsed, depth)
     stems = graph.file_by_stem(files.where(F.lower("ext") == ".py"), seq="path")
     imports = pyast.python_imports(parsed)
     ext_nodes, dependencies = graph.dependencies(imports, stems)

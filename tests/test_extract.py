@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
-from graphloom.operators import extract, filters, pyast, stats
+from graphloom.operators import extract, filters, graph, pyast, stats
 
 
 def imports_of(files, raw):
@@ -38,6 +38,20 @@ def test_python_sub_symbols(files):
             ("a.q.w", "a.Const: 1", "contains"), ("a.a", "a.D", "imports")} <= edges
 
 
+def test_edges_of_large_parses_are_not_broadcast(spark, files):
+    raw = "from c import D\nclass Foo(D):\n    def bar(self): pass\nprint(x)\nfor i in z:\n    y = f'{i}'\n"
+    parsed = pyast.parse_python(files({"a.py": raw, "d/b.py": raw + "q.w(1)\n", "e.py": ""}))
+    for depth in (1, 2, 3):
+        nodes = pyast.python_nodes(parsed, depth)
+        by_join, by_row = pyast.python_edges(parsed, nodes), pyast.python_edges_to(parsed, depth)
+        assert sorted(by_join.collect()) == sorted(by_row.collect()) and (depth == 1 or by_row.count())
+        roots = graph.attach_roots(nodes, by_row)
+        below = {(r["file_id"], r["dst"]) for r in by_row.collect()}
+        assert {(r["src"], r["dst"]) for r in roots.collect()} == {(r["file_id"], r["id"]) for r in nodes.collect()} - below
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (by_join, by_row, roots)]
+        assert "BroadcastHashJoin" not in "".join(plans) and "SortMergeJoin" in plans[0] and "MergeJoin" not in plans[1] + plans[2]
+
+
 def test_parse_depth_limits_rows_and_pieces_lose_none(files, monkeypatch):
     tree = {f"f{i}.py": "import os\ndef g(x):\n    print(x)\n" for i in range(30)}
     deep, flat = pyast.parse_python(files(tree)), pyast.parse_python(files(tree), 2)
