@@ -182,25 +182,27 @@ def _quoted(text_: str) -> str:
 def register_sql_function(spark, name: str = "extract_symbols") -> None:
     """A table function for SQL users: SELECT s.* FROM files f, LATERAL extract_symbols(f.ext, f.raw) s.
 
-    Its body is SQL over the same rules, lines and comment openers as the operator, so it is planned
-    and compiled like any other expression. Returns (kind, label, line).
+    Its body is SQL over the same rules, lines and comment openers as the operator. It is one generator,
+    which takes its place in the plan behind the files: a query inside would be joined back to them by
+    their whole text. Returns (kind, label, line).
     """
     branches, kinds = [], []
     for lang in REGISTRY.rule_languages():
         pattern, marks = _one_pass(lang.rules)
         listed = ", ".join(_quoted(e) for e in lang.extensions)
         marks = marks.replace(_MARK, "\\u0001")
-        branches.append(f"WHEN lower(ext) IN ({listed}) THEN regexp_replace(line, {_quoted(pattern)}, '{marks}')")
-        kinds.append(f"WHEN lower(ext) IN ({listed}) THEN array({', '.join(_quoted(kind) for kind, _ in lang.rules)})")
+        branches.append(f"WHEN lower({name}.ext) IN ({listed}) THEN regexp_replace(l.text, {_quoted(pattern)}, '{marks}')")
+        kinds.append(f"WHEN lower({name}.ext) IN ({listed}) THEN array({', '.join(_quoted(kind) for kind, _ in lang.rules)})")
     spaces = "".join(f"\\u{ord(c):04x}" for c in text.SPACES)
     enders = ", ".join(f"'\\u{ord(c):04x}'" for c in text.ENDERS)
-    comment = " OR ".join(f"startswith(line, {_quoted(o)})" for o in L.COMMENT_OPENERS)
-    body = f"CASE WHEN endswith(raw, '\\r\\n') THEN left(raw, length(raw) - 2) WHEN right(raw, 1) IN ({enders}) THEN left(raw, length(raw) - 1) ELSE raw END"
+    comment = " OR ".join(f"startswith(l.text, {_quoted(o)})" for o in L.COMMENT_OPENERS)
+    raw = f"{name}.raw"
+    body = f"CASE WHEN endswith({raw}, '\\r\\n') THEN left({raw}, length({raw}) - 2) WHEN right({raw}, 1) IN ({enders}) THEN left({raw}, length({raw}) - 1) ELSE {raw} END"
+    lines = f"transform(split({body}, {_quoted(text.LINE_END)}), (piece, i) -> named_struct('text', btrim(piece, '{spaces}'), 'line', i + 1))"
+    code = f"filter({lines}, l -> l.text <> '' AND NOT startswith(l.text, '\\u0001') AND NOT ({comment}))"
+    marked = f"transform({code}, l -> named_struct('m', CASE {' '.join(branches)} END, 'line', l.line))"
+    hits = f"filter({marked}, h -> startswith(h.m, '\\u0001'))"
+    kind = f"get(CASE {' '.join(kinds)} END, length(h.m) - length(trim(LEADING '\\u0001' FROM h.m)) - 1)"
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION {name}(ext STRING, raw STRING) RETURNS TABLE (kind STRING, label STRING, line INT) RETURN
-        SELECT get(CASE {' '.join(kinds)} END, length(marked) - length(trim(LEADING '\\u0001' FROM marked)) - 1), btrim(marked, '\\u0001'), CAST(number + 1 AS INT) FROM (
-          SELECT ext, number, CASE {' '.join(branches)} END AS marked FROM (
-            SELECT ext, number, btrim(piece, '{spaces}') AS line FROM (
-              SELECT extract_symbols.ext AS ext, t.number, t.piece FROM posexplode(split({body}, {_quoted(text.LINE_END)})) AS t(number, piece))
-          ) WHERE line <> '' AND NOT startswith(line, '\\u0001') AND NOT ({comment})
-        ) WHERE startswith(marked, '\\u0001')""".replace("extract_symbols.ext", f"{name}.ext"))
+        SELECT inline(transform({hits}, h -> named_struct('kind', {kind}, 'label', btrim(h.m, '\\u0001'), 'line', h.line)))""")

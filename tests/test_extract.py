@@ -132,6 +132,15 @@ def test_table_function_agrees_with_columns(spark, files):
     assert sorted(by_sql.collect()) == sorted(by_columns.collect())
 
 
+def test_table_function_is_a_generator_not_a_join(spark, files):
+    extract.register_sql_function(spark)
+    files({"a.go": "func F(a int) {\n"}).createOrReplaceTempView("udtf_one_file")
+    found = spark.sql("SELECT f.path, s.kind FROM udtf_one_file f, LATERAL extract_symbols(f.ext, f.raw) s")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "HashJoin" not in plan and "MergeJoin" not in plan and "NestedLoop" not in plan and "Exchange" not in plan
+    assert [tuple(r) for r in found.collect()] == [("a.go", "function")]
+
+
 def test_human_size(spark):
     sizes = [0, 1023, 1024, 1536, 1280, 3 * 1024 ** 2, 5 * 1024 ** 4]
     got = [r[0] for r in spark.createDataFrame([(s,) for s in sizes], "n long").select(text.human_size(F.col("n"))).collect()]
