@@ -20,8 +20,8 @@ def encode_events(events: DataFrame) -> DataFrame:
     return events.select("seq", encode_frame(F.col("event"), F.col("payload")).alias("frame"))
 
 
-def decode_events(frames: DataFrame) -> DataFrame:
-    """(seq, frame) -> (seq, event, payload); frames without data or with malformed JSON are ignored."""
+def decode_events(frames: DataFrame, event: str | None = None) -> DataFrame:
+    """(seq, frame) -> (seq, event, payload), of one event only if named; frames without data or with malformed JSON are ignored."""
     rows = F.split(F.trim("frame"), "\n")
 
     def last_after(prefix: str) -> Column:
@@ -30,7 +30,7 @@ def decode_events(frames: DataFrame) -> DataFrame:
 
     decoded = frames.select("seq", F.coalesce(last_after("event: "), F.lit("message")).alias("event"),
                             last_after("data: ").alias("payload"))
-    return decoded.where(F.try_parse_json("payload").isNotNull())
+    return (decoded if event is None else decoded.where(F.col("event") == event)).where(F.try_parse_json("payload").isNotNull())
 
 
 def event_feed(nodes: DataFrame, edges: DataFrame, layout: str) -> DataFrame:
@@ -62,11 +62,10 @@ def event_feed(nodes: DataFrame, edges: DataFrame, layout: str) -> DataFrame:
 
 def fold_feed(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (the last frame of an id wins, frames without an id dropped) and edges of a feed."""
-    events = decode_events(frames)
-    node = events.where(F.col("event") == "node").select("seq", F.from_json("payload", NODES).alias("n")).select("seq", "n.*")
+    node = decode_events(frames, "node").select("seq", F.from_json("payload", NODES).alias("n")).select("seq", "n.*")
     nodes = last_wins(node.where(F.coalesce("id", F.lit("")) != ""), ["id"], "seq").drop("seq")
     shape = "source string, target string, kind string, weight double"
-    edges = events.where(F.col("event") == "edge").select(F.from_json("payload", shape).alias("e")).select(
+    edges = decode_events(frames, "edge").select(F.from_json("payload", shape).alias("e")).select(
         F.col("e.source").alias("src"), F.col("e.target").alias("dst"), "e.kind", "e.weight")
     return nodes, edges
 

@@ -8,7 +8,7 @@ from graphloom.functions import keys, times
 from graphloom.operators import catalogue, feed, filters
 from graphloom.plans import inputs as I
 from graphloom.plans.registry import query, table
-from graphloom.session import run_dir
+from graphloom.session import cut_lineage, run_dir
 from graphloom.sources import documents, files as tree
 
 W = I.with_inputs
@@ -117,7 +117,8 @@ def a11_graph_document_rows(spark, sf):
 @query(W("tree_nodes", "tree_edges") + "SELECT 'node' AS part, id, label AS other, kind FROM tree_nodes UNION ALL SELECT 'edge', src, dst, kind FROM tree_edges")
 def k8_fold_whole_feed(spark, sf):
     """Nodes and edges that a feed gives back, each of them."""
-    frames = feed.encode_events(feed.event_feed(_small_nodes(spark, sf), I.tree_edges(spark, sf), "Spiral"))
+    # Numbered once; nodes and edges are both read from it.
+    frames = cut_lineage(feed.encode_events(feed.event_feed(_small_nodes(spark, sf), I.tree_edges(spark, sf), "Spiral")))
     nodes, edges = feed.fold_feed(frames)
     return nodes.select(F.lit("node").alias("part"), "id", F.col("label").alias("other"), "kind").unionByName(
         edges.select(F.lit("edge").alias("part"), F.col("src").alias("id"), F.col("dst").alias("other"), "kind"))
@@ -250,7 +251,8 @@ def m10_count_mismatches(spark, sf):
     WHERE split_part(src, '::', 1) = (SELECT split_part(min(src), '::', 1) FROM tree_edges) GROUP BY 2""")
 def m10_replay_mismatches(spark, sf):
     nodes, edges = _small_nodes(spark, sf), I.tree_edges(spark, sf)
-    back_nodes, back_edges = feed.fold_feed(feed.encode_events(feed.event_feed(nodes, edges, "Spiral")))
+    # The feed is read several times. Cut, it also takes no look-up of its own into those below.
+    back_nodes, back_edges = feed.fold_feed(cut_lineage(feed.encode_events(feed.event_feed(nodes, edges, "Spiral"))))
     changed = back_nodes.withColumn("label", F.when(F.col("id") == back_nodes.agg(F.max("id")).scalar(), "other").otherwise(F.col("label")))
     first = back_edges.agg(F.min(F.struct("src", "dst"))).scalar()
     doubled = back_edges.unionByName(back_edges.where(F.struct("src", "dst") == first))

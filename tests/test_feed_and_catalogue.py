@@ -141,3 +141,17 @@ def test_snapshots_are_saved_listed_loaded_and_deleted(spark, small, tmp_path):
     assert catalogue.replay_mismatches({"n": nodes.withColumn("k", F.lit(1)), "e": edges.withColumn("k", F.lit(1))}, {"n": back_nodes.withColumn("k", F.lit(1)), "e": back_edges.withColumn("k", F.lit(1))}, ["k"]).count() == 0
     store.delete_snapshot("mine", at(3))
     assert store.load_snapshot("mine") is None and [r["name"] for r in store.snapshots().collect()] == ["a/b :: c"]
+
+
+def test_feeds_numbered_in_ranges_are_replayed(spark, monkeypatch):
+    """As with a feed of more rows than one window takes."""
+    import functools
+
+    from graphloom.operators import ranking
+    from graphloom.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    whole = {n: sorted(map(tuple, catalog.QUERIES[n](spark, sf).collect())) for n in ("m10_replay_mismatches", "k8_fold_whole_feed")}
+    monkeypatch.setattr(feed, "ranked", functools.partial(ranking.ranked, task_rows=100))
+    for name, rows in whole.items():
+        assert sorted(map(tuple, catalog.QUERIES[name](spark, sf).collect())) == rows
