@@ -36,7 +36,9 @@ def current_sessions(versions: DataFrame) -> DataFrame:
 def stream_windowed_sessions(events: DataFrame, gap: str, late: str, seq: str = "seq") -> DataFrame:
     """Sessions finished by a silence of `gap`, for append mode; state is dropped once they are out."""
     timed = events.withWatermark("ts", late)
-    return auth.session_summary(timed, ["session_id", F.session_window("ts", gap)], seq).drop("session_window")
+    # Spark joins windows that touch, but a silence of just `gap` ends a session too.
+    window = F.session_window("ts", f"{gap} -1 microseconds")
+    return auth.session_summary(timed, ["session_id", window], seq).drop("session_window")
 
 
 def recent(written: DataFrame, limit: int = 2000, seq: str = "seq") -> DataFrame:

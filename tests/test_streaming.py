@@ -48,6 +48,18 @@ def test_session_stream_equals_batch(spark, tmp_path):
     assert sorted(live.current_sessions(versions).select(batch.columns).collect()) == sorted(batch.collect())
 
 
+def test_windowed_sessions_end_with_a_silence_of_just_the_gap(spark, tmp_path):
+    lines = [f"Feb 27 {at} h sshd[1]: session opened for user a" for at in ("00:00:00", "10:00:00", "19:59:59")]
+    lines.append("Feb 29 00:00:00 h sshd[2]: session opened for user b")
+    rows = [(x, "f", i) for i, x in enumerate(lines)]
+    spark.createDataFrame(rows, "value string, file string, line_no long").write.parquet(str(tmp_path / "in"))
+    arriving = spark.readStream.schema("value string, file string, line_no long").parquet(str(tmp_path / "in"))
+    events = live.stream_auth_events(arriving, 2024).withColumnRenamed("line_no", "seq")
+    done = live.stream_windowed_sessions(events, "10 hours", "1 hour")
+    sinks.drain(sinks.write_batches(done, str(tmp_path / "out"), str(tmp_path / "cp")))
+    assert sorted(r["event_count"] for r in sinks.read_batches(spark, str(tmp_path / "out"), done.schema).collect()) == [1, 2]
+
+
 def test_graph_stream_equals_batch(spark, files, tmp_path):
     tree = {"a.py": "import b\nimport os\nclass A:\n    def m(self): pass\n", "p/b.py": "x = 1\n", "p/c.go": "func F(a int) {\n"}
     for i, path in enumerate(tree):
