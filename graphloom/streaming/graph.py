@@ -17,7 +17,8 @@ C_EXTENSIONS = [".c", ".h"]
 def start_graph_stream(files: DataFrame, out: str, checkpoint: str, available_now: bool = True):
     """Per micro-batch: folders, files, pattern symbols and Python parse rows, each under `out`."""
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()  # read once for all parts
+        # Read once for all parts, and dealt anew: files of one language arrive together, and would be parsed by a task or two.
+        batch = batch.repartition("path").persist()
         parts = {
             "files": batch.withColumn("raw", F.lit(None).cast("string")),  # the text is not needed again
             "symbols": extract.extract_symbols(batch).drop("meta"),

@@ -72,6 +72,15 @@ def test_graph_stream_equals_batch(spark, files, tmp_path):
     assert sorted(map(str, edges.collect())) == sorted(map(str, want_edges.select(edges.columns).collect()))
 
 
+def test_files_that_arrive_together_are_parsed_by_many_tasks(spark, files, tmp_path):
+    files({f"p/m{i}.py": "x = 1\n" for i in range(64)}).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(FILES).parquet(str(tmp_path / "in"))
+    sinks.drain(live_graph.start_graph_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp")))
+    parsed = spark.read.parquet(str(tmp_path / "out" / "parsed"))
+    assert parsed.select("file_id").distinct().count() == 64
+    assert parsed.select("_metadata.file_path").distinct().count() > 1
+
+
 def test_progress_is_reported(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "x.log").write_text("one\ntwo\n")
