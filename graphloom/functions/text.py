@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 # White space, and what ends a line of source text.
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 LINE_END = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+OTHER_LINE_END = r"\r\n?|[\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"  # all but a plain \n
 ENDERS = ["\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
 
 
@@ -23,7 +24,8 @@ def split_lines(c: Column) -> Column:
     """Lines of a text; a final line end does not open another line."""
     body = F.when(c.endswith("\r\n"), F.left(c, F.length(c) - 2)).when(
         F.right(c, F.lit(1)).isin(ENDERS), F.left(c, F.length(c) - 1)).otherwise(c)
-    return F.split(body, LINE_END)
+    # A split on one plain character compiles no pattern for each text.
+    return F.split(F.regexp_replace(body, OTHER_LINE_END, "\n"), "\n")
 
 
 def or_else(first: Column, *others: Column) -> Column:

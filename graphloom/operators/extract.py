@@ -140,15 +140,31 @@ def match_symbols(lines: DataFrame) -> DataFrame:
     return found.select(*lines.columns, kind.alias("kind"), label.alias("label"))
 
 
+def _found_in(raw: Column, lang: Language, legacy_comments: bool) -> Column:
+    """(kind, label, line) of every symbol of a text, in order; the language is chosen once a file and not once a line."""
+    openers = filters.comment_openers(lang.name, legacy_comments)
+    kinds = _kinds(lang.rules)
+
+    def mark(line: Column, i: Column) -> Column:
+        code = (line != "") & ~filters.opened_by(line, openers)
+        return F.struct(F.when(code, _marked(line, lang.rules)).alias("m"), (i + 1).alias("line"))
+
+    def symbol(x: Column) -> Column:
+        kind, label = _hit(x["m"], kinds)
+        return F.struct(kind.alias("kind"), label.alias("label"), x["line"].alias("line"))
+
+    marked = F.transform(F.transform(text.split_lines(raw), text.strip), mark)
+    return F.transform(F.filter(marked, lambda x: x["m"].startswith(_MARK)), symbol)
+
+
 def extract_symbols(files: DataFrame, max_depth: int = 2, legacy_comments: bool = True) -> DataFrame:
     """Depth-2 symbol nodes of all pattern languages, at most one per line.
 
     `legacy_id` is the id by bare file name, under which equal files merge.
     """
     with_language = files.withColumn("language", filters.ext_to_language(F.col("ext")))
-    wanted = [lang.name for lang in REGISTRY.rule_languages()]
-    lines = explode_lines(with_language.where(F.col("language").isin(wanted)))
-    symbols = match_symbols(filters.code_lines(lines, legacy_comments))
+    found = _by_language(REGISTRY.rule_languages(), lambda lang: _found_in(F.col("raw"), lang, legacy_comments))
+    symbols = with_language.select("language", "path", "name", "url", F.inline(found))
     nodes = symbols.select(
         F.concat_ws("::", "language", "path", "kind", "label", F.col("line").cast("string")).alias("id"),
         F.lit(2).alias("depth"), "language", "kind", "label",

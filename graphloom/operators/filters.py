@@ -66,23 +66,29 @@ def depth_filter(nodes: DataFrame, max_depth: int) -> DataFrame:
     return nodes.where(F.col("depth") <= max_depth)
 
 
+def opened_by(line: Column, openers: list[str]) -> Column:
+    return functools.reduce(lambda a, b: a | b, [line.startswith(o) for o in openers], F.lit(False))
+
+
+def comment_openers(language: str, legacy_comments: bool = True) -> list[str]:
+    """What opens a comment line: one list for every language, or else the language's own."""
+    return L.COMMENT_OPENERS if legacy_comments else L.COMMENT_OPENERS_BY_LANGUAGE.get(language, L.SLASH)
+
+
 def code_lines(lines: DataFrame, legacy_comments: bool = True) -> DataFrame:
     """Keep lines that are neither blank nor opened by a comment sign.
 
     With `legacy_comments` one list of openers holds for every language (so Markdown headings
     and CSS ids are skipped); otherwise each language has its own list.
     """
-    def opened_by(openers: list[str]) -> Column:
-        return functools.reduce(lambda a, b: a | b, [F.col("text").startswith(o) for o in openers], F.lit(False))
-
     if legacy_comments:
-        comment = opened_by(L.COMMENT_OPENERS)
+        comment = opened_by(F.col("text"), L.COMMENT_OPENERS)
     else:
         comment = F.lit(False)
         for openers in {tuple(o) for o in L.COMMENT_OPENERS_BY_LANGUAGE.values()}:
             langs = [k for k, v in L.COMMENT_OPENERS_BY_LANGUAGE.items() if tuple(v) == openers]
-            comment = comment | (F.col("language").isin(langs) & opened_by(list(openers)))
-        comment = comment | (~F.col("language").isin(list(L.COMMENT_OPENERS_BY_LANGUAGE)) & opened_by(L.SLASH))
+            comment = comment | (F.col("language").isin(langs) & opened_by(F.col("text"), list(openers)))
+        comment = comment | (~F.col("language").isin(list(L.COMMENT_OPENERS_BY_LANGUAGE)) & opened_by(F.col("text"), L.SLASH))
     return lines.where((F.col("text") != "") & ~comment)
 
 

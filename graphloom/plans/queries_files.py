@@ -220,7 +220,7 @@ def c1_symbols_code(spark, sf):
 def c1_symbols_own_comments(spark, sf):
     """With comment openers by language: Markdown headings and CSS ids are found too."""
     symbols = extract.extract_symbols(I.code_files(spark, sf), legacy_comments=False)
-    ext = paths.suffix(paths.base_name(F.split("id", "::")[1]))
+    ext = paths.suffix(paths.base_name(F.col("file_id")))
     return symbols.groupBy(ext.alias("ext"), "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -242,7 +242,7 @@ def c1_symbols_html(spark, sf):
        + f" WHERE {_CODE_SQL}) WHERE kind IS NOT NULL GROUP BY ext, kind")
 def f1_first_rule_wins(spark, sf):
     symbols = extract.extract_symbols(I.code_files(spark, sf))
-    ext = paths.suffix(paths.base_name(F.split("id", "::")[1]))
+    ext = paths.suffix(paths.base_name(F.col("file_id")))
     return symbols.groupBy(ext.alias("ext"), "kind").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -159,3 +159,11 @@ def test_diagnostic_classes(spark):
     messages = ["'x.h' file not found", "unknown type name 'u8'", "expected ';'"]
     df = spark.createDataFrame([(m, "f") for m in messages], "message string, file string")
     assert stats.diagnostics_summary(df).first().asDict() == {"missing_header": 1, "unknown_type": 1, "other": 1, "files_with_warnings": 1}
+
+
+def test_lines_are_matched_where_they_lie(files):
+    """Rows come out for symbols only, not for every line."""
+    plan = extract.extract_symbols(files({"a.js": "// no\nclass A {\n\n}\r\nclass B"}))
+    assert [(r["label"], r["line"]) for r in plan.orderBy("line").collect()] == [("A", 2), ("B", 5)]
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Generate ") == 1 and "posexplode" not in text
