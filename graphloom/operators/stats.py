@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import paths
 from graphloom.operators.ranking import chunked_lists, dense_codes
+from graphloom.session import cut_lineage
 
 # Drawn size of a node by depth.
 DEPTH_SIZE = {0: 40, 1: 20, 2: 10, 3: 6}
@@ -38,7 +39,8 @@ def kind_counts(rows: DataFrame, kind: str = "kind") -> DataFrame:
 
 def type_breakdown(nodes: DataFrame, top: int = 10, kind: str = "kind") -> DataFrame:
     """The `top` most frequent kinds and how many kinds are not shown."""
-    counts = kind_counts(nodes.select(F.coalesce(F.col(kind), F.lit("unknown")).alias(kind)), kind)
+    # Cut, as the kinds are used twice and the rows are to be made once.
+    counts = cut_lineage(kind_counts(nodes.select(F.coalesce(F.col(kind), F.lit("unknown")).alias(kind)), kind))
     more = counts.agg(F.greatest(F.count(F.lit(1)) - top, F.lit(0)))
     return counts.orderBy(F.col("n").desc(), kind).limit(top).withColumn("more_kinds", more.scalar())
 

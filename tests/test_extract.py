@@ -167,3 +167,15 @@ def test_lines_are_matched_where_they_lie(files):
     assert [(r["label"], r["line"]) for r in plan.orderBy("line").collect()] == [("A", 2), ("B", 5)]
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("Generate ") == 1 and "posexplode" not in text
+
+
+def test_kinds_are_counted_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def kinds(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf.assign(kind="k" + (pdf["id"] % 12).astype("str"))[["kind"]]
+
+    rows = stats.type_breakdown(spark.range(24).mapInPandas(kinds, "kind string")).collect()
+    assert len(rows) == 10 and {(r["n"], r["more_kinds"]) for r in rows} == {(2, 2)} and made.value == 24
