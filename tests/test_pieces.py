@@ -89,3 +89,14 @@ def test_sums_of_pieces_are_the_sum_of_the_text():
         whole = pieces.summed(raw)
         # The text starts outside a string; the other starts of it are not JSON.
         assert pieces.joined(pieces.summed(raw[:at]), pieces.summed(raw[at:]))[pieces.OUT] == whole[pieces.OUT]
+
+
+def test_a_worker_gives_out_elements_piece_by_piece(spark):
+    import pandas as pd
+
+    start = {"state": 0, "depth": 2, "opened2": 1, "commas2": 0, "opened3": 0, "commas3": 0}
+    batch = pd.DataFrame([{"seq": i, "text": f"{i},{i}", **start} for i in range(3)])
+    assert [len(found) for found in pieces._cut(2, {0: ("nodes", "[")})(iter([batch]))] == [2, 2, 2]
+    with pieces._few_at_once(spark):
+        most = spark.range(100, numPartitions=1).mapInPandas(lambda bs: (pd.DataFrame({"n": [len(b)]}) for b in bs), "n int").agg({"n": "max"}).first()[0]
+    assert most <= pieces.AT_ONCE
