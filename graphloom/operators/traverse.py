@@ -129,7 +129,8 @@ def path_edges(edges: DataFrame, path: DataFrame) -> DataFrame:
 
 
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return nodes.select("id").join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
+    """Nodes that no edge leads to. The ends of edges are not made distinct first: they hardly repeat, and a split's worth of them is held by one task."""
+    return nodes.select("id").join(edges.select(F.col("dst").alias("id")), "id", "left_anti")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -139,8 +140,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     needs the least neighbour of each node, an aggregate, and a join back to the pairs in which
     adaptive execution can split a hub.
     """
+    # Dealt out before they are made distinct: a task then holds its share of the pairs, not those of a whole split of the input.
     pairs = cut_lineage(edges.where(F.col("src") != F.col("dst")).select(
-        F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+        F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).repartition("u", "v").distinct())
     mark = None
     while True:
         pairs, new_mark = cut_and_observe(_small_star(_large_star(pairs)), n=F.count(F.lit(1)), sum=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))

@@ -137,3 +137,14 @@ def test_nearest_parent_by_cells_is_exact(spark, shape):
         assert got.keys() == want.keys()
         assert all(got[k][0] == pytest.approx(want[k][0], abs=1e-12) for k in want)
         assert got["k900"][1] == "p900"
+
+
+def test_ends_are_dealt_out_before_they_are_made_distinct(spark, monkeypatch):
+    nodes, edges = spark.createDataFrame([("a",), ("b",), ("c",)], "id string"), spark.createDataFrame([("a", "b"), ("a", "b")], "src string, dst string")
+    roots = traverse.roots(nodes, edges)
+    assert sorted(r["id"] for r in roots.collect()) == ["a", "c"]
+    assert "Aggregate" not in roots._jdf.queryExecution().optimizedPlan().toString()
+    cut, plans = traverse.cut_lineage, []
+    monkeypatch.setattr(traverse, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    assert sorted(map(tuple, traverse.components(nodes, edges).collect())) == [("a", "a"), ("b", "a"), ("c", "c")]
+    assert "RepartitionByExpression" in plans[0]
