@@ -181,8 +181,11 @@ def field_of(decls: DataFrame) -> DataFrame:
 
 
 def calls(call_sites: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Call edges weighted by their number of call sites; counted before any join, so hot callees shrink first."""
-    counted = call_sites.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    """Call edges weighted by their number of call sites; counted before any join, so hot callees shrink first.
+
+    Sites are dealt by pair before they are counted: a task holds its share of the pairs, not those of a whole split of the input.
+    """
+    counted = call_sites.repartition("src", "dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
     return filters.known_endpoints(counted, nodes).where("src <> dst").select(
         *edge(F.col("src"), F.col("dst"), "CALLS", numbers.call_weight(F.col("n"))))
 

@@ -200,3 +200,10 @@ def test_lasso_and_box(spark):
     assert {r["id"] for r in filters.lasso_select(df, shape).collect()} == {"in"}
     assert filters.lasso_select(df, shape[:2]).count() == 0
     assert {r["id"] for r in filters.box_select(df, 5.0, 1.0, 1.0, 1.0).collect()} == {"in", "out"}
+
+
+def test_call_sites_are_dealt_out_before_they_are_counted(spark):
+    sites = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "b")], "src string, dst string")
+    found = graph.calls(sites, spark.createDataFrame([("a",), ("b",)], "id string"))
+    assert [(r["src"], r["dst"], round(r["weight"], 6)) for r in found.collect()] == [("a", "b", 1.3)]
+    assert "RepartitionByExpression" in found._jdf.queryExecution().optimizedPlan().toString()
