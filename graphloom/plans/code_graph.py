@@ -26,7 +26,7 @@ def build_graph(files: DataFrame, root_name: str, depth: int = 2, extensions: li
         return nodes, graph.union_edges(graph.dir_edges(folders), graph.file_edges(kept))
     # One parse and one extraction feed nodes, edges and imports; both are far smaller than the text.
     parsed = cut_lineage(pyast.parse_python(kept, depth))
-    symbols = cut_lineage(extract.extract_symbols(kept).drop("meta"))
+    symbols = cut_lineage(extract.extract_symbols(kept).drop("meta", "legacy_id"))
     return whole_graph(kept.drop("raw"), symbols, parsed, root_name, depth, folders, c)
 
 

@@ -207,3 +207,14 @@ def test_call_sites_are_dealt_out_before_they_are_counted(spark):
     found = graph.calls(sites, spark.createDataFrame([("a",), ("b",)], "id string"))
     assert [(r["src"], r["dst"], round(r["weight"], 6)) for r in found.collect()] == [("a", "b", 1.3)]
     assert "RepartitionByExpression" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nodes_are_sorted_once_and_weighed_edges_not_at_all(spark):
+    nodes = spark.createDataFrame([("a", 2, "f", 1, "x"), ("a", 1, "f", 2, "y"), ("b", 1, "g", 1, "z")], "id string, depth int, file string, line int, label string")
+    merged = graph.merge_nodes(nodes.where("depth = 1"), nodes.where("depth = 2"))
+    assert {(r["id"], r["depth"], r["label"]) for r in merged.collect()} == {("a", 2, "x"), ("b", 1, "z")} and merged.columns == nodes.columns
+    assert merged._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Sort [") == 1
+    edges = spark.createDataFrame([("a", "b", "k", 1.0), ("a", "b", "k", 3.0), ("a", "c", "k", None)], "src string, dst string, kind string, weight double")
+    kept = graph.dedupe_edges(edges)
+    assert {tuple(r) for r in kept.collect()} == {("a", "b", "k", 3.0), ("a", "c", "k", None)}
+    assert "SortAggregate" not in kept._jdf.queryExecution().executedPlan().toString()
