@@ -3,11 +3,13 @@
 Events wait in list state until the watermark has passed them, so they are taken in their own order
 however they arrived. What was taken is one folded row. A session is over with a closing event, or
 by a silence of `gap`, which an event-time timer notices when nothing more arrives. State holds the
-events of the last `late` and one row per open session, never a session's past events.
+events of the last `late` and one row per open session, never a session's past events. Events of a key
+that arrive together are one row of the list: state is asked for by a message, which costs more than an event.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,10 +19,17 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.streaming.query import StreamingQuery
 
 CLOSING = ("session_close", "pam_end")
-_EVENT = "at long, seq long, service string, user string, rhost string, event_type string"
+_EVENT = ("at", "seq", "service", "user", "rhost", "event_type")
 _FOLD = ("start long, end long, service string, user string, rhost string, last_user string, last_rhost string,"
          " n long, granted boolean, denied boolean")
 _OUT = "session_id string, service string, user string, rhost string, event_count long, start_us long, end_us long, result string, ended_by string"
+_NAMES = [f.split()[0] for f in _OUT.split(", ")]
+_OVER = f"array<struct<{_OUT.replace(' ', ':').replace(',:', ',')}>>"
+PIECE = 5_000  # events or sessions in one text
+
+
+def _cut(rows: list) -> list[list]:
+    return [rows[i:i + PIECE] for i in range(0, len(rows), PIECE)]
 
 
 def fold(held: tuple | None, event: tuple) -> tuple:
@@ -59,58 +68,63 @@ class Sessions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", _EVENT)
+        self.waiting = handle.getListState("waiting", "events string")
         self.open = handle.getValueState("open", _FOLD)
         self.alarm = handle.getValueState("alarm", "at long")
 
-    def _wake(self, at: int | None) -> None:
-        """One timer a key, at the millisecond in or after `at` (microseconds)."""
+    def _wake(self, now: int | None, at: int | None) -> None:
+        """One timer a key, at the millisecond in or after `at` (microseconds); `now` is the one set."""
         at = None if at is None else -(-at // 1000)
-        now = self.alarm.get()[0] if self.alarm.exists() else None
         if now == at:
             return
         if now is not None:
             self.handle.deleteTimer(now)
-            self.alarm.clear()
         if at is not None:
             self.handle.registerTimer(at)
             self.alarm.update((at,))
+        else:
+            self.alarm.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = self.alarm.get()[0] * 1000 if self.alarm.exists() else None
+        alarm = self.alarm.get()
+        now = None if alarm is None else alarm[0]
+        first = [] if now is None else [now * 1000]
+        packed = []
         for part in rows:
-            events = list(part[["at", "seq", "service", "user", "rhost", "event_type"]].itertuples(index=False, name=None))
-            events = [(int(e[0]), int(e[1]), *e[2:]) for e in events]
-            self.waiting.appendList(events)
-            least = min(e[0] for e in events)
-            first = least if first is None else min(first, least)
-        self._wake(first)
+            packed.append((f"[{','.join(part['event'])}]",))
+            first.append(int(part["at"].min()))
+        self.waiting.appendList(packed)
+        self._wake(now, min(first))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        self.alarm.clear()
-        waiting = [tuple(e) for e in self.waiting.get()] if self.waiting.exists() else []
-        due = sorted(e for e in waiting if e[0] <= passed)
-        rest = [e for e in waiting if e[0] > passed]
-        held = tuple(self.open.get()) if self.open.exists() else None
+        # The timer is gone; its state is what is to be replaced.
+        waiting = [e for row in self.waiting.get() for e in json.loads(row[0])]
+        due = sorted((tuple(map(e.get, _EVENT)) for e in waiting if e["at"] <= passed), key=lambda e: e[:2])
+        rest = [e for e in waiting if e["at"] > passed]
+        before = self.open.get()
+        held = None if before is None else tuple(before)
         over, held = take(key[0], held, due, self.gap, self.closing)
         if held is not None and held[1] + self.gap <= passed:
             over.append(summary(key[0], held, "silence"))
             held = None
         if due:
             if rest:
-                self.waiting.put(rest)
+                self.waiting.put([(json.dumps(part),) for part in _cut(rest)])
             else:
                 self.waiting.clear()
-        if held is None:
+        if held is not None:
+            self.open.update(held)
+        elif before is not None:
             self.open.clear()
+        marks = [e["at"] for e in rest] + ([held[1] + self.gap] if held is not None else [])
+        if marks:
+            self._wake(None, min(marks))
         else:
-            self.open.update(held)
-        marks = [e[0] for e in rest] + ([held[1] + self.gap] if held is not None else [])
-        self._wake(min(marks) if marks else None)
+            self.alarm.clear()
         if over:
-            yield pd.DataFrame(over, columns=[f.split()[0] for f in _OUT.split(", ")])
+            yield pd.DataFrame({"over": [json.dumps([dict(zip(_NAMES, o)) for o in part]) for part in _cut(over)]})
 
     def close(self) -> None:
         pass
@@ -124,7 +138,11 @@ def ended_sessions(events: DataFrame, gap_seconds: int, late: str, closing: tupl
     """
     timed = events.where(F.col("ts").isNotNull()).withWatermark("ts", late).select(
         "session_id", "ts", F.unix_micros("ts").alias("at"), F.col(seq).cast("long").alias("seq"), "service", "user", "rhost", "event_type")
-    done = timed.groupBy("session_id").transformWithStateInPandas(Sessions(gap_seconds * 1_000_000, tuple(closing)), _OUT, "Append", "EventTime")
+    # Three columns go to Python, the event as one text that waits as it is.
+    timed = timed.select("session_id", "ts", "at", F.to_json(F.struct(*_EVENT)).alias("event"))
+    done = timed.groupBy("session_id").transformWithStateInPandas(Sessions(gap_seconds * 1_000_000, tuple(closing)), "over string", "Append", "EventTime")
+    # The sessions of a key come back as texts too, and are rows again on this side.
+    done = done.select(F.inline(F.from_json("over", _OVER)))
     return done.select("session_id", "service", "user", "rhost", "event_count", F.timestamp_micros("start_us").alias("start_ts"),
                        F.timestamp_micros("end_us").alias("end_ts"), "result", "ended_by")
 

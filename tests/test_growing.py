@@ -207,3 +207,77 @@ def test_rotation_by_copy_keeps_lines_apart(spark, tmp_path):
     log.append("auth.log", "same first line\nb\n")
     shutil.copy(log.folder / "auth.log", log.folder / "copy.log")
     assert log.values() == ["b", "b", "same first line", "same first line"]
+
+
+class HeldState:
+    """A state variable in memory, with the messages it was sent."""
+
+    def __init__(self):
+        self.rows, self.asked = [], 0
+
+    def _told(self, rows):
+        self.asked, self.rows = self.asked + 1, rows
+
+    def exists(self):
+        self.asked += 1
+        return bool(self.rows)
+
+    def get(self):
+        self.asked += 1
+        return iter(self.rows) if self.listed else (self.rows[0] if self.rows else None)
+
+    def update(self, row):
+        self._told([row])
+
+    def put(self, rows):
+        self._told(list(rows))
+
+    def appendList(self, rows):
+        self._told(self.rows + list(rows))
+
+    def clear(self):
+        self._told([])
+
+
+def test_events_of_a_key_wait_as_one_row():
+    import json
+
+    import pandas as pd
+
+    class Handle:
+        def __init__(self):
+            self.states, self.timers = {}, set()
+
+        def _state(self, name, listed):
+            self.states[name] = HeldState()
+            self.states[name].listed = listed
+            return self.states[name]
+
+        def getListState(self, name, schema):
+            return self._state(name, True)
+
+        def getValueState(self, name, schema):
+            return self._state(name, False)
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.timers.discard(at)
+
+    class Passed:
+        def getCurrentWatermarkInMs(self):
+            return 50_000
+
+    handle, work = Handle(), sessions.Sessions(10 * 10**6, ("session_close",))
+    work.init(handle)
+    kinds = ["session_close" if i % 20 == 19 else "x" for i in range(100)]
+    rows = [dict(at=i * 10**6, seq=i, service="sshd", user=None, rhost="ü\"", event_type=k) for i, k in enumerate(kinds)]
+    part = pd.DataFrame(rows).assign(session_id="k", event=[json.dumps(r) for r in rows])
+    assert list(work.handleInputRows(("k",), iter([part]), Passed())) == [] and handle.timers == {0}
+    assert len(handle.states["waiting"].rows) == 1 and sum(s.asked for s in handle.states.values()) <= 4
+    handle.timers.clear()
+    over = [o for frame in work.handleExpiredTimer(("k",), Passed(), None) for text in frame["over"] for o in json.loads(text)]
+    assert [(o["event_count"], o["rhost"], o["user"], o["ended_by"]) for o in over] == [(20, "ü\"", None, "closing")] * 2
+    assert len(handle.states["waiting"].rows) == 1 and handle.timers == {51_000}
+    assert handle.states["open"].rows[0][7] == 11 and sum(s.asked for s in handle.states.values()) <= 9
