@@ -210,8 +210,9 @@ def k5_stream_dependencies(spark, sf):
     known = I.import_files(spark, sf).select(F.lit(None).cast("string").alias("file_id"), "stem", "path", F.lit(None).cast("string").alias("module"))
     asked = I.import_rows(spark, sf).distinct().select("file_id", *[F.lit(None).cast("string").alias(c) for c in ("stem", "path")], "module")
     mixed = known.unionByName(asked)
-    mixed.repartition(4, F.coalesce("file_id", "path")).write.parquet(f"{base}/in")
-    rows = spark.readStream.schema(mixed.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    each = max(1, spark.sparkContext.defaultParallelism // 4)  # files of a part, which are written side by side
+    mixed.repartition(4 * each, F.coalesce("file_id", "path")).write.parquet(f"{base}/in")
+    rows = spark.readStream.schema(mixed.schema).option("maxFilesPerTrigger", each).parquet(f"{base}/in")
     arriving = dependencies.arrivals(rows.where("path IS NOT NULL").select("stem", "path"), rows.where("module IS NOT NULL").select("file_id", "module"))
     changes = dependencies.edge_changes(arriving)
     sinks.drain(sinks.write_stateful(changes, f"{base}/out", f"{base}/checkpoint"))

@@ -5,6 +5,7 @@ file turns outside packages into files, a later file of the same stem takes the
 leave as changes, -1 for an edge that no longer holds and 1 for one that does. Summed up, the
 changes are the edges of a batch build over the files so far. Imports of one stem are dealt to SALTS
 states by their file, and files go to all of them, so a module that everyone imports is no single state.
+State holds the files of a module by the piece, and a change of the target leaves by the piece too.
 """
 
 from __future__ import annotations
@@ -12,14 +13,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from graphloom.operators import graph
 
 SALTS = 8
-CHANGES = "src string, dst string, kind string, change int"
 
 
 def arrivals(files: DataFrame, imports: DataFrame, salts: int = SALTS) -> DataFrame:
@@ -39,35 +39,41 @@ def edge_of(file_id: str, module: str, target: str | None) -> tuple[str, str]:
     return file_id, "external::" + module.split(".", 1)[0]
 
 
+PIECE = 10_000  # files in one row of state or of changes
+_MOVES = "module string, files array<string>, old string, new string, held boolean"
+
+
+def _pieces(asked: dict[str, set[str]]) -> Iterator[tuple[str, list[str]]]:
+    for module, files in sorted(asked.items()):
+        ordered = sorted(files)
+        yield from ((module, ordered[i:i + PIECE]) for i in range(0, len(ordered), PIECE))
+
+
 class Resolver(StatefulProcessor):
+    """Says of many files at once that a module they import now means `new`, and, if they were `held`, meant `old` before."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.target = handle.getValueState("target", "path string, file_id string")
-        self.imports = handle.getListState("imports", "file_id string, module string")
+        self.target = handle.getValueState("target", "file_id string")
+        self.imports = handle.getListState("imports", "module string, files array<string>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        asked, best = set(), None
+        asked, best = {}, None
         for part in rows:
-            for file_id, path, module in part[["file_id", "path", "module"]].itertuples(index=False, name=None):
+            for file_id, module in zip(part["file_id"].tolist(), part["module"].tolist()):
                 if module is None or module != module:
-                    best = max(best or (path, file_id), (path, file_id))
+                    best = file_id if best is None else max(best, file_id)
                 else:
-                    asked.add((file_id, module))
-        before = tuple(self.target.get()) if self.target.exists() else None
+                    asked.setdefault(module, set()).add(file_id)
+        found = self.target.get()
+        before = None if found is None else found[0]
         now = before if best is None or (before is not None and before >= best) else best
-        out = []
         if now != before:
-            self.target.update(now)
-            old, new = before and before[1], now[1]
-            for file_id, module in self.imports.get() if self.imports.exists() else ():
-                was, is_now = edge_of(file_id, module, old), edge_of(file_id, module, new)
-                if was != is_now:
-                    out += [(*was, "depends_on", -1), (*is_now, "depends_on", 1)]
-        if asked:
-            ordered = sorted(asked)
-            self.imports.appendList(ordered)
-            out += [(*edge_of(f, m, now and now[1]), "depends_on", 1) for f, m in ordered]
-        if out:
-            yield pd.DataFrame(out, columns=["src", "dst", "kind", "change"]).astype({"change": "int32"})
+            self.target.update((now,))
+            for module, files in self.imports.get():
+                yield _move(module, files, before, now, True)
+        for module, files in _pieces(asked):
+            self.imports.appendValue((module, files))
+            yield _move(module, files, None, now, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         return iter(())
@@ -76,12 +82,29 @@ class Resolver(StatefulProcessor):
         pass
 
 
+def _move(module: str, files: list[str], old: str | None, new: str | None, held: bool) -> pd.DataFrame:
+    return pd.DataFrame({"module": [module], "files": [list(files)], "old": [old], "new": [new], "held": [held]})
+
+
+def _end(target: str) -> Column:
+    """`edge_of` as a column."""
+    known = F.col(target).isNotNull() & (F.col(target) != F.col("src"))
+    return F.when(known, F.col(target)).otherwise(F.concat(F.lit("external::"), F.substring_index("module", ".", 1)))
+
+
 def edge_changes(arriving: DataFrame) -> DataFrame:
     """Changes of `depends_on` edges, for append mode; write it with `sinks.write_stateful`.
 
     A path arrives once, and with it all its imports.
     """
-    return arriving.groupBy("stem", "salt").transformWithStateInPandas(Resolver(), CHANGES, "Append", "None")
+    # Paths begin alike in ids, so the last file of a stem by its path is the last by its id.
+    slim = arriving.select("stem", "salt", "file_id", "module")
+    moves = slim.groupBy("stem", "salt").transformWithStateInPandas(Resolver(), _MOVES, "Append", "None")
+    each = moves.select(F.explode("files").alias("src"), "module", "old", "new", "held")
+    ends = each.select("src", "held", _end("old").alias("was"), _end("new").alias("now")).where(~F.col("held") | (F.col("was") != F.col("now")))
+    gone = F.when(F.col("held"), F.struct(F.col("was").alias("dst"), F.lit(-1).alias("change")))
+    come = F.struct(F.col("now").alias("dst"), F.lit(1).alias("change"))
+    return ends.select("src", F.inline(F.array_compact(F.array(gone, come)))).select("src", "dst", F.lit("depends_on").alias("kind"), "change")
 
 
 def current_edges(changes: DataFrame) -> DataFrame:

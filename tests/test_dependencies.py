@@ -47,3 +47,50 @@ def test_an_import_points_to_its_file_or_outside():
     assert dependencies.edge_of("file::a.py", "x.b", "file::b.py") == ("file::a.py", "file::b.py")
     assert dependencies.edge_of("file::a.py", "x.a", "file::a.py") == ("file::a.py", "external::x")
     assert dependencies.edge_of("file::a.py", "os", None) == ("file::a.py", "external::os")
+
+
+def test_imports_are_held_and_moved_by_the_piece():
+    import pandas as pd
+
+    class State:
+        def __init__(self):
+            self.rows, self.asked = [], 0
+
+        def get(self):
+            self.asked += 1
+            return iter(self.rows)
+
+        def exists(self):
+            self.asked += 1
+            return bool(self.rows)
+
+        def appendValue(self, row):
+            self.rows.append(row)
+
+        def appendList(self, rows):
+            self.rows += rows
+
+    class Value(State):
+        def get(self):
+            self.asked += 1
+            return self.rows[0] if self.rows else None
+
+        def update(self, row):
+            self.rows = [row]
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value()
+
+        def getListState(self, name, schema):
+            return State()
+
+    work = dependencies.Resolver()
+    work.init(Handle())
+    rows = [(f"file::f{i}.py", None, "a.b") for i in range(25)] * 2
+    frame = lambda r: iter([pd.DataFrame(r, columns=["file_id", "path", "module"])])
+    first = list(work.handleInputRows(("b", 0), frame(rows), None))
+    assert len(work.imports.rows) == 1 and sum(map(len, first)) == 1 and len(first[0]["files"][0]) == 25
+    moved = list(work.handleInputRows(("b", 0), frame([("file::z/b.py", "z/b.py", None), ("file::a/b.py", "a/b.py", None)]), None))
+    assert [(m["old"][0], m["new"][0], len(m["files"][0]), bool(m["held"][0])) for m in moved] == [(None, "file::z/b.py", 25, True)]
+    assert list(work.handleInputRows(("b", 0), frame([("file::b.py", "b.py", None)]), None)) == []
