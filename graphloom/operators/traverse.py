@@ -7,6 +7,7 @@ edges; beyond that it is a shuffle join, where adaptive skew handling splits a h
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil, log2
 
 from pyspark.sql import DataFrame
@@ -20,6 +21,7 @@ from graphloom.session import cut_and_observe, cut_lineage
 BROADCAST_ROWS = 200_000
 HOPS = 16  # layers of a path walked in one job
 MERGE_EVERY = 8
+LEVELS = 4  # of a tree, walked one by one before pointers are doubled
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -180,24 +182,43 @@ def children_map(*tiers: DataFrame) -> DataFrame:
 
 
 def nearest_symbol_ancestor(nodes: DataFrame, contains: DataFrame) -> DataFrame:
-    """(id, parent): the first depth-2 node above each deeper node.
+    """(id, parent): the first depth-2 node above each deeper node, every id once.
 
-    Pointers are doubled, so chains of length n need log2(n) rounds and cycles just never
-    arrive. A node with several parents follows the least.
+    A node with several parents follows the least. Symbols spread downwards a level a round, and only
+    nodes they have not reached are joined again. Below LEVELS pointers are doubled, so chains of
+    length n need log2(n) rounds more and cycles just never arrive.
     """
-    depth = nodes.select("id", "depth")
-    up = contains.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("at"))
-    deep = depth.where("depth >= 3").select("id").join(up, "id")
-    at_depth = depth.select(F.col("id").alias("at"), F.col("depth").alias("at_depth"))
-    jumps = cut_lineage(deep.join(at_depth, "at").select("id", "at", "at_depth"))
-    for _ in range(max(1, ceil(log2(max(2, jumps.count()))) + 1)):
-        moving = jumps.where("at_depth >= 3")
-        if moving.limit(1).count() == 0:
+    # Depths and parents meet in one aggregate; the hash tells long ids apart at once when they are sorted.
+    deep = nodes.where("depth >= 3").select("id", F.lit(None).cast("string").alias("src"), F.lit(True).alias("deep"))
+    ends = deep.unionByName(contains.select(F.col("dst").alias("id"), "src", F.lit(False).alias("deep")))
+    up = ends.groupBy(F.xxhash64("id").alias("hash"), "id").agg(F.min("src").alias("at"), F.max("deep").alias("deep"))
+    left = up.where("deep AND id IS NOT NULL AND at IS NOT NULL").select("id", "at")
+    reached, rows = _cut_and_count(nodes.where("depth = 2").select("id", F.col("id").alias("parent")).distinct())
+    found = []
+    for _ in range(LEVELS):
+        above = reached.select(F.col("id").alias("at"), "parent")
+        above = F.broadcast(above) if rows <= BROADCAST_ROWS else above.hint("merge")
+        met, seen = cut_and_observe(left.join(above, "at", "left").select("id", "at", "parent"), n=F.count(F.lit(1)), there=F.count("parent"))
+        reached, left = met.where("parent IS NOT NULL").select("id", "parent"), met.where("parent IS NULL").select("id", "at")
+        rows, waiting = seen["there"], seen["n"] - seen["there"]
+        found.append(reached)
+        if not rows or not waiting:
             break
-        further = jumps.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("at_depth").alias("next_depth"))
-        moved = moving.join(further, "at").select("id", F.col("next").alias("at"), F.col("next_depth").alias("at_depth"))
-        jumps = cut_lineage(jumps.where("at_depth < 3").unionByName(moved))
-    return jumps.where("at_depth = 2").select("id", F.col("at").alias("parent"))
+    else:
+        found[-1] = _doubled(left, reached, waiting)
+    return reduce(DataFrame.unionByName, found)
+
+
+def _doubled(left: DataFrame, reached: DataFrame, waiting: int) -> DataFrame:
+    """`reached` (id, parent) and all nodes of `left` (id, at) whose pointers lead there."""
+    jumps = left.withColumn("parent", F.lit(None).cast("string")).unionByName(reached.withColumn("at", F.lit(None).cast("string")))
+    for _ in range(ceil(log2(max(2, waiting))) + 1):
+        further = jumps.select(F.col("id").alias("at"), F.col("at").alias("next"), "parent").hint("merge")
+        moved = jumps.where("parent IS NULL").select("id", "at").join(further, "at").select("id", F.col("next").alias("at"), "parent")
+        jumps, seen = cut_and_observe(jumps.where("parent IS NOT NULL").unionByName(moved), n=F.count(F.lit(1)), there=F.count("parent"))
+        if seen["n"] == seen["there"]:
+            break
+    return jumps.where("parent IS NOT NULL").select("id", "parent")
 
 
 def tree_levels(edges: DataFrame, root: str):

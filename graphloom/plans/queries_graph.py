@@ -287,7 +287,8 @@ def d19_attach_by_any_label(spark, sf):
     UNION ALL SELECT 'sub::' || o_orderkey, 'sym::' || o_custkey FROM orders""")
 def d20_nearest_symbol_ancestor(spark, sf):
     line = F.concat(F.lit("line::"), F.concat_ws(".", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey")]))
-    rows = table(spark, sf, "lineitem").select(line.alias("dst"), F.concat(F.lit("sub::"), F.col("l_orderkey").cast("string")).alias("src")).distinct()
+    # Lines of one id are one node: the operator takes every id once.
+    rows = table(spark, sf, "lineitem").select(line.alias("dst"), F.concat(F.lit("sub::"), F.col("l_orderkey").cast("string")).alias("src"))
     nodes = I.tree_nodes(spark, sf).select("id", "depth").unionByName(rows.select(F.col("dst").alias("id"), F.lit(4).alias("depth")))
     edges = I.tree_edges(spark, sf).select("src", "dst").unionByName(rows.select("src", "dst"))
     return traverse.nearest_symbol_ancestor(nodes, edges)

@@ -116,6 +116,46 @@ def test_nearest_symbol_ancestor(spark):
     assert got == {f"d{i}": "s" for i in range(9)}
 
 
+def test_nearest_symbol_ancestor_joins_only_what_waits(spark, monkeypatch):
+    rounds, cut = [], traverse.cut_and_observe
+
+    def counted(df, **metrics):
+        out, seen = cut(df, **metrics)
+        rounds.append(seen["n"])
+        return out, seen
+
+    monkeypatch.setattr(traverse, "cut_and_observe", counted)
+    lines = [(f"line{i}", 4) for i in range(40)]
+    nodes = spark.createDataFrame([("s", 2), ("t", 2)] + [(f"sub{i}", 3) for i in range(10)] + lines + lines[:5], "id string, depth int")
+    links = [("st"[i % 2], f"sub{i}") for i in range(10)] + [(f"sub{i % 10}", f"line{i}") for i in range(40)] + [("sub0", "line0")]
+    got = traverse.nearest_symbol_ancestor(nodes, spark.createDataFrame(links, "src string, dst string")).collect()
+    assert sorted(got) == sorted([(f"sub{i}", "st"[i % 2]) for i in range(10)] + [(f"line{i}", "st"[i % 2]) for i in range(40)])
+    assert rounds == [2, 50, 40]
+
+
+@pytest.mark.parametrize("levels, broadcast", [(4, 200_000), (1, 200_000), (2, 0)])
+def test_nearest_symbol_ancestor_is_exact(spark, monkeypatch, levels, broadcast):
+    monkeypatch.setattr(traverse, "LEVELS", levels)
+    monkeypatch.setattr(traverse, "BROADCAST_ROWS", broadcast)
+    rng = random.Random(levels)
+    depth = {f"n{i:03}": rng.choice([1, 2, 2] + [3, 4, 5, 6] * 8) for i in range(200)}
+    links = {(rng.choice([f"n{j:03}" for j in range(max(0, i - 2), i)] or ["gone"]), f"n{i:03}") for i in range(200) for _ in range(rng.choice([1, 1, 2]))}
+    links |= {("n150", "n140"), ("gone", "n060"), ("n010", "unknown")}
+    least = {}
+    for src, dst in sorted(links, reverse=True):
+        least[dst] = src
+    want = {}
+    for node in depth:
+        at, seen = node, set()
+        while depth.get(at, 0) >= 3 and at not in seen:
+            seen.add(at)
+            at = least.get(at)
+        if depth[node] >= 3 and depth.get(at) == 2:
+            want[node] = at
+    got = traverse.nearest_symbol_ancestor(spark.createDataFrame(list(depth.items()), "id string, depth int"), spark.createDataFrame(list(links), "src string, dst string"))
+    assert sorted(got.collect()) == sorted(want.items()) and len(want) > 50
+
+
 @pytest.mark.parametrize("shape", ["uniform", "clustered", "line"])
 def test_nearest_parent_by_cells_is_exact(spark, shape):
     rng = random.Random(3)
