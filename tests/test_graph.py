@@ -218,3 +218,13 @@ def test_nodes_are_sorted_once_and_weighed_edges_not_at_all(spark):
     kept = graph.dedupe_edges(edges)
     assert {tuple(r) for r in kept.collect()} == {("a", "b", "k", 3.0), ("a", "c", "k", None)}
     assert "SortAggregate" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_whole_build_sends_no_rows_through_the_driver(spark, files):
+    raw = "import os\nfrom c import D\nclass Foo(D):\n    def bar(self): pass\n"
+    nodes, edges = build_graph(files({"a.py": raw, "d/b.py": raw, "d/e.go": "func F(a int) {\n"}), "root")
+    rows = nodes.select("id", "kind").unionByName(edges.select(F.col("src").alias("id"), "kind"))
+    ids = {r["id"] for r in rows.collect()}
+    assert {"dir::d", "file::d/b.py", "d/b.py::b.Foo", "external::os"} <= ids
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan
