@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import language_id, pitman_yor, quality
@@ -165,6 +166,17 @@ def test_probabilities_of_a_context_add_up():
     assert (t <= count).all() and ((t > 0) == (count > 0)).all()
 
 
+def test_a_dish_is_seated_among_the_dishes_of_all_shards(spark):
+    with pytest.raises(ValueError):
+        pitman_yor.sample(np.zeros(1, int), np.zeros(1, int), np.ones(1, int), 1, 0.5, np.random.default_rng(1))
+    rng = np.random.default_rng(5)
+    vocabulary = np.array([f"w{i}" for i in range(8000)])
+    texts = [" ".join(vocabulary[np.minimum(rng.zipf(1.3, 400) - 1, 7999)]) for _ in range(400)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    one, many = (pitman_yor.score(docs, F.lit(False), size).agg(F.sum("score") / F.sum("n_tokens")).first()[0] for size in (1 << 30, 16_000))
+    assert abs(one - many) < 0.0005  # what is left is the luck of the draws
+
+
 def test_seating_matches_a_run_customer_by_customer():
     rng = np.random.default_rng(9)
     for n, c, base, d, k in ((4000, 30, 0.02, 0.5, 1.0), (3000, 600, 0.05, 0.8, 1.0), (3000, 400, 0.001, 0.9, 2.0)):
