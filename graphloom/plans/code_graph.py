@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.operators import extract, filters, graph, pyast
-from graphloom.session import cut_lineage
+from graphloom.session import stored
 from graphloom.sources import files as tree
 from graphloom.streaming.graph import CTables, whole_graph
 
@@ -25,8 +25,8 @@ def build_graph(files: DataFrame, root_name: str, depth: int = 2, extensions: li
         nodes = graph.union_nodes(graph.dir_nodes(folders), graph.file_nodes(kept)).drop("legacy_id")
         return nodes, graph.union_edges(graph.dir_edges(folders), graph.file_edges(kept))
     # One parse and one extraction feed nodes, edges and imports; both are far smaller than the text.
-    parsed = cut_lineage(pyast.parse_python(kept, depth))
-    symbols = cut_lineage(extract.extract_symbols(kept).drop("meta", "legacy_id"))
+    parsed = stored(pyast.parse_python(kept, depth), "parsed")
+    symbols = stored(extract.extract_symbols(kept).drop("meta", "legacy_id"), "symbols")
     return whole_graph(kept.drop("raw"), symbols, parsed, root_name, depth, folders, c)
 
 

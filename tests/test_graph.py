@@ -228,3 +228,14 @@ def test_whole_build_sends_no_rows_through_the_driver(spark, files):
     assert {"dir::d", "file::d/b.py", "d/b.py::b.Foo", "external::os"} <= ids
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "isFinalPlan=true" in plan and "Broadcast" not in plan
+
+
+def test_a_build_keeps_its_parts_packed(spark, files, tmp_path, monkeypatch):
+    from graphloom import session
+    from graphloom.plans.code_graph import build_graph
+
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
+    nodes, _ = build_graph(files({"a.py": "import b\nclass A: pass\n", "p/c.go": "func F(a int) {\n"}), "root")
+    assert {r.kind for r in nodes.collect()} == {"directory", "file", "module", "class", "function", "external_module"}
+    written = {f.parent.name.partition("-")[0] for f in tmp_path.rglob("*.zstd.parquet")}
+    assert written == {"parsed", "symbols"} and spark.conf.get(session._CLEANUP) == "false"
