@@ -13,7 +13,7 @@ from graphloom.plans.code_graph import build_graph
 from graphloom.plans.queries_files import _CODE_SQL, _by_language, _lines_sql
 from graphloom.plans.queries_layout import TAU, _rounded, _xy
 from graphloom.plans.registry import query, table
-from graphloom.session import run_dir
+from graphloom.session import run_dir, shuffles_dropped
 from graphloom.streaming import auth as live
 from graphloom.streaming import dependencies, sessions, sinks
 from graphloom.streaming import graph as live_graph
@@ -182,7 +182,8 @@ def p_build_c_graph(spark, sf):
 def _streamed(spark: SparkSession, sf: str) -> str:
     """Let the rendered source files arrive as a stream; returns the folder of its tables."""
     base = run_dir(spark, "graph")
-    _all_files(I.py_files(spark, sf), I.code_files(spark, sf)).write.parquet(f"{base}/in")
+    with shuffles_dropped(spark):
+        _all_files(I.py_files(spark, sf), I.code_files(spark, sf)).write.option("compression", "zstd").parquet(f"{base}/in")
     arriving = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).parquet(f"{base}/in")
     sinks.drain(live_graph.start_graph_stream(arriving, f"{base}/out", f"{base}/checkpoint"))
     return f"{base}/out"

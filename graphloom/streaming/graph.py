@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import extract, filters, graph, layout, pyast
+from graphloom.session import delete_dir, shuffles_dropped
 from graphloom.sources import files as tree
 from graphloom.streaming import sinks
 
@@ -18,7 +19,12 @@ def start_graph_stream(files: DataFrame, out: str, checkpoint: str, available_no
     """Per micro-batch: folders, files, pattern symbols and Python parse rows, each under `out`."""
     def write(batch: DataFrame, number: int) -> None:
         # Read once for all parts, and dealt anew: files of one language arrive together, and would be parsed by a task or two.
-        batch = batch.repartition("path").persist()
+        # The dealt files are kept in a packed folder until the batch is done, not in a shuffle and a cache beside it.
+        dealt = f"{checkpoint.rstrip('/')}-dealt/batch={number}"
+        spark = batch.sparkSession
+        with shuffles_dropped(spark):
+            batch.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").write.mode("overwrite").option("compression", "zstd").parquet(dealt)
+        batch = spark.read.schema(batch.schema).parquet(dealt)
         parts = {
             "files": batch.withColumn("raw", F.lit(None).cast("string")),  # the text is not needed again
             "symbols": extract.extract_symbols(batch).drop("meta"),
@@ -27,9 +33,10 @@ def start_graph_stream(files: DataFrame, out: str, checkpoint: str, available_no
         }
         try:
             for name, rows in parts.items():
-                rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+                with shuffles_dropped(spark):
+                    rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/{name}/batch={number}")
         finally:
-            batch.unpersist()
+            delete_dir(spark, dealt)
 
     writer = files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

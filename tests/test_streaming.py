@@ -81,6 +81,15 @@ def test_files_that_arrive_together_are_parsed_by_many_tasks(spark, files, tmp_p
     assert parsed.select("_metadata.file_path").distinct().count() > 1
 
 
+def test_an_arrived_batch_leaves_no_second_copy_of_its_files(spark, files, tmp_path):
+    files({f"p/m{i}.py": "x = 1\n" for i in range(8)}).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(FILES).parquet(str(tmp_path / "in"))
+    sinks.drain(live_graph.start_graph_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp")))
+    assert not list(tmp_path.glob("cp-dealt/batch=*"))
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+    assert all(".zstd." in f.name for f in (tmp_path / "out").glob("*/batch=*/*.parquet"))
+
+
 def test_progress_is_reported(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "x.log").write_text("one\ntwo\n")
