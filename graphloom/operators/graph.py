@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from graphloom.functions import numbers, paths, text
 from graphloom.operators import filters
 from graphloom.operators.ranking import last_wins
 from graphloom.operators.skew import own_shuffle
-from graphloom.session import cut_lineage
+from graphloom.session import cut_lineage, stored
 
 
 def _literal_map(table: dict) -> Column:
@@ -306,18 +308,41 @@ def union_nodes(*parts: DataFrame) -> DataFrame:
 union_edges = union_nodes
 
 
-def merge_nodes(*parts: DataFrame) -> DataFrame:
+MOST_REPEATED = 1_000_000  # repeated keys that are broadcast, eight bytes each
+
+
+def _apart(rows: DataFrame, keys: list[str], merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`merge` of the rows whose keys come again, with the others as they are; the keys are read first, once.
+
+    Only hashes of the keys are dealt out to tell them apart, a fraction of the rows' disk. Equal hashes of other keys are no harm:
+    such rows are merged by their keys. If very many come again, all rows are merged.
+    """
+    keyed = rows.withColumn("__key", F.xxhash64(*keys))
+    seen = keyed.select("__key").repartition("__key").groupBy("__key").agg(F.count(F.lit(1)).alias("n"))
+    again = stored(seen.where("n > 1").select("__key"), "repeated")
+    if again.count() > MOST_REPEATED:
+        return merge(rows)
+    merged = merge(keyed.join(F.broadcast(again), "__key", "left_semi").drop("__key"))
+    return merged.unionByName(keyed.join(F.broadcast(again), "__key", "left_anti").select(merged.columns))
+
+
+def merge_nodes(*parts: DataFrame, apart: bool = False) -> DataFrame:
     """Union by id; per attribute the last part that has a value wins.
 
     Within a part the row with the least (file, line, label), as text, wins, whatever the order of the input.
     Ids hardly repeat, so rows are dealt by id before they are merged, and sorted once, by a hash that tells long ids apart at once.
+    With `apart` the ids are read first, so that only rows of repeated ids are dealt out at all.
     """
     stacked = union_nodes(*[p.withColumn("__part", F.lit(i)) for i, p in enumerate(parts)])
     rest = [c for c in stacked.columns if c not in ("id", "__part")]
     tie = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("file", "line", "label") if c in rest]
     place = F.struct((-F.col("__part")).alias("part"), *tie)
     latest = [F.min_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in rest]
-    return stacked.repartition("id").groupBy(F.xxhash64("id").alias("__hash"), "id").agg(*latest).drop("__hash")
+
+    def merged(rows: DataFrame) -> DataFrame:
+        return rows.repartition("id").groupBy(F.xxhash64("id").alias("__hash"), "id").agg(*latest).drop("__hash")
+
+    return _apart(stacked, ["id"], merged) if apart else merged(stacked)
 
 
 def replace_subtree(files: DataFrame, replacement: DataFrame, folder: str) -> DataFrame:
@@ -326,9 +351,14 @@ def replace_subtree(files: DataFrame, replacement: DataFrame, folder: str) -> Da
     return files.where(~below).unionByName(replacement)
 
 
-def dedupe_edges(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """One edge per key; of several the heaviest, then the first kind in alphabetical order, is kept."""
+def dedupe_edges(edges: DataFrame, keys: list[str] | None = None, apart: bool = False) -> DataFrame:
+    """One edge per key; of several the heaviest, then the first kind in alphabetical order, is kept.
+
+    With `apart` the keys are read first, so that only edges of repeated keys are dealt out.
+    """
     keys = keys or ["src", "dst", "kind"]
+    if apart:
+        return _apart(edges, keys, lambda repeated: dedupe_edges(repeated, keys))
     rest = [c for c in edges.columns if c not in keys]
     if not rest:
         return edges.distinct()

@@ -99,7 +99,7 @@ def whole_graph(files: DataFrame, symbols: DataFrame, parsed: DataFrame, root_na
     if c is not None:
         c_nodes, c_edges = c_graph(c, files, depth)
         parts.append(c_nodes.select(*columns, F.col("has_parse_warning")))
-    nodes = graph.merge_nodes(*parts)
+    nodes = graph.merge_nodes(*parts, apart=True)
     if c is not None:
         nodes = nodes.withColumn("has_parse_warning", F.coalesce("has_parse_warning", F.lit(False)))
     edge_parts = [
@@ -110,7 +110,7 @@ def whole_graph(files: DataFrame, symbols: DataFrame, parsed: DataFrame, root_na
     ]
     if c is not None:
         edge_parts.append(c_edges)
-    return nodes, graph.dedupe_edges(graph.union_edges(*edge_parts))
+    return nodes, graph.dedupe_edges(graph.union_edges(*edge_parts), apart=True)
 
 
 def reposition(nodes: DataFrame, edges: DataFrame, layout_name: str = "Circular") -> DataFrame:

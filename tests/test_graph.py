@@ -238,4 +238,23 @@ def test_a_build_keeps_its_parts_packed(spark, files, tmp_path, monkeypatch):
     nodes, _ = build_graph(files({"a.py": "import b\nclass A: pass\n", "p/c.go": "func F(a int) {\n"}), "root")
     assert {r.kind for r in nodes.collect()} == {"directory", "file", "module", "class", "function", "external_module"}
     written = {f.parent.name.partition("-")[0] for f in tmp_path.rglob("*.zstd.parquet")}
-    assert written == {"parsed", "symbols"} and spark.conf.get(session._CLEANUP) == "false"
+    assert written >= {"parsed", "symbols"} and spark.conf.get(session._CLEANUP) == "false"
+
+
+def test_rows_that_come_again_are_merged_and_the_others_left(spark, monkeypatch):
+    row = "id string, kind string, file string, line int, label string"
+    a = spark.createDataFrame([("x", "k", "f", 2, "l"), ("x", None, "e", 1, "m"), ("y", "k", None, 1, "l"), (None, "k", "f", 1, "l"), (None, None, "f", 1, "m")], row)
+    b = spark.createDataFrame([("x", "z", None, None, None), ("w", None, None, 3, None)], row)
+    edges = spark.createDataFrame([("a", "b", "c", 1.0), ("a", "b", "c", 2.0), ("a", "b", "d", None), (None, "b", "c", 1.0), (None, "b", "c", 3.0), ("b", None, "c", 0.5)],
+                                  "src string, dst string, kind string, weight double")
+    def told(df):
+        return sorted(map(str, df.collect()))
+
+    want = told(graph.merge_nodes(a, b)), told(graph.dedupe_edges(edges))
+    dealt = []
+    real = graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, purpose: dealt.append(out := real(df, purpose)) or out)
+    assert (told(graph.merge_nodes(a, b, apart=True)), told(graph.dedupe_edges(edges, apart=True))) == want
+    assert [d.count() for d in dealt] == [2, 2]  # x and null; a-b-c and null-b-c
+    monkeypatch.setattr(graph, "MOST_REPEATED", 1)
+    assert (told(graph.merge_nodes(a, b, apart=True)), told(graph.dedupe_edges(edges, apart=True))) == want
